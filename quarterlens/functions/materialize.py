@@ -1,21 +1,30 @@
 """Lineage cuts at stage boundaries.
 
 A table that several branches of a plan read (the quarterly fact, the
-distinct-value table of a rank) is written once with a reliable
-``checkpoint()`` into the folder the cluster names in
-``spark.checkpoint.dir``; every branch then reads those files instead of
-recomputing the upstream joins.  A lost executor only loses cached copies,
-never the checkpoint.  ``localCheckpoint`` is never used.
+distinct-value table of a rank, the forest's node table) is written once as
+Parquet into the shared folder the cluster names in ``spark.checkpoint.dir``
+and read back.  Every branch then scans those files instead of recomputing
+the upstream joins; the scan gets column pruning and filter pushdown, and a
+lost executor loses nothing that was written.  ``localCheckpoint`` and
+machine-local folders are never used.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from ..session import ensure_checkpoint_dir
 
 
+def table_folder(df: DataFrame) -> str:
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    return f"{base}/ql-tables/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and return the cut plan."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` once to the shared checkpoint folder and return a scan of it."""
+    path = table_folder(df)
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -121,6 +121,35 @@ def final_aggregation(df: DataFrame) -> DataFrame:
     return df.groupBy(*FINAL_GROUP_KEYS).agg(*[X.exact_sum(m).alias(m) for m in MEASURES])
 
 
+def _pick_best(totals: DataFrame) -> DataFrame:
+    w = Window.partitionBy("optima_id").orderBy(F.desc("giv_lc"), F.asc_nulls_first("channel"),
+                                               F.asc_nulls_first("team"))
+    return (totals.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1)
+            .select("optima_id", F.col("channel").alias("best_channel"), F.col("team").alias("best_team")))
+
+
+def assigned_aggregation(filled: DataFrame) -> DataFrame:
+    """A4 + J3 + A6 in one pass over the fact table.
+
+    Channel and team become a function of the optima after J3, so A6 can be
+    grouped without them and the optima's best pair attached afterwards.  One
+    ``GROUPING SETS`` aggregation yields both the A6 groups and the
+    (optima, channel, team) GIV totals A4 needs; the best-pair join then runs
+    on the aggregated table instead of the fact rows, and the fact joins
+    (J1, J2) are evaluated once.
+    """
+    a_keys = [k for k in FINAL_GROUP_KEYS if k not in ("channel", "team")]
+    g = filled.groupingSets([a_keys, ["optima_id", "channel", "team"]], *a_keys, "channel", "team").agg(
+        F.grouping("time_id").alias("_set"), *[X.exact_sum(m).alias(m) for m in MEASURES])
+    totals = g.where((F.col("_set") == 1) & F.col("optima_id").isNotNull()).select(
+        "optima_id", "channel", "team", "giv_lc")
+    a6 = g.where(F.col("_set") == 0).drop("_set", "channel", "team")
+    out = a6.join(_pick_best(totals), "optima_id", "left")
+    return out.select(*[F.col("best_channel").alias(k) if k == "channel" else
+                        F.col("best_team").alias(k) if k == "team" else F.col(k) for k in FINAL_GROUP_KEYS],
+                      *MEASURES)
+
+
 def add_calculated_columns(df: DataFrame) -> DataFrame:
     """Customer label, NOS/NSRD excluding NIT, month date, fiscal year, quarter."""
     month = X.month_id_to_date("time_id")
@@ -190,7 +219,7 @@ def data_merge(report: DataFrame, customers: DataFrame, products: DataFrame,
     assigned = assign_best_channel_team(filled)
     nq_after = name_quality(assigned)
     missing = missing_product(assigned)
-    agg = final_aggregation(assigned)
+    agg = assigned_aggregation(filled)
     enriched = add_category_smo(add_calculated_columns(agg), dictionary)
     final = quarterly_format(enriched)
     return MergeResult(final, mct, missing, cust_unmatched, prod_unmatched,

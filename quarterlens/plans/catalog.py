@@ -22,9 +22,18 @@ _QUERIES: dict[str, Builder] = {}
 _ORACLE: dict[str, str] = {}
 
 
+_MEMO: dict = {}
+
+
 def register(name: str, sql: str | None = None):
+    """Register a query; each call starts with an empty memo of shared tables."""
     def deco(fn: Builder) -> Builder:
-        _QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            _MEMO.clear()
+            return fn(spark, sf_dir)
+        run.__name__ = fn.__name__
+        run.__doc__ = fn.__doc__
+        _QUERIES[name] = run
         if sql is not None:
             _ORACLE[name] = sql
         return fn
@@ -54,8 +63,16 @@ def _merged(spark, sf_dir):
     return PL.merged(_inputs(spark, sf_dir))
 
 
+def final_table(spark, sf_dir):
+    """E2 output, checkpointed once per query build and shared by its branches."""
+    key = ("final", id(spark), sf_dir)
+    if key not in _MEMO:
+        _MEMO[key] = PL.final_table(_inputs(spark, sf_dir))
+    return _MEMO[key]
+
+
 def final_in_scope(spark, sf_dir):
-    return PL.final_in_scope(_inputs(spark, sf_dir))
+    return Q.filter_quarters(final_table(spark, sf_dir), PL.DEFAULT_RUN.quarters)
 
 
 # ------------------------------------------------------------ preparation
@@ -158,7 +175,7 @@ def q_missing_product(spark, sf_dir):
 @register("final_aggregation", O.with_prefix("SELECT * FROM agg6"))
 def q_final_aggregation(spark, sf_dir):
     p, cm, cu, pm, pu = _matched_parts(spark, sf_dir)
-    return M.final_aggregation(M.assign_best_channel_team(M.fill_channel_team(pm)))
+    return M.assigned_aggregation(M.fill_channel_team(pm))
 
 
 @register("unmapped_categories", O.with_prefix(
@@ -221,12 +238,12 @@ FROM (SELECT *, {O.growth('gross_sales', 'lag(gross_sales) OVER w')} AS growth_r
 
 @register("annual_national", O.with_prefix(_ANNUAL_NAT))
 def q_annual_national(spark, sf_dir):
-    return Q.annual_national(PL.final_table(_inputs(spark, sf_dir)))
+    return Q.annual_national(final_table(spark, sf_dir))
 
 
 @register("annual_customer", O.with_prefix(_ANNUAL_CUST))
 def q_annual_customer(spark, sf_dir):
-    return Q.annual_by_group(PL.final_table(_inputs(spark, sf_dir)))
+    return Q.annual_by_group(final_table(spark, sf_dir))
 
 
 # ----------------------------------------------------------------- scores

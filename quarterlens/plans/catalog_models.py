@@ -1 +1,213 @@
-"""Model queries (scaling, anomaly forest, clustering, final report)."""
+"""Model queries: scaling, IQR rules, isolation forest, clustering, final report."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import exprs as X
+from ..operators import anomaly as AN
+from ..operators import scale as SC
+from ..operators import summary as Q
+from . import oracle as O
+from . import pipeline as PL
+from .catalog import final_in_scope, register
+from .catalog_explore import quantile_sql
+
+RUN = PL.DEFAULT_RUN
+KEYS = PL.SCORE_DIMENSIONS["customer"]
+# fixed value: the anomaly model's features
+ANOMALY_FEATURES = ["rate_nsrd", "rate_sd", "nos_su", "variation_rate_nos", "variation_rate_volume"]
+
+
+def _customer_summary(spark, sf_dir):
+    return Q.customer_summary(final_in_scope(spark, sf_dir), RUN.years)
+
+
+def train_table(spark, sf_dir):
+    """Prior-year customer rows whose NOS index is present (inf -> missing)."""
+    s = _customer_summary(spark, sf_dir)
+    t = Q.filter_fiscal_year(s, RUN.train_year).where(F.col("variation_rate_nos").isNotNull())
+    return t.withColumns({f: X.finite(f) for f in ANOMALY_FEATURES})
+
+
+def test_table(spark, sf_dir):
+    s = Q.filter_fiscal_year(_customer_summary(spark, sf_dir), RUN.score_year)
+    return s.withColumns({f: X.finite(f) for f in ANOMALY_FEATURES})
+
+
+CUST_SQL = O.group_sql(KEYS)
+
+
+def _finite_cols(cols):
+    return ", ".join(f"{O.finite(c)} AS {c}" for c in cols)
+
+
+MODEL_CTE = (
+    f"m_train AS (SELECT * REPLACE ({_finite_cols(ANOMALY_FEATURES)}) FROM ({CUST_SQL}) c "
+    f"WHERE fiscal_year = {O.TRAIN_YEAR} AND variation_rate_nos IS NOT NULL), "
+    f"m_test AS (SELECT * REPLACE ({_finite_cols(ANOMALY_FEATURES)}) FROM ({CUST_SQL}) c "
+    f"WHERE fiscal_year = {O.SCORE_YEAR})")
+
+
+def msql(body: str, extra: str = "") -> str:
+    return O.with_prefix(body, MODEL_CTE + (", " + extra if extra else ""))
+
+
+def _long_sql(src, cols, where=""):
+    return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM {src} {where}" for c in cols)
+
+
+# ----------------------------------------------------------------- M1
+def _complete(cols):
+    return " AND ".join(f"{c} IS NOT NULL" for c in cols)
+
+
+def _robust_scale_sql():
+    ctes = (f"rs_long AS ({_long_sql('m_train', ANOMALY_FEATURES, 'WHERE ' + _complete(ANOMALY_FEATURES))}), "
+            f"rs_q AS ({quantile_sql('rs_long', [0.25, 0.5, 0.75])}), "
+            "rs_p AS (SELECT \"column\" AS feature, max(CASE WHEN p = 0.5 THEN q END) AS center, "
+            "max(CASE WHEN p = 0.75 THEN q END) - max(CASE WHEN p = 0.25 THEN q END) AS iqr FROM rs_q GROUP BY 1), "
+            f"rs_s AS (SELECT feature, center, CASE WHEN abs(iqr) < {O.dbl(SC.ZERO_SCALE)} THEN {O.dbl(1.0)} "
+            "ELSE iqr END AS scale FROM rs_p)")
+    sel = ", ".join(
+        f"(t.{f} - (SELECT center FROM rs_s WHERE feature = '{f}')) / (SELECT scale FROM rs_s WHERE feature = '{f}') AS scaled_{f}"
+        for f in ANOMALY_FEATURES)
+    body = f"SELECT {', '.join('t.' + k for k in KEYS)}, {sel} FROM m_test t WHERE {_complete(['t.' + f for f in ANOMALY_FEATURES])}"
+    return msql(body, ctes)
+
+
+@register("robust_scale", _robust_scale_sql())
+def q_robust_scale(spark, sf_dir):
+    train = train_table(spark, sf_dir).dropna(subset=ANOMALY_FEATURES)
+    test = test_table(spark, sf_dir).dropna(subset=ANOMALY_FEATURES)
+    scales = SC.robust_fit(train, ANOMALY_FEATURES)
+    out = SC.robust_transform(test, scales, ANOMALY_FEATURES, prefix="scaled_")
+    return out.select(*KEYS, *[f"scaled_{f}" for f in ANOMALY_FEATURES])
+
+
+# ---------------------------------------------------------------- A27
+def _fences_sql(src: str, feats, k=1.5) -> str:
+    q = quantile_sql(f"({_long_sql(src, feats, 'WHERE value IS NOT NULL')})", [0.25, 0.75]) \
+        if False else quantile_sql("f_long", [0.25, 0.75])
+    return (f"SELECT \"column\" AS feature, q1, q3, q3 - q1 AS iqr, q1 - {O.dbl(k)} * (q3 - q1) AS lower, "
+            f"q3 + {O.dbl(k)} * (q3 - q1) AS upper FROM (SELECT \"column\", max(CASE WHEN p = 0.25 THEN q END) AS q1, "
+            f"max(CASE WHEN p = 0.75 THEN q END) AS q3 FROM ({q}) f0 GROUP BY 1) f1")
+
+
+def _fence_ctes(src, feats):
+    long = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM {src} WHERE {c} IS NOT NULL"
+                              for c in feats)
+    return f"f_long AS ({long}), f_fences AS ({_fences_sql(src, feats)})"
+
+
+@register("iqr_fences", msql("SELECT * FROM f_fences", _fence_ctes("m_test", ANOMALY_FEATURES)))
+def q_iqr_fences(spark, sf_dir):
+    return SC.iqr_fences(test_table(spark, sf_dir), ANOMALY_FEATURES)
+
+
+# ----------------------------------------------------------------- M4
+def fixed_rule(df):
+    """A deterministic stand-in for model output: |NOS index - 100| / 100 - 0.5."""
+    score = F.abs(F.col("variation_rate_nos") - F.lit(100.0)) / F.lit(100.0) - F.lit(0.5)
+    return df.withColumns({"anomaly_score": score,
+                           "anomaly": F.coalesce(score > F.lit(0.0), F.lit(False))})
+
+
+def _explain_sql():
+    f_ctes = _fence_ctes("r_rule", ANOMALY_FEATURES)
+    rule = (f"r_rule AS (SELECT *, abs(variation_rate_nos - {O.dbl(100.0)}) / {O.dbl(100.0)} - {O.dbl(0.5)} "
+            "AS anomaly_score FROM m_test), "
+            "r_flag AS (SELECT *, coalesce(anomaly_score > 0, false) AS anomaly FROM r_rule), ")
+    med = f"r_med AS (SELECT \"column\" AS feature, q AS median FROM ({quantile_sql('f_long', [0.5])}) m)"
+    cols, outs = [], []
+    for f in ANOMALY_FEATURES:
+        lo = f"(SELECT lower FROM f_fences WHERE feature = '{f}')"
+        hi = f"(SELECT upper FROM f_fences WHERE feature = '{f}')"
+        st = (f"CASE WHEN {f} IS NULL THEN 'N/A' WHEN {f} < {lo} THEN 'bajo' WHEN {f} > {hi} THEN 'alto' "
+              f"ELSE 'normal' END")
+        cols += [f, f"(SELECT median FROM r_med WHERE feature = '{f}') AS median_{f}", f"{st} AS {f}_status"]
+        outs.append(f"CASE WHEN {f}_status IN ('bajo', 'alto') THEN 1 ELSE 0 END")
+    inner = f"SELECT {', '.join(KEYS)}, anomaly_score, {', '.join(cols)} FROM r_flag WHERE anomaly"
+    names = " || ".join(
+        f"CASE WHEN {f}_status IN ('bajo', 'alto') THEN '{f}' || ', ' ELSE '' END" for f in ANOMALY_FEATURES)
+    cnt = " + ".join(outs)
+    body = (f"SELECT *, CASE WHEN outlier_count > 0 THEN 'outlier en ' || CAST(outlier_count AS VARCHAR) || "
+            f"' variables: ' || rtrim(_names, ', ') ELSE 'sin outliers claros' END AS outlier_variables "
+            f"FROM (SELECT *, CAST({cnt} AS INTEGER) AS outlier_count, {names} AS _names FROM ({inner}) i) j")
+    return msql(f"SELECT * EXCLUDE (_names) FROM ({body}) k", rule + f_ctes + ", " + med)
+
+
+@register("explain", _explain_sql())
+def q_explain(spark, sf_dir):
+    scored = fixed_rule(test_table(spark, sf_dir))
+    return AN.explain(scored, ANOMALY_FEATURES, KEYS)
+
+
+# --------------------------------------------------------------- forest
+def _grid(spark, sf_dir):
+    return AN.grid_search(train_table(spark, sf_dir), test_table(spark, sf_dir), KEYS, ANOMALY_FEATURES)
+
+
+def _best_model(spark, sf_dir, grid=None):
+    train, test = train_table(spark, sf_dir), test_table(spark, sf_dir)
+    g = grid or _grid(spark, sf_dir)
+    b = g.best
+    forest = next(sp.forest for sp in g.fit.specs
+                  if sp.subset == b["subset"] and sp.psi_setting == b["max_samples"])
+    model = AN.model_from_fit(train, KEYS, g.fit, forest, int(b["n_estimators"]), float(b["contamination"]))
+    return model, AN.predict(test, model, KEYS)
+
+
+def default_model_result(spark, sf_dir):
+    """The reference's default fit: all five features, 100 trees, contamination .05, auto."""
+    train, test = train_table(spark, sf_dir), test_table(spark, sf_dir)
+    model = AN.fit_model(train, KEYS, ANOMALY_FEATURES, 100, 0.05, "auto")
+    return model, AN.predict(test, model, KEYS)
+
+
+@register("anomaly_scores")
+def q_anomaly_scores(spark, sf_dir):
+    model, res = default_model_result(spark, sf_dir)
+    return res.select(*KEYS, *ANOMALY_FEATURES, "anomaly", "anomaly_score")
+
+
+@register("anomaly_metrics")
+def q_anomaly_metrics(spark, sf_dir):
+    return AN.metrics(default_model_result(spark, sf_dir)[1])
+
+
+@register("anomaly_segments")
+def q_anomaly_segments(spark, sf_dir):
+    res = default_model_result(spark, sf_dir)[1]
+    return AN.segmented(res, "channel").unionByName(AN.segmented(res, "team"))
+
+
+@register("anomaly_histogram")
+def q_anomaly_histogram(spark, sf_dir):
+    return AN.score_histogram(default_model_result(spark, sf_dir)[1])
+
+
+@register("anomaly_explain")
+def q_anomaly_explain(spark, sf_dir):
+    model, res = default_model_result(spark, sf_dir)
+    return AN.explain(res, model.features, KEYS)
+
+
+@register("anomaly_grid")
+def q_anomaly_grid(spark, sf_dir):
+    return _grid(spark, sf_dir).experiments
+
+
+@register("anomaly_best")
+def q_anomaly_best(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    return g.best_per_subset.select("subset", "features", "n_features", "n_estimators", "contamination",
+                                    "max_samples", "mean_score")
+
+
+@register("anomaly_summary")
+def q_anomaly_summary(spark, sf_dir):
+    """M7 with the grid-selected model and the national values of the scored year."""
+    model, res = _best_model(spark, sf_dir)
+    national = Q.filter_fiscal_year(Q.national_summary(final_in_scope(spark, sf_dir)), RUN.score_year)
+    return AN.anomaly_summary(res, model.features, KEYS, national)
