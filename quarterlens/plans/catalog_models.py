@@ -87,8 +87,7 @@ def q_robust_scale(spark, sf_dir):
 
 # ---------------------------------------------------------------- A27
 def _fences_sql(src: str, feats, k=1.5) -> str:
-    q = quantile_sql(f"({_long_sql(src, feats, 'WHERE value IS NOT NULL')})", [0.25, 0.75]) \
-        if False else quantile_sql("f_long", [0.25, 0.75])
+    q = quantile_sql("f_long", [0.25, 0.75])
     return (f"SELECT \"column\" AS feature, q1, q3, q3 - q1 AS iqr, q1 - {O.dbl(k)} * (q3 - q1) AS lower, "
             f"q3 + {O.dbl(k)} * (q3 - q1) AS upper FROM (SELECT \"column\", max(CASE WHEN p = 0.25 THEN q END) AS q1, "
             f"max(CASE WHEN p = 0.75 THEN q END) AS q3 FROM ({q}) f0 GROUP BY 1) f1")
@@ -211,3 +210,130 @@ def q_anomaly_summary(spark, sf_dir):
     model, res = _best_model(spark, sf_dir)
     national = Q.filter_fiscal_year(Q.national_summary(final_in_scope(spark, sf_dir)), RUN.score_year)
     return AN.anomaly_summary(res, model.features, KEYS, national)
+
+
+# ------------------------------------------------------------ clustering
+from ..operators import cluster as CL  # noqa: E402
+from ..operators import report as RP  # noqa: E402
+from ..operators import score as K  # noqa: E402
+
+# fixed value: the clustering features of the reference job
+CLUSTER_FEATURES = ["nos_su", "rate_nsrd", "rate_sd", "variation_rate_nos", "variation_rate_volume", "SCORE"]
+OUTLIER_FEATURES = [f for f in CLUSTER_FEATURES if f != "SCORE"]
+
+
+def customer_scores(spark, sf_dir):
+    final = final_in_scope(spark, sf_dir)
+    national = Q.national_summary(final)
+    entities = Q.group_summary(final, KEYS, RUN.years)
+    return K.score(national, entities, KEYS, RUN.score_year)
+
+
+def cluster_input(spark, sf_dir):
+    """J6 + P16: test-year customer features with their SCORE, complete rows only."""
+    test = test_table(spark, sf_dir).select(*KEYS, *OUTLIER_FEATURES)
+    sc = customer_scores(spark, sf_dir).select(*KEYS, "SCORE")
+    return test.join(sc, KEYS, "left").dropna(subset=CLUSTER_FEATURES)
+
+
+def _cluster_input_sql():
+    return (f"c_in AS (SELECT t.{', t.'.join(KEYS)}, {', '.join('t.' + f for f in OUTLIER_FEATURES)}, s.SCORE "
+            f"FROM m_test t LEFT JOIN ({O.score_sql(KEYS)}) s ON "
+            + " AND ".join(f"t.{k} = s.{k}" for k in KEYS)
+            + f" WHERE {_complete(['t.' + f for f in OUTLIER_FEATURES] + ['s.SCORE'])})")
+
+
+def _iqr_filter_sql():
+    long = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value FROM c_in" for c in OUTLIER_FEATURES)
+    ctes = (_cluster_input_sql() + f", f_long AS ({long}), f_fences AS ({_fences_sql('c_in', OUTLIER_FEATURES)})")
+    cnt = " + ".join(
+        f"CASE WHEN {f} < (SELECT lower FROM f_fences WHERE feature = '{f}') OR "
+        f"{f} > (SELECT upper FROM f_fences WHERE feature = '{f}') THEN 1 ELSE 0 END" for f in OUTLIER_FEATURES)
+    return msql(f"SELECT * FROM c_in WHERE ({cnt}) < 1", ctes)
+
+
+@register("iqr_filter", _iqr_filter_sql())
+def q_iqr_filter(spark, sf_dir):
+    data = cluster_input(spark, sf_dir)
+    return SC.iqr_filter(data, CLUSTER_FEATURES, 1.5, 1, ["SCORE"]).kept
+
+
+EMB_DIMS = 5
+
+
+def _silhouette_sql():
+    xs = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(EMB_DIMS))
+    dist = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(EMB_DIMS))
+    return (f"WITH p AS (SELECT vec_id, CAST(label AS BIGINT) AS label, {xs} FROM embeddings), "
+            f"d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sqrt({dist}) AS dist FROM p a JOIN p b "
+            "ON a.vec_id <> b.vec_id), "
+            "per AS (SELECT vec_id, la, lb, sum(dist) AS s, count(*) AS c FROM d GROUP BY vec_id, la, lb), "
+            "aa AS (SELECT vec_id, s / c AS a FROM per WHERE la = lb), "
+            "bb AS (SELECT vec_id, min(s / c) AS b FROM per WHERE la <> lb GROUP BY vec_id), "
+            "sil AS (SELECT p.vec_id, CASE WHEN aa.a IS NULL OR bb.b IS NULL THEN 0.0 "
+            "ELSE (bb.b - aa.a) / greatest(aa.a, bb.b) END AS s FROM p LEFT JOIN aa ON p.vec_id = aa.vec_id "
+            "LEFT JOIN bb ON p.vec_id = bb.vec_id) "
+            "SELECT count(*) AS n_points, (SELECT count(DISTINCT label) FROM p) AS n_clusters, "
+            "round_even(avg(s), 6) AS silhouette FROM sil")
+
+
+@register("silhouette", _silhouette_sql())
+def q_silhouette(spark, sf_dir):
+    emb = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    pts = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}")
+                                          for i in range(EMB_DIMS)])
+    return CL.silhouette(pts, "vec_id", "label", [f"x{i}" for i in range(EMB_DIMS)])
+
+
+def _clusters(spark, sf_dir):
+    key = ("clusters", id(spark), sf_dir)
+    from .catalog import _MEMO
+    if key not in _MEMO:
+        _MEMO[key] = CL.full_analysis(cluster_input(spark, sf_dir), KEYS, CLUSTER_FEATURES)
+    return _MEMO[key]
+
+
+@register("cluster_params")
+def q_cluster_params(spark, sf_dir):
+    return _clusters(spark, sf_dir).params
+
+
+@register("cluster_grid")
+def q_cluster_grid(spark, sf_dir):
+    return _clusters(spark, sf_dir).grid
+
+
+@register("cluster_labels")
+def q_cluster_labels(spark, sf_dir):
+    return _clusters(spark, sf_dir).labels
+
+
+@register("cluster_centroids")
+def q_cluster_centroids(spark, sf_dir):
+    r = _clusters(spark, sf_dir)
+    return CL.centroids(r.clean, r.labels, KEYS, CLUSTER_FEATURES)
+
+
+@register("cluster_profile")
+def q_cluster_profile(spark, sf_dir):
+    r = _clusters(spark, sf_dir)
+    return CL.centroids(r.scaled, r.labels, KEYS, CLUSTER_FEATURES)
+
+
+# ---------------------------------------------------------- final report
+def _final_report(spark, sf_dir):
+    base = test_table(spark, sf_dir)
+    scores = customer_scores(spark, sf_dir)
+    model, anomalies = _best_model(spark, sf_dir)
+    clusters = _clusters(spark, sf_dir).labels
+    return RP.final_report(base, scores, anomalies, clusters, KEYS)
+
+
+@register("final_report")
+def q_final_report(spark, sf_dir):
+    return _final_report(spark, sf_dir)
+
+
+@register("report_coverage")
+def q_report_coverage(spark, sf_dir):
+    return RP.coverage(_final_report(spark, sf_dir))
