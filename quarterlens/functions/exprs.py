@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 INF = float("inf")
 NINF = float("-inf")
 
-# Money is summed exactly: each value is rounded to 6 decimals and summed as a
-# decimal, then turned back into a double.  The result does not depend on the
-# partitioning or on the order in which partial sums are merged.
-SUM_DECIMAL = "decimal(20,6)"
+# Money is summed exactly: each value is rounded to integer micro-units
+# (floor(x * 1e6 + 0.5), a bigint), the integers are summed as decimal(20,0)
+# (long-backed, so cheap, and it cannot overflow), and the total is turned
+# back into a double.  The result does not depend on the partitioning or on
+# the order in which partial sums are merged.
+MICRO = 1e6
+SUM_DECIMAL = "decimal(20,0)"
 
 
 def col(c) -> Column:
@@ -83,9 +86,14 @@ def rate100(n, d) -> Column:
     return no_nan(ieee_div(n, d) * F.lit(100.0))
 
 
+def micro_units(c) -> Column:
+    return F.floor(col(c) * F.lit(MICRO) + F.lit(0.5)).cast("long")
+
+
 def exact_sum(c) -> Column:
     """Order-independent sum of a money / volume column; 0.0 when all missing."""
-    return F.coalesce(F.sum(col(c).cast(SUM_DECIMAL)).cast("double"), F.lit(0.0))
+    total = F.sum(micro_units(c).cast(SUM_DECIMAL)).cast("double") / F.lit(MICRO)
+    return F.coalesce(total, F.lit(0.0))
 
 
 def fiscal_year(d) -> Column:

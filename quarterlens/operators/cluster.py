@@ -37,29 +37,39 @@ LINKAGE_PAIRS = [
     ("complete", "correlation"), ("average", "euclidean"), ("average", "cosine"),
     ("average", "correlation"),
 ]
-MAX_MICRO = 1000
+MAX_MICRO = 4000
 SILHOUETTE_BLOCK = 4000
 
 
 # ------------------------------------------------------------ numpy core
-def pairwise(Xm: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "euclidean":
-        diff = Xm[:, None, :] - Xm[None, :, :]
-        return np.sqrt((diff * diff).sum(axis=2))
+def pairwise(Xm: np.ndarray, metric: str, rows: int = 256) -> np.ndarray:
+    """Full distance matrix, built in row blocks to bound the temporaries."""
     if metric == "correlation":
         Xm = Xm - Xm.mean(axis=1, keepdims=True)
-    elif metric != "cosine":
+    elif metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric}")
+    m = len(Xm)
+    D = np.empty((m, m))
+    if metric == "euclidean":
+        for a in range(0, m, rows):
+            diff = Xm[a:a + rows, None, :] - Xm[None, :, :]
+            D[a:a + rows] = np.sqrt((diff * diff).sum(axis=2))
+        return D
     norms = np.sqrt((Xm * Xm).sum(axis=1))
     with np.errstate(invalid="ignore", divide="ignore"):
         sim = (Xm @ Xm.T) / (norms[:, None] * norms[None, :])
-    d = 1.0 - sim
-    np.fill_diagonal(d, 0.0)
-    return np.maximum(d, 0.0)
+    D = 1.0 - sim
+    np.fill_diagonal(D, 0.0)
+    return np.maximum(D, 0.0)
 
 
 def linkage(Xm: np.ndarray, weights: np.ndarray, method: str, metric: str) -> np.ndarray:
-    """Merge table (left, right, distance, size) of an agglomeration of weighted points."""
+    """Merges (a, b, distance, size) of an agglomeration of weighted points, sorted by distance.
+
+    Nearest-neighbour chain with Lance-Williams updates: O(m^2) work for the
+    reducible linkages used here (ward, complete, average).  ``a`` and ``b``
+    are point indices that represent the two merged clusters.
+    """
     if method == "ward" and metric != "euclidean":
         raise ValueError("ward needs the euclidean metric")
     m = len(Xm)
@@ -69,41 +79,51 @@ def linkage(Xm: np.ndarray, weights: np.ndarray, method: str, metric: str) -> np
     w = weights.astype(np.float64).copy()
     if method == "ward":
         D = np.sqrt(2.0 * np.outer(w, w) / (w[:, None] + w[None, :])) * D
-    D = D.astype(np.float64)
     np.fill_diagonal(D, np.inf)
     active = np.ones(m, dtype=bool)
-    ids = np.arange(m)
-    merges = np.zeros((max(m - 1, 0), 4))
-    for step in range(m - 1):
-        flat = int(np.argmin(D))
-        i, j = divmod(flat, m)
-        if i > j:
-            i, j = j, i
-        dij = D[i, j]
-        di, dj = D[i].copy(), D[j].copy()
-        if method == "complete":
-            new = np.maximum(di, dj)
-        elif method == "average":
-            new = (w[i] * di + w[j] * dj) / (w[i] + w[j])
-        else:  # ward
-            wk = w
-            new = np.sqrt(np.maximum(((wk + w[i]) * di * di + (wk + w[j]) * dj * dj - wk * dij * dij)
-                                     / (w[i] + w[j] + wk), 0.0))
-        merges[step] = (ids[i], ids[j], dij, w[i] + w[j])
-        w[i] += w[j]
-        D[i, :] = new
-        D[:, i] = new
-        D[i, i] = np.inf
-        D[j, :] = np.inf
-        D[:, j] = np.inf
-        active[j] = False
-        ids[i] = m + step
-    return merges
+    merges = []
+    chain: list = []
+    remaining = m
+    while remaining > 1:
+        if not chain:
+            chain.append(int(np.flatnonzero(active)[0]))
+        a = chain[-1]
+        row = D[a]
+        b = int(np.argmin(row))
+        if len(chain) > 1 and row[chain[-2]] <= row[b]:
+            b = chain[-2]
+        if len(chain) > 1 and b == chain[-2]:
+            chain.pop(), chain.pop()
+            dab = D[a, b]
+            da, db = D[a].copy(), D[b].copy()
+            if method == "complete":
+                new = np.maximum(da, db)
+            elif method == "average":
+                new = (w[a] * da + w[b] * db) / (w[a] + w[b])
+            else:
+                new = np.sqrt(np.maximum(((w + w[a]) * da * da + (w + w[b]) * db * db - w * dab * dab)
+                                         / (w[a] + w[b] + w), 0.0))
+            keep, drop = min(a, b), max(a, b)
+            merges.append((keep, drop, dab, w[a] + w[b]))
+            w[keep] = w[a] + w[b]
+            new[~active] = np.inf
+            D[keep, :] = new
+            D[:, keep] = new
+            D[keep, keep] = np.inf
+            D[drop, :] = np.inf
+            D[:, drop] = np.inf
+            active[drop] = False
+            remaining -= 1
+        else:
+            chain.append(b)
+    out = np.array(merges, dtype=np.float64).reshape(-1, 4)
+    order = np.argsort(out[:, 2], kind="stable")
+    return out[order]
 
 
 def cut_maxclust(merges: np.ndarray, m: int, k: int) -> np.ndarray:
-    """Labels 1..k after the first m-k merges, numbered by first member."""
-    parent = list(range(2 * m))
+    """Labels 1..k after the m-k lowest merges, numbered by first member."""
+    parent = list(range(m))
 
     def find(a):
         while parent[a] != a:
@@ -112,12 +132,12 @@ def cut_maxclust(merges: np.ndarray, m: int, k: int) -> np.ndarray:
         return a
 
     for step in range(max(0, m - k)):
-        a, b = int(merges[step, 0]), int(merges[step, 1])
-        parent[find(a)] = m + step
-        parent[find(b)] = m + step
-    roots = [find(p) for p in range(m)]
+        a, b = find(int(merges[step, 0])), find(int(merges[step, 1]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
     order, labels = {}, np.zeros(m, dtype=np.int64)
-    for p, r in enumerate(roots):
+    for p in range(m):
+        r = find(p)
         if r not in order:
             order[r] = len(order) + 1
         labels[p] = order[r]
@@ -387,3 +407,21 @@ def silhouette(df: DataFrame, id_col: str, label_col: str, features: Sequence[st
         (F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b")))
     return s.agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("_label").alias("n_clusters"),
                  F.bround(F.avg(sil), 6).alias("silhouette"))
+
+
+def linkage_table(spark, result: ClusterResult) -> DataFrame:
+    """(step, left, right, distance, size) of the tuned model's linkage plus the
+    colour threshold, the (m - k + 1)-th smallest merge distance."""
+    micro = micro_clusters(result.scaled, [c for c in result.labels.columns if c != "cluster"],
+                           result.features)
+    best = result.best
+    Xm = micro.table[best["features"]].to_numpy(dtype=np.float64)
+    merges = linkage(Xm, micro.table["weight"].to_numpy(dtype=np.float64), best["method"], best["metric"])
+    m, k = len(Xm), best["n_clusters"]
+    idx = min(max(m - k + 1, 0), len(merges) - 1) if len(merges) else 0
+    threshold = float(merges[idx, 2]) if len(merges) else None
+    pdf = pd.DataFrame({"step": np.arange(len(merges), dtype=np.int64), "left": merges[:, 0].astype(np.int64),
+                        "right": merges[:, 1].astype(np.int64), "distance": merges[:, 2],
+                        "size": merges[:, 3], "color_threshold": threshold})
+    return spark.createDataFrame(pdf, "step long, left long, right long, distance double, size double, "
+                                      "color_threshold double")

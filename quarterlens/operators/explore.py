@@ -193,7 +193,7 @@ def _pearson_matrix(df: DataFrame, cols: Sequence[str], names: Sequence[str], di
         num = F.col(sums[(a, b)])
         den = F.sqrt(F.col(sums[(a, a)]) * F.col(sums[(b, b)]))
         r = F.when(den > 0, num / den)
-        return F.bround(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), r)), digits)
+        return F.bround(X.clip(r, -1.0, 1.0), digits)
 
     rows = F.array(*[
         F.struct(F.lit(names[a]).alias("variable"), *[corr(a, b).alias(names[b]) for b in range(len(cols))])

@@ -283,3 +283,17 @@ def q_score_ranges(spark, sf_dir):
 @register("score_ranges_strict", O.with_prefix(score_ranges_sql(strict=True)))
 def q_score_ranges_strict(spark, sf_dir):
     return K.score_ranges(_score("customer")(spark, sf_dir), strict=True)
+
+
+# -------------------------------------------------------------- streaming
+@register("prep_report_stream", O.with_prefix("SELECT * FROM report"))
+def q_prep_report_stream(spark, sf_dir):
+    """S1 + E1 incrementally: land the report files, stream-prepare them, read the table."""
+    from ..functions.materialize import table_folder
+    from ..streaming.landing import land_reports
+    raw = _inputs(spark, sf_dir).report_raw
+    folder = table_folder(raw)
+    raw.write.parquet(f"{folder}/landing")
+    q = land_reports(spark, f"{folder}/landing", f"{folder}/table", f"{folder}/progress")
+    q.awaitTermination()
+    return spark.read.parquet(f"{folder}/table")

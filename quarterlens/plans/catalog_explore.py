@@ -217,7 +217,7 @@ def _pearson_sql(src: str, vals, names) -> str:
 
     def corr(a, b):
         num, den = sname(a, b), f"sqrt({sname(a, a)} * {sname(b, b)})"
-        return f"round_even(least({O.dbl(1.0)}, greatest({O.dbl(-1.0)}, CASE WHEN {den} > 0 THEN {num} / {den} END)), 3)"
+        return f"round_even({O.clip(f'CASE WHEN {den} > 0 THEN {num} / {den} END', -1.0, 1.0)}, 3)"
 
     rows = " UNION ALL ".join(
         f"SELECT '{names[a]}' AS variable, " + ", ".join(f"{corr(a, b)} AS {names[b]}" for b in range(len(vals)))

@@ -337,3 +337,29 @@ def q_final_report(spark, sf_dir):
 @register("report_coverage")
 def q_report_coverage(spark, sf_dir):
     return RP.coverage(_final_report(spark, sf_dir))
+
+
+@register("anomaly_outlier_frequency")
+def q_anomaly_outlier_frequency(spark, sf_dir):
+    """A28 on the explanations of the default model."""
+    model, res = default_model_result(spark, sf_dir)
+    return AN.outlier_frequency(AN.explain(res, model.features, KEYS), model.features)
+
+
+@register("anomaly_grid_by_size")
+def q_anomaly_grid_by_size(spark, sf_dir):
+    """Best score per subset size."""
+    return AN.summary_by_size(_grid(spark, sf_dir).best_per_subset)
+
+
+@register("anomaly_top_features")
+def q_anomaly_top_features(spark, sf_dir):
+    """Feature frequency among the five best subsets."""
+    return AN.top_feature_frequency(_grid(spark, sf_dir).best_per_subset, 5)
+
+
+@register("cluster_linkage")
+def q_cluster_linkage(spark, sf_dir):
+    """Merge table of the tuned model and its colour threshold."""
+    r = _clusters(spark, sf_dir)
+    return CL.linkage_table(spark, r)

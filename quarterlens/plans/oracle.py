@@ -39,7 +39,9 @@ def rate(n: str, d: str) -> str:
 
 
 def dsum(x: str) -> str:
-    return f"coalesce(CAST(sum(CAST({x} AS DECIMAL(20,6))) AS DOUBLE), {dbl(0.0)})"
+    """Exact sum in integer micro-units (same definition as the Spark side)."""
+    micro = f"CAST(CAST(floor({x} * {dbl(1e6)} + {dbl(0.5)}) AS BIGINT) AS DECIMAL(20,0))"
+    return f"coalesce(CAST(sum({micro}) AS DOUBLE) / {dbl(1e6)}, {dbl(0.0)})"
 
 
 def clip(x: str, lo: float = -3.0, hi: float = 3.0) -> str:
