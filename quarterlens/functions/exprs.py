@@ -91,7 +91,15 @@ def micro_units(c) -> Column:
 
 
 def exact_sum(c) -> Column:
-    """Order-independent sum of a money / volume column; 0.0 when all missing."""
+    """Order-independent sum of a money / volume column; 0.0 when all missing.
+
+    Built as one SQL expression for a named column (one round trip instead
+    of one per function call when the plan is constructed).
+    """
+    if isinstance(c, str):
+        name = c.replace("`", "``")
+        return F.expr(f"coalesce(cast(sum(cast(cast(floor(`{name}` * 1000000.0D + 0.5D) as bigint) "
+                      f"as {SUM_DECIMAL})) as double) / 1000000.0D, 0.0D)")
     total = F.sum(micro_units(c).cast(SUM_DECIMAL)).cast("double") / F.lit(MICRO)
     return F.coalesce(total, F.lit(0.0))
 

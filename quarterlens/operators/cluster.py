@@ -42,18 +42,18 @@ SILHOUETTE_BLOCK = 4000
 
 
 # ------------------------------------------------------------ numpy core
-def pairwise(Xm: np.ndarray, metric: str, rows: int = 256) -> np.ndarray:
-    """Full distance matrix, built in row blocks to bound the temporaries."""
+def pairwise(Xm: np.ndarray, metric: str) -> np.ndarray:
+    """Full distance matrix (euclidean via the Gram matrix, clipped at 0)."""
     if metric == "correlation":
         Xm = Xm - Xm.mean(axis=1, keepdims=True)
     elif metric not in ("cosine", "euclidean"):
         raise ValueError(f"unknown metric {metric}")
-    m = len(Xm)
-    D = np.empty((m, m))
     if metric == "euclidean":
-        for a in range(0, m, rows):
-            diff = Xm[a:a + rows, None, :] - Xm[None, :, :]
-            D[a:a + rows] = np.sqrt((diff * diff).sum(axis=2))
+        sq = (Xm * Xm).sum(axis=1)
+        D = sq[:, None] + sq[None, :] - 2.0 * (Xm @ Xm.T)
+        np.maximum(D, 0.0, out=D)
+        np.sqrt(D, out=D)
+        np.fill_diagonal(D, 0.0)
         return D
     norms = np.sqrt((Xm * Xm).sum(axis=1))
     with np.errstate(invalid="ignore", divide="ignore"):
@@ -63,7 +63,8 @@ def pairwise(Xm: np.ndarray, metric: str, rows: int = 256) -> np.ndarray:
     return np.maximum(D, 0.0)
 
 
-def linkage(Xm: np.ndarray, weights: np.ndarray, method: str, metric: str) -> np.ndarray:
+def linkage(Xm: np.ndarray, weights: np.ndarray, method: str, metric: str,
+            distances: np.ndarray | None = None) -> np.ndarray:
     """Merges (a, b, distance, size) of an agglomeration of weighted points, sorted by distance.
 
     Nearest-neighbour chain with Lance-Williams updates: O(m^2) work for the
@@ -73,7 +74,7 @@ def linkage(Xm: np.ndarray, weights: np.ndarray, method: str, metric: str) -> np
     if method == "ward" and metric != "euclidean":
         raise ValueError("ward needs the euclidean metric")
     m = len(Xm)
-    D = pairwise(Xm, metric)
+    D = pairwise(Xm, metric) if distances is None else distances.copy()
     if np.isnan(D).any():
         raise ValueError("undefined distances (constant rows)")
     w = weights.astype(np.float64).copy()
@@ -144,21 +145,23 @@ def cut_maxclust(merges: np.ndarray, m: int, k: int) -> np.ndarray:
     return labels
 
 
-def weighted_silhouette(Xm: np.ndarray, weights: np.ndarray, labels: np.ndarray) -> float:
+def weighted_silhouette(Xm: np.ndarray, weights: np.ndarray, labels: np.ndarray,
+                        distances: np.ndarray | None = None) -> float:
     """Mean silhouette (euclidean) of the points the weighted centroids stand for."""
     uniq = np.unique(labels)
     if len(uniq) < 2:
         return float("nan")
-    D = pairwise(Xm, "euclidean")
+    D = pairwise(Xm, "euclidean") if distances is None else distances
     W = weights.astype(np.float64)
-    s = np.zeros(len(Xm))
-    sums = np.stack([(D * (W * (labels == c))[None, :]).sum(axis=1) for c in uniq], axis=1)
-    sizes = np.array([W[labels == c].sum() for c in uniq])
+    onehot = (labels[:, None] == uniq[None, :]).astype(np.float64) * W[:, None]
+    sums = D @ onehot
+    sizes = onehot.sum(axis=0)
     own = np.searchsorted(uniq, labels)
     own_size = sizes[own]
-    a = np.where(own_size > 1, sums[np.arange(len(Xm)), own] / np.maximum(own_size - 1, 1), 0.0)
+    idx = np.arange(len(Xm))
+    a = np.where(own_size > 1, sums[idx, own] / np.maximum(own_size - 1, 1), 0.0)
     others = sums / sizes[None, :]
-    others[np.arange(len(Xm)), own] = np.inf
+    others[idx, own] = np.inf
     b = others.min(axis=1)
     with np.errstate(invalid="ignore", divide="ignore"):
         s = np.where(own_size > 1, (b - a) / np.maximum(a, b), 0.0)
@@ -209,19 +212,26 @@ def evaluate_tasks(spark, micro: MicroClusters, tasks: list) -> dict:
     if not tasks:
         return {}
     table = micro.table
-    tdf = spark.createDataFrame([(i,) for i in range(len(tasks))], "task int").repartition(
-        min(len(tasks), 64), "task")
+    groups = {feats: g for g, feats in enumerate(dict.fromkeys(t[3] for t in tasks))}
+    tdf = spark.createDataFrame([(i, groups[t[3]]) for i, t in enumerate(tasks)], "task int, fset int")
+    tdf = tdf.repartition(min(len(groups), 64), "fset").select("task")
 
     def run(batches):
+        cache: dict = {}
+        w = table["weight"].to_numpy(dtype=np.float64)
         for pdf in batches:
             out = []
             for t in pdf["task"].tolist():
                 method, metric, k, feats = tasks[t]
                 Xm = table[list(feats)].to_numpy(dtype=np.float64)
-                w = table["weight"].to_numpy(dtype=np.float64)
+                if feats not in cache:
+                    cache.clear()
+                    cache[feats] = pairwise(Xm, "euclidean")
+                De = cache[feats]
                 try:
-                    labels = cut_maxclust(linkage(Xm, w, method, metric), len(Xm), k)
-                    s = weighted_silhouette(Xm, w, labels)
+                    merges = linkage(Xm, w, method, metric, De if metric == "euclidean" else None)
+                    labels = cut_maxclust(merges, len(Xm), k)
+                    s = weighted_silhouette(Xm, w, labels, De)
                 except (ValueError, FloatingPointError):
                     s = float("nan")
                 out.append((t, s))

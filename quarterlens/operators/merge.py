@@ -9,7 +9,7 @@ the number of categories and checked, gets an explicit broadcast hint.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -196,31 +196,42 @@ def quarterly_format(df: DataFrame, keys=tuple(S.QUARTER_KEYS)) -> DataFrame:
     return g.select(*keys, *sorted(measures))
 
 
-@dataclass
 class MergeResult:
-    final: DataFrame
-    missing_channel_team: DataFrame
-    missing_product: DataFrame
-    customer_unmatched: DataFrame
-    product_unmatched: DataFrame
-    name_quality_before: DataFrame
-    name_quality_after: DataFrame
-    enriched: DataFrame
+    """E2 outputs.  ``final`` is built eagerly; the side tables only when read."""
+
+    def __init__(self, report: DataFrame, customers: DataFrame, products: DataFrame,
+                 dictionary: DataFrame):
+        matched, self.customer_unmatched = merge_customers(report, customers)
+        self._cust_matched = matched
+        matched, self.product_unmatched = merge_products(matched, products)
+        self._matched = matched
+        self._filled = fill_channel_team(matched)
+        agg = assigned_aggregation(self._filled)
+        self.enriched = add_category_smo(add_calculated_columns(agg), dictionary)
+        self.final = quarterly_format(self.enriched)
+
+    @cached_property
+    def assigned(self) -> DataFrame:
+        return assign_best_channel_team(self._filled)
+
+    @cached_property
+    def missing_channel_team(self) -> DataFrame:
+        return missing_channel_team(self._matched)
+
+    @cached_property
+    def missing_product(self) -> DataFrame:
+        return missing_product(self.assigned)
+
+    @cached_property
+    def name_quality_before(self) -> DataFrame:
+        return name_quality(self._cust_matched)
+
+    @cached_property
+    def name_quality_after(self) -> DataFrame:
+        return name_quality(self.assigned)
 
 
 def data_merge(report: DataFrame, customers: DataFrame, products: DataFrame,
                dictionary: DataFrame) -> MergeResult:
     """The whole merge chain as one lazy plan with named side outputs."""
-    matched, cust_unmatched = merge_customers(report, customers)
-    nq_before = name_quality(matched)
-    matched, prod_unmatched = merge_products(matched, products)
-    mct = missing_channel_team(matched)
-    filled = fill_channel_team(matched)
-    assigned = assign_best_channel_team(filled)
-    nq_after = name_quality(assigned)
-    missing = missing_product(assigned)
-    agg = assigned_aggregation(filled)
-    enriched = add_category_smo(add_calculated_columns(agg), dictionary)
-    final = quarterly_format(enriched)
-    return MergeResult(final, mct, missing, cust_unmatched, prod_unmatched,
-                       nq_before, nq_after, enriched)
+    return MergeResult(report, customers, products, dictionary)
