@@ -580,3 +580,23 @@ def anomaly_summary(result: DataFrame, features: Sequence[str], id_columns: Sequ
         nat = national.select(*[F.col(f).alias(f"national_{f}") for f in features if f in national.columns])
         out = out.crossJoin(F.broadcast(nat.limit(1)))
     return out
+
+
+def ranked_experiments(best_per_subset: DataFrame, top: int = 10) -> DataFrame:
+    """M8: the best subsets ranked by mean score (a top-k report over <= #subsets rows)."""
+    topn = best_per_subset.orderBy(F.desc("mean_score"), F.asc("subset")).limit(top)
+    w = Window.orderBy(F.desc("mean_score"), F.asc("subset"))
+    return topn.select(F.row_number().over(w).alias("rank"), F.col("features").alias("features_selected"),
+                       "n_features", "contamination", "n_estimators", "max_samples",
+                       F.bround("mean_score", 4).alias("mean_score"))
+
+
+def grid_statistics(best_per_subset: DataFrame) -> DataFrame:
+    """M8 statistics: combinations evaluated, feature range, best / mean / std score."""
+    return best_per_subset.agg(
+        F.count(F.lit(1)).alias("total_combinations_evaluated"),
+        F.concat(F.min("n_features").cast("string"), F.lit("-"), F.max("n_features").cast("string"))
+        .alias("feature_range"),
+        F.max("mean_score").alias("best_mean_score"),
+        F.bround(F.avg("mean_score"), 4).alias("mean_mean_score"),
+        F.bround(F.stddev_samp("mean_score"), 4).alias("std_mean_score"))

@@ -435,3 +435,23 @@ def linkage_table(spark, result: ClusterResult) -> DataFrame:
                         "size": merges[:, 3], "color_threshold": threshold})
     return spark.createDataFrame(pdf, "step long, left long, right long, distance double, size double, "
                                       "color_threshold double")
+
+
+def top_experiment_counts(grid: DataFrame, top: int = 10) -> DataFrame:
+    """How often each method and metric appears among the top experiments."""
+    topn = grid.where(F.col("silhouette").isNotNull()).orderBy(F.desc("silhouette"), F.asc("experiment")).limit(top)
+    long = topn.select(F.inline(F.array(
+        F.struct(F.lit("method").alias("kind"), F.col("method").alias("value")),
+        F.struct(F.lit("metric").alias("kind"), F.col("metric").alias("value")))))
+    counted = long.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("count"))
+    total = topn.agg(F.count(F.lit(1)).alias("_n"))
+    return counted.crossJoin(F.broadcast(total)).select(
+        "kind", "value", "count", F.bround(F.col("count") * F.lit(100.0) / F.col("_n"), 1).alias("pct"))
+
+
+def cluster_sizes(labels: DataFrame) -> DataFrame:
+    """Rows per cluster and their share."""
+    sizes = labels.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    total = labels.agg(F.count(F.lit(1)).alias("_n"))
+    return sizes.crossJoin(F.broadcast(total)).select(
+        "cluster", "size", F.bround(F.col("size") * F.lit(100.0) / F.col("_n"), 1).alias("pct"))

@@ -123,3 +123,16 @@ def score_ranges(scored: DataFrame, strict: bool = False) -> DataFrame:
         F.col("count").cast("long").alias("count"),
         F.bround(X.ieee_div(F.lit(100.0) * F.col("count"), total), 2).alias("pct"),
     )
+
+
+def score_histogram(scored: DataFrame, bins: int = 30) -> DataFrame:
+    """A35 (score part): equal-width SCORE histogram with the mean and median."""
+    from ..functions.ranking import quantiles_long
+    from .explore import histogram_feed
+    hist = histogram_feed(scored, ["SCORE"], bins=bins, trim=False)
+    s = scored.where(F.col("SCORE").isNotNull())
+    mean = s.agg(X.ieee_div(F.sum(F.col("SCORE").cast("decimal(38,18)")).cast("double"),
+                            F.count(F.lit(1))).alias("mean_score"))
+    med = quantiles_long(s.select(F.lit("SCORE").alias("column"), "SCORE"), "SCORE", [0.5], ["column"])
+    return (hist.join(med.select("column", F.col("q").alias("median_score")), "column", "left")
+            .crossJoin(F.broadcast(mean)))

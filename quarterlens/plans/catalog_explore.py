@@ -248,18 +248,20 @@ def q_corr_spearman(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- A35
-def _histogram_sql(bins: int = 30) -> str:
-    raw = _long_num_sql("ex", HIST_COLUMNS)
-    ctes = (f"h_lng0 AS (SELECT \"column\", {O.finite('value')} AS value FROM ({raw}) r "
-            f"WHERE {O.finite('value')} IS NOT NULL), h_lng AS ({trimmed_sql('h_lng0')}), "
-            "h_rng AS (SELECT \"column\", min(value) AS _lo, max(value) AS _hi FROM h_lng GROUP BY \"column\")")
+def _histogram_sql(bins: int = 30, src: str = "ex", cols=HIST_COLUMNS, trim: bool = True,
+                   extra_ctes: str = "", tail: str = "") -> str:
+    raw = _long_num_sql(src, cols)
+    ctes = (extra_ctes + f"h_lng0 AS (SELECT \"column\", {O.finite('value')} AS value FROM ({raw}) r "
+            f"WHERE {O.finite('value')} IS NOT NULL), "
+            + (f"h_lng AS ({trimmed_sql('h_lng0')}), " if trim else "h_lng AS (SELECT * FROM h_lng0), ")
+            + "h_rng AS (SELECT \"column\", min(value) AS _lo, max(value) AS _hi FROM h_lng GROUP BY \"column\")")
     idx = (f"CASE WHEN r._hi - r._lo > 0 THEN CAST(least({bins - 1}, floor((l.value - r._lo) * "
            f"({O.dbl(float(bins))} / (r._hi - r._lo)))) AS INTEGER) ELSE 0 END")
     counted = (f"SELECT l.\"column\", {idx} AS bin, count(*) AS count FROM h_lng l JOIN h_rng r "
                f"ON l.\"column\" = r.\"column\" GROUP BY 1, 2")
     body = (f"SELECT r.\"column\", b.bin, r._lo + (r._hi - r._lo) * b.bin / {O.dbl(float(bins))} AS bin_lo, "
             f"r._lo + (r._hi - r._lo) * (b.bin + 1) / {O.dbl(float(bins))} AS bin_hi, "
-            f"CAST(coalesce(c.count, 0) AS BIGINT) AS count "
+            f"CAST(coalesce(c.count, 0) AS BIGINT) AS count{tail} "
             f"FROM h_rng r CROSS JOIN (SELECT CAST(range AS INTEGER) AS bin FROM range(0, {bins})) b "
             f"LEFT JOIN ({counted}) c ON r.\"column\" = c.\"column\" AND b.bin = c.bin")
     return sql(body, ctes)
@@ -268,3 +270,22 @@ def _histogram_sql(bins: int = 30) -> str:
 @register("histogram_feed", _histogram_sql())
 def q_histogram_feed(spark, sf_dir):
     return EX.histogram_feed(explore_base(spark, sf_dir), HIST_COLUMNS)
+
+
+def _score_histogram_sql(bins: int = 30) -> str:
+    sc = (f"sc AS (SELECT * FROM ({O.score_sql(CUSTOMER_DIMS)}) s), "
+          f"sc_mean AS (SELECT {O.div('CAST(sum(CAST(SCORE AS DECIMAL(38,18))) AS DOUBLE)', 'count(*)')} "
+          "AS mean_score FROM sc WHERE SCORE IS NOT NULL), "
+          "sc_long AS (SELECT 'SCORE' AS \"column\", SCORE AS value FROM sc WHERE SCORE IS NOT NULL), "
+          f"sc_med AS (SELECT q AS median_score FROM ({quantile_sql('sc_long', [0.5])}) m), ")
+    tail = ", (SELECT median_score FROM sc_med) AS median_score, (SELECT mean_score FROM sc_mean) AS mean_score"
+    return _histogram_sql(bins, "sc", ["SCORE"], False, sc, tail)
+
+
+@register("score_histogram", _score_histogram_sql())
+def q_score_histogram(spark, sf_dir):
+    from ..operators import score as K
+    final = final_in_scope(spark, sf_dir)
+    scored = K.score(Q.national_summary(final), Q.group_summary(final, CUSTOMER_DIMS, RUN.years),
+                     CUSTOMER_DIMS, RUN.score_year)
+    return K.score_histogram(scored)

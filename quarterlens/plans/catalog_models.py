@@ -363,3 +363,27 @@ def q_cluster_linkage(spark, sf_dir):
     """Merge table of the tuned model and its colour threshold."""
     r = _clusters(spark, sf_dir)
     return CL.linkage_table(spark, r)
+
+
+@register("anomaly_ranked")
+def q_anomaly_ranked(spark, sf_dir):
+    """M8: ranked experiment table (top 10 subsets)."""
+    return AN.ranked_experiments(_grid(spark, sf_dir).best_per_subset, 10)
+
+
+@register("anomaly_grid_stats")
+def q_anomaly_grid_stats(spark, sf_dir):
+    """M8: statistics of the grid."""
+    return AN.grid_statistics(_grid(spark, sf_dir).best_per_subset)
+
+
+@register("cluster_top_counts")
+def q_cluster_top_counts(spark, sf_dir):
+    """Methods / metrics among the ten best experiments."""
+    return CL.top_experiment_counts(_clusters(spark, sf_dir).grid, 10)
+
+
+@register("cluster_sizes")
+def q_cluster_sizes(spark, sf_dir):
+    """Cluster sizes and shares."""
+    return CL.cluster_sizes(_clusters(spark, sf_dir).labels)
