@@ -38,15 +38,19 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
 
 
 def value_positions(df: DataFrame, value: str, groups: Sequence[str] = (),
-                    buckets: int | None = None, materialize: bool = True) -> DataFrame:
+                    buckets: int | None = None, materialize: bool = True,
+                    weight: str | None = None) -> DataFrame:
     """Distinct non-missing values per group with ``count``, ``before`` and group size ``n``.
 
-    The distinct-value table feeds three branches (bounds, in-bucket window,
-    bucket totals), so it is checkpointed once unless ``materialize=False``.
+    With ``weight`` the counts are sums of that column (``before`` = total
+    weight of strictly smaller values).  The distinct-value table feeds three
+    branches (bounds, in-bucket window, bucket totals), so it is checkpointed
+    once unless ``materialize=False``.
     """
     groups = list(groups)
     v = F.col(value)
-    d = df.where(v.isNotNull()).groupBy(*groups, value).agg(F.count(F.lit(1)).alias("count"))
+    cnt = F.sum(weight).cast("long") if weight else F.count(F.lit(1))
+    d = df.where(v.isNotNull()).groupBy(*groups, value).agg(cnt.alias("count"))
     if materialize:
         d = cut(d)
     p = _bucket_count(df, buckets)

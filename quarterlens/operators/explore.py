@@ -226,6 +226,9 @@ def correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson",
         ranked = long.join(ranks, ["column", "value"])
         wide = ranked.groupBy(*keys).pivot("column", vals).agg(F.first("rank"))
         return _pearson_matrix(wide, vals, cols)
+    if method == "kendall":
+        from .kendall import kendall_matrix
+        return kendall_matrix(clean, vals, cols)
     raise ValueError(f"unsupported method {method}")
 
 

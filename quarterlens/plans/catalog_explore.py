@@ -289,3 +289,34 @@ def q_score_histogram(spark, sf_dir):
     scored = K.score(Q.national_summary(final), Q.group_summary(final, CUSTOMER_DIMS, RUN.years),
                      CUSTOMER_DIMS, RUN.score_year)
     return K.score_histogram(scored)
+
+
+def _kendall_sql() -> str:
+    cols = CORR_COLUMNS
+    combos = [(a, b) for a in range(len(cols)) for b in range(a + 1, len(cols))]
+    aggs = ["count(*) AS n0"]
+    for i, (a, b) in enumerate(combos):
+        ca, cb = f"_v_{cols[a]}", f"_v_{cols[b]}"
+        aggs += [f"sum(sign(p.{ca} - q.{ca}) * sign(p.{cb} - q.{cb})) AS s{i}",
+                 f"sum(CASE WHEN p.{ca} = q.{ca} THEN 1 ELSE 0 END) AS ta{i}",
+                 f"sum(CASE WHEN p.{cb} = q.{cb} THEN 1 ELSE 0 END) AS tb{i}"]
+    ctes = (f"cc AS ({_cc_sql(cols)}), kk AS (SELECT row_number() OVER () AS rid, * FROM cc), "
+            f"ks AS (SELECT {', '.join(aggs)} FROM kk p JOIN kk q ON p.rid < q.rid)")
+    index = {pair: i for i, pair in enumerate(combos)}
+
+    def cell(a, b):
+        if a == b:
+            return O.dbl(1.0)
+        i = index[(min(a, b), max(a, b))]
+        den = f"sqrt(CAST(n0 - ta{i} AS DOUBLE) * CAST(n0 - tb{i} AS DOUBLE))"
+        return f"round_even({O.clip(f'CASE WHEN {den} > 0 THEN CAST(s{i} AS DOUBLE) / {den} END', -1.0, 1.0)}, 3)"
+
+    rows = " UNION ALL ".join(
+        f"SELECT '{cols[a]}' AS variable, " + ", ".join(f"{cell(a, b)} AS {cols[b]}" for b in range(len(cols)))
+        + " FROM ks" for a in range(len(cols)))
+    return sql(f"SELECT * FROM ({rows}) x", ctes)
+
+
+@register("corr_kendall", _kendall_sql())
+def q_corr_kendall(spark, sf_dir):
+    return EX.correlation(explore_base(spark, sf_dir), CORR_COLUMNS, "kendall")

@@ -63,3 +63,29 @@ def test_silhouette_matches_brute_force(spark):
     assert abs(got.silhouette - round(float(np.mean(s)), 6)) < 1e-9
     assert CL.weighted_silhouette(X, np.ones(40), lab + 1) == np.float64(np.mean(s)) or \
         abs(CL.weighted_silhouette(X, np.ones(40), lab + 1) - np.mean(s)) < 1e-12
+
+
+def test_kendall_matches_brute_force(spark):
+    from quarterlens.operators import explore as EX
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 6, size=80).astype(float)
+    y = (x + rng.integers(0, 4, size=80)).astype(float)
+    z = rng.normal(size=80)
+    x[:30] = 2.0                                   # a hot x value
+    pdf = pd.DataFrame({"x": x, "y": y, "z": z})
+    got = {r.variable: r for r in EX.correlation(spark.createDataFrame(pdf), ["x", "y", "z"], "kendall").collect()}
+
+    def tau(u, v):
+        du = np.sign(u[:, None] - u[None, :])
+        dv = np.sign(v[:, None] - v[None, :])
+        iu = np.triu_indices(len(u), 1)
+        s = (du * dv)[iu].sum()
+        n0 = len(iu[0])
+        n1 = (du[iu] == 0).sum()
+        n2 = (dv[iu] == 0).sum()
+        return s / np.sqrt((n0 - n1) * (n0 - n2))
+
+    for a in ["x", "y", "z"]:
+        for b in ["x", "y", "z"]:
+            want = 1.0 if a == b else tau(pdf[a].to_numpy(), pdf[b].to_numpy())
+            assert abs(got[a][b] - round(float(want), 3)) < 1e-9, (a, b, got[a][b], want)
