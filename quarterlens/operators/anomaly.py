@@ -600,3 +600,37 @@ def grid_statistics(best_per_subset: DataFrame) -> DataFrame:
         F.max("mean_score").alias("best_mean_score"),
         F.bround(F.avg("mean_score"), 4).alias("mean_mean_score"),
         F.bround(F.stddev_samp("mean_score"), 4).alias("std_mean_score"))
+
+
+def validate_inputs(train: DataFrame, test: DataFrame, features: Sequence[str],
+                    min_train: int = 10, min_test: int = 3) -> None:
+    """Required feature columns present, at least ``min_train`` / ``min_test`` rows."""
+    for name, df in (("train", train), ("test", test)):
+        missing = [f for f in features if f not in df.columns]
+        if missing:
+            raise ValueError(f"{name} table lacks features {missing}")
+    if train.limit(min_train).count() < min_train:
+        raise ValueError(f"fewer than {min_train} training rows")
+    if test.limit(min_test).count() < min_test:
+        raise ValueError(f"fewer than {min_test} test rows")
+
+
+def scale_table(spark, model: AnomalyModel) -> DataFrame:
+    """M9: the robust-scaling parameters of a fitted model (one row per feature)."""
+    sp = model.fit.specs[model.forest]
+    rows = [(f, float(model.fit.scales[sp.subset][f][0]), float(model.fit.scales[sp.subset][f][1]))
+            for f in sp.features]
+    return spark.createDataFrame(rows, "feature string, center double, scale double")
+
+
+def combined_report(result: DataFrame, explanations: DataFrame, features: Sequence[str]) -> DataFrame:
+    """A23 metrics with the explanation statistics (one row)."""
+    ex = explanations.agg(F.count(F.lit(1)).alias("explained_anomalies"),
+                          F.avg("outlier_count").alias("avg_outlier_count"),
+                          F.max("outlier_count").alias("max_outlier_count"))
+    freq = outlier_frequency(explanations, features)
+    top = freq.orderBy(F.desc("n_anomalies_outlier"), F.asc("feature")).limit(1).select(
+        F.lit(1).alias("_k"), F.col("feature").alias("top_outlier_feature"),
+        F.col("n_anomalies_outlier").alias("top_outlier_count"))
+    out = metrics(result).crossJoin(ex).withColumn("_k", F.lit(1))
+    return out.join(top, "_k", "left").drop("_k")

@@ -160,6 +160,7 @@ def _best_model(spark, sf_dir, grid=None):
 def default_model_result(spark, sf_dir):
     """The reference's default fit: all five features, 100 trees, contamination .05, auto."""
     train, test = train_table(spark, sf_dir), test_table(spark, sf_dir)
+    AN.validate_inputs(train, test, ANOMALY_FEATURES)
     model = AN.fit_model(train, KEYS, ANOMALY_FEATURES, 100, 0.05, "auto")
     return model, AN.predict(test, model, KEYS)
 
@@ -387,3 +388,17 @@ def q_cluster_top_counts(spark, sf_dir):
 def q_cluster_sizes(spark, sf_dir):
     """Cluster sizes and shares."""
     return CL.cluster_sizes(_clusters(spark, sf_dir).labels)
+
+
+@register("anomaly_report")
+def q_anomaly_report(spark, sf_dir):
+    """Combined metrics and explanation statistics of the default model."""
+    model, res = default_model_result(spark, sf_dir)
+    return AN.combined_report(res, AN.explain(res, model.features, KEYS), model.features)
+
+
+@register("anomaly_scales")
+def q_anomaly_scales(spark, sf_dir):
+    """M9: scaling parameters of the default model."""
+    model, _ = default_model_result(spark, sf_dir)
+    return AN.scale_table(spark, model)
