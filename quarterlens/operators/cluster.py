@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.materialize import cut
 from . import scale as SC
 
 # fixed values: the valid (method, metric) pairs of the reference grid
@@ -212,9 +213,14 @@ def evaluate_tasks(spark, micro: MicroClusters, tasks: list) -> dict:
     if not tasks:
         return {}
     table = micro.table
+    # order tasks by feature set and cut the order into ranges: tasks sharing
+    # a feature set mostly land in the same partition (distance-matrix reuse)
+    # while the ranges spread over every core
     groups = {feats: g for g, feats in enumerate(dict.fromkeys(t[3] for t in tasks))}
-    tdf = spark.createDataFrame([(i, groups[t[3]]) for i, t in enumerate(tasks)], "task int, fset int")
-    tdf = tdf.repartition(min(len(groups), 64), "fset").select("task")
+    order = sorted(range(len(tasks)), key=lambda i: (groups[tasks[i][3]], i))
+    parts = max(1, min(len(tasks), 2 * spark.sparkContext.defaultParallelism))
+    tdf = spark.createDataFrame([(t, pos) for pos, t in enumerate(order)], "task int, pos int")
+    tdf = tdf.repartitionByRange(parts, "pos").select("task")
 
     def run(batches):
         cache: dict = {}
@@ -305,9 +311,10 @@ def full_analysis(data: DataFrame, keys: Sequence[str], features: Sequence[str],
                   iqr_k: float = 1.5, threshold: int = 1, m: int = MAX_MICRO) -> ClusterResult:
     """P18 -> M1 -> C4 -> C7 (SFS and RFE per cell) -> C9."""
     spark = data.sparkSession
+    data = cut(data.select(*keys, *features))
     clean = SC.iqr_filter(data, list(features), iqr_k, threshold, exclude_outliers).kept
     scales = SC.robust_fit(clean, list(features))
-    scaled = SC.robust_transform(clean, scales, list(features)).select(*keys, *features)
+    scaled = cut(SC.robust_transform(clean, scales, list(features)).select(*keys, *features))
     micro = micro_clusters(scaled, keys, features, m)
     cells = [(meth, met, k) for meth, met in LINKAGE_PAIRS for k in k_range]
     # C4: all features

@@ -69,9 +69,10 @@ def _fence_columns(fences: DataFrame, features: Sequence[str]) -> DataFrame:
         *[F.max(F.when(F.col("feature") == F.lit(f), F.col("upper"))).alias(f"_hi_{f}") for f in features])
 
 
-def outlier_flags(df: DataFrame, features: Sequence[str], k: float = 1.5) -> DataFrame:
+def outlier_flags(df: DataFrame, features: Sequence[str], k: float = 1.5,
+                  fences: DataFrame | None = None) -> DataFrame:
     """Adds ``_out_{f}`` (value outside the fences) and ``outlier_count``."""
-    fences = _fence_columns(iqr_fences(df, features, k), features)
+    fences = _fence_columns(fences if fences is not None else iqr_fences(df, features, k), features)
     j = df.crossJoin(F.broadcast(fences))
     flags = {f"_out_{f}": F.coalesce((F.col(f) < F.col(f"_lo_{f}")) | (F.col(f) > F.col(f"_hi_{f}")),
                                      F.lit(False)) for f in features}
@@ -93,7 +94,7 @@ def iqr_filter(df: DataFrame, columns: Sequence[str], k: float = 1.5, threshold:
     """Drop rows with ``threshold`` or more features outside the IQR fences."""
     feats = [c for c in columns if c not in set(exclude)]
     fences = iqr_fences(df, feats, k)
-    flagged = outlier_flags(df, feats, k)
+    flagged = outlier_flags(df, feats, k, fences)
     kept = flagged.where(F.col("outlier_count") < threshold).select(*df.columns)
     removed = flagged.where(F.col("outlier_count") >= threshold).select(*df.columns, "outlier_count")
     report = flagged.agg(
