@@ -40,6 +40,16 @@ from ..functions.ranking import quantiles_long
 from . import scale as SC
 
 EULER_GAMMA = 0.5772156649015329
+
+
+def compute_slots(spark, groups: int) -> int:
+    """Partitions for a CPU-bound pandas stage: one per group up to 4 per core.
+
+    The count is explicit so adaptive execution keeps it: the input of these
+    stages is small in bytes (a few MB) but heavy in Python work, and a
+    coalesced single partition would run every group in one task.
+    """
+    return max(1, min(groups, 4 * spark.sparkContext.defaultParallelism))
 MASK64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 ROWS_PER_GROUP = 50_000
 
@@ -115,7 +125,7 @@ def grow_tree(X: np.ndarray, rng: np.random.Generator, max_depth: int):
         usable = np.flatnonzero(hi > lo)
         if usable.size == 0:
             continue
-        f = int(rng.choice(usable))
+        f = int(usable[rng.integers(usable.size)])
         t = float(rng.uniform(lo[f], hi[f]))
         if t >= hi[f]:
             t = float(lo[f])
@@ -247,29 +257,33 @@ def fit_forests(train: DataFrame, keys: Sequence[str], subsets: Sequence[tuple],
             t = int(key[0])
             pdf = pdf.sort_values(["prio", "_h"], kind="mergesort")
             Xall = pdf[all_features].to_numpy(dtype=np.float64)
-            rows = []
-            for forest, subset, psi, cols in spec_rows:
-                sub = Xall[:, cols]
-                valid = ~np.isnan(sub).any(axis=1)
-                sample = sub[valid][:psi]
+            cols = {c: [] for c in ("forest", "node", "feature", "threshold", "left", "right", "size",
+                                    "depth", "short")}
+            for forest, subset, psi, fcols in spec_rows:
+                sub = Xall[:, fcols]
+                sample = sub[~np.isnan(sub).any(axis=1)][:psi]
                 if len(sample) < psi:
-                    rows.append(pd.DataFrame({"forest": [forest], "tree": [t], "node": [0], "feature": [-1],
-                                              "threshold": [0.0], "left": [-1], "right": [-1], "size": [0],
-                                              "depth": [0], "short": [True]}))
-                    continue
-                sample = (sample - centers[subset]) / widths[subset]
-                rng = np.random.default_rng([seed, subset, psi, t])
-                tr = grow_tree(sample, rng, _tree_depth_limit(psi))
+                    tr = (np.array([-1]), np.array([0.0]), np.array([-1]), np.array([-1]),
+                          np.array([0]), np.array([0]))
+                    short = True
+                else:
+                    sample = (sample - centers[subset]) / widths[subset]
+                    rng = np.random.default_rng([seed, subset, psi, t])
+                    tr = grow_tree(sample, rng, _tree_depth_limit(psi))
+                    short = False
                 k = len(tr[0])
-                rows.append(pd.DataFrame({"forest": np.full(k, forest, dtype=np.int32),
-                                          "tree": np.full(k, t, dtype=np.int32),
-                                          "node": np.arange(k, dtype=np.int32), "feature": tr[0],
-                                          "threshold": tr[1], "left": tr[2], "right": tr[3],
-                                          "size": tr[4], "depth": tr[5], "short": np.zeros(k, dtype=bool)}))
-            return pd.concat(rows, ignore_index=True)
+                cols["forest"].append(np.full(k, forest, dtype=np.int32))
+                cols["node"].append(np.arange(k, dtype=np.int32))
+                for name, arr in zip(("feature", "threshold", "left", "right", "size", "depth"), tr):
+                    cols[name].append(arr)
+                cols["short"].append(np.full(k, short, dtype=bool))
+            out = {name: np.concatenate(parts) for name, parts in cols.items()}
+            out["tree"] = np.full(len(out["forest"]), t, dtype=np.int32)
+            return pd.DataFrame(out)[[f.name for f in NODE_SCHEMA.fields]]
 
         cands = base.mapInPandas(candidates, cand_schema)
-        nodes = cut(cands.groupBy("tree").applyInPandas(grow, NODE_SCHEMA))
+        slots = compute_slots(cands.sparkSession, n_trees)
+        nodes = cut(cands.repartition(slots, "tree").groupBy("tree").applyInPandas(grow, NODE_SCHEMA))
         short = nodes.where(F.col("short")).limit(1).count()
         if short == 0 or tau >= 1.0:
             break
@@ -344,6 +358,9 @@ def score_rows(rows: DataFrame, fit: ForestFit, keys: Sequence[str], forests: Se
             return empty()
         return pd.concat(parts, ignore_index=True)
 
+    slots = compute_slots(spark, len(forest_ids) * chunks)
+    left = left.repartition(slots, "forest", "_chunk")
+    right = right.repartition(slots, "forest", "_chunk")
     return (left.groupBy("forest", "_chunk")
             .cogroup(right.groupBy("forest", "_chunk"))
             .applyInPandas(score, out_schema))

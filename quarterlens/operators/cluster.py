@@ -411,6 +411,9 @@ def silhouette(df: DataFrame, id_col: str, label_col: str, features: Sequence[st
                     "_to": np.int64(c), "_sum": (d * mask).sum(axis=1), "_cnt": mask.sum(axis=1)}))
         return pd.concat(parts, ignore_index=True)
 
+    slots = max(1, min(nb * nb, 4 * df.sparkSession.sparkContext.defaultParallelism))
+    left = left.repartition(slots, "_bi", "_bj")
+    right = right.repartition(slots, "_bi", "_bj")
     sums = (left.groupBy("_bi", "_bj").cogroup(right.groupBy("_bi", "_bj"))
             .applyInPandas(partial, schema))
     per = sums.groupBy("_id", "_label", "_to").agg(F.sum("_sum").alias("s"), F.sum("_cnt").alias("c"))

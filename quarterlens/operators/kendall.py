@@ -87,7 +87,9 @@ def tau_b(long: DataFrame, buckets: int = 16) -> DataFrame:
     pos = value_positions(offered.unionByName(asked), "y", ["pair", "qb"], weight="dw")
     cross = (entries.join(pos.select("pair", F.col("qb").alias("xb"), "y", "before"), ["pair", "xb", "y"])
              .groupBy("pair").agg(F.sum(F.col("w") * F.col("before")).alias("c_cross")))
-    within = (pb.select("pair", "xb", "x", "y", "w").groupBy("pair", "xb")
+    from .anomaly import compute_slots
+    slots = compute_slots(long.sparkSession, 2 * buckets * 8)
+    within = (pb.select("pair", "xb", "x", "y", "w").repartition(slots, "pair", "xb").groupBy("pair", "xb")
               .applyInPandas(_within, "pair long, c long")
               .groupBy("pair").agg(F.sum("c").alias("c_within")))
     out = (tot.join(tx, "pair").join(ty, "pair").join(cross, "pair", "left").join(within, "pair", "left")
