@@ -542,11 +542,15 @@ def explain(result: DataFrame, features: Sequence[str], id_columns: Sequence[str
     Fences (A27) and medians come from every result row; statuses are
     'bajo' / 'alto' / 'normal' / 'N/A' and the text lists the outlying features.
     """
-    fences = SC.iqr_fences(result, features, k)
     from ..functions.ranking import stack_columns
     long = stack_columns(result, list(features)).withColumnRenamed("column", "feature").where(F.col("value").isNotNull())
-    med = quantiles_long(long, "value", [0.5], ["feature"]).select("feature", F.col("q").alias("median"))
-    params = fences.join(med, "feature", "left").agg(
+    q = quantiles_long(long, "value", [0.25, 0.5, 0.75], ["feature"])   # one pass: fences and medians
+    per = q.groupBy("feature").agg(*[F.max(F.when(F.col("p") == F.lit(p), F.col("q"))).alias(n)
+                                     for p, n in ((0.25, "q1"), (0.5, "median"), (0.75, "q3"))])
+    iqr = F.col("q3") - F.col("q1")
+    per = per.select("feature", "median", (F.col("q1") - F.lit(float(k)) * iqr).alias("lower"),
+                     (F.col("q3") + F.lit(float(k)) * iqr).alias("upper"))
+    params = per.agg(
         *[F.max(F.when(F.col("feature") == F.lit(f), F.col(c))).alias(f"_{c}_{f}")
           for f in features for c in ("lower", "upper", "median")])
     an = result.where(F.col("anomaly")).crossJoin(F.broadcast(params))
