@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import merge as M
 from ..operators import score as K
+from ..session import ship_package
 from ..operators import summary as Q
 from . import oracle as O
 from . import pipeline as PL
@@ -29,6 +30,7 @@ def register(name: str, sql: str | None = None):
     """Register a query; each call starts with an empty memo of shared tables."""
     def deco(fn: Builder) -> Builder:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             _MEMO.clear()
             return fn(spark, sf_dir)
         run.__name__ = fn.__name__
