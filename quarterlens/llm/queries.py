@@ -48,7 +48,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return line_dedup.line_dedup(docs.select("doc_id", "text")).select(
-        "doc_id", F.col("dedup.lines").alias("lines"), F.col("dedup.removed_lines").alias("removed_lines"),
+        "doc_id", F.col("dedup.removed_lines").alias("removed_lines"),
         F.col("dedup.removed_words").alias("removed_words"), F.col("dedup.text").alias("text"))
 
 
