@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from struct import pack as pack_ids
 from typing import Iterator
 
 import numpy as np
@@ -32,28 +33,80 @@ from ._common import bucket_bits, exclusive_prefix, hash_bucket
 LIMIT = 2048
 END_ID = 0
 RANK_BITS = 44
-MEMO_WORDS = 200_000  # words whose ids a task remembers
+MEMO_WORDS = 600_000  # words whose ids a worker remembers
 # The tokenizer drops white space and cuts there, so ids can be made word by word.
 _GAPS = re.compile(r"[ \t\n\r]+")
+_ODD_BLANK = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u3000]")
+
+
+# Words of plain Latin letters and signs at their end. Such a word has one normal form, and the
+# tokenizer cuts it before the signs, so its model alone gives the ids; other words take the long way.
+_PLAIN = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]+)([!-/:-@\[-`{-~]*)\Z")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary (the published mapping)."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
+class _Memo(dict):
+    """Ids by word; a word that is not there yet is made."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self[word] = self.make(word)
+        return ids
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit numbers; each distinct word is encoded once."""
+    """Ids of texts as little-endian 32-bit numbers; a word met before is looked up."""
 
     def __init__(self, tokenizer_path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.memo: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
+        self.memo = _Memo(self._word)
+
+    def _piece(self, piece: str) -> list[int]:
+        if not piece:
+            return []
+        if not piece.isascii():
+            piece = piece.encode("utf-8").decode("latin-1").translate(self.letters)
+        return [t.id for t in self.model.tokenize(piece)]
+
+    def _word(self, word: str) -> bytes:
+        plain = _PLAIN.match(word)
+        if plain:
+            ids = self._piece(plain[1].lower()) + self._piece(plain[2])
+        else:
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_GAPS.split(t) for t in texts]
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        unseen = list({w for words in split for w in words if w not in memo})
-        for w, e in zip(unseen, self.tokenizer.encode_batch(unseen, add_special_tokens=False)):
-            memo[w] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join([memo[w] for w in words]) for words in split]
+        memo, out = self.memo, []
+        for t in texts:
+            if len(memo) > MEMO_WORDS:
+                memo.clear()
+            # Blanks beyond the usual ones stay inside words; the tokenizer deals with them.
+            words = _GAPS.split(t) if _ODD_BLANK.search(t) else t.split()
+            out.append(b"".join(map(memo.__getitem__, words)))
+        return out
+
+
+_CODERS: dict[str, WordIds] = {}
+
+
+def coder(tokenizer_path: str) -> WordIds:
+    """One per Python worker, so that its memory of words outlasts a task."""
+    if tokenizer_path not in _CODERS:
+        _CODERS[tokenizer_path] = WordIds(tokenizer_path)
+    return _CODERS[tokenizer_path]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_col: str = "doc_id",
@@ -63,7 +116,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, limit: int = LIMIT, id_co
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = WordIds(tokenizer_path)
+        ids = coder(tokenizer_path)
         for pdf in batches:
             for lo in range(0, len(pdf), 256):
                 part = pdf.iloc[lo:lo + 256]
@@ -177,9 +230,9 @@ def sequences(docs: DataFrame, layout: DataFrame, tokenizer_path: str, limit: in
     end = np.asarray([END_ID], "<u4").tobytes()
 
     def ids_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = WordIds(tokenizer_path)
+        ids = coder(tokenizer_path)
         for pdf in batches:
-            data = coder.encode([t or "" for t in pdf["text"]])
+            data = ids.encode([t or "" for t in pdf["text"]])
             rows = [(s, o, np.frombuffer(d + end, "<u4")[a:a + n].tolist()) for s, o, d, a, n in zip(
                 pdf["sequence_id"], pdf["offset"], data, pdf["start"], pdf["length"])]
             yield pd.DataFrame(rows, columns=["sequence_id", "offset", "ids"])
