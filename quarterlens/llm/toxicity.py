@@ -1,8 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick on folded text.
 
-Folding maps look-alike letters of other scripts, full-width forms, accents
-and digit substitutions (1d10t) to plain letters; a word of digits alone
-stays out.  The lexicon holds word beginnings, learned from labelled texts: a
+Folding maps look-alike letters of other scripts, full-width forms and digit
+substitutions (1d10t) to plain letters; a word of digits alone stays out, and
+an accented word is matched with and without its accents.  The lexicon holds word beginnings, learned from labelled texts: a
 beginning is taken up if it marks toxic texts (log-odds of its document
 counts) in enough of them, and longer beginnings replace shorter ones that
 they account for.  Exception phrases are longer words and word pairs around a
@@ -62,15 +62,17 @@ _ASCII = re.compile(r"[a-z]+\Z")
 
 
 def fold_word(word: str) -> str:
-    """One word in plain letters; digits alone fold to nothing."""
+    """One word in plain letters, accents kept; digits alone fold to nothing."""
     if _ASCII.match(word):
         return word.translate(_ALIKE_L)
-    plain = unicodedata.normalize("NFKD", word.lower())
-    plain = "".join(c for c in plain if not unicodedata.combining(c)).translate(_LOOK_TABLE)
+    plain = unicodedata.normalize("NFKC", word.lower()).translate(_LOOK_TABLE)
     if not any(c.isalpha() for c in plain):
         return ""
-    plain = plain.translate(_SIGN_TABLE)
-    return "".join(c for c in plain if c.isalpha()).translate(_ALIKE_L)
+    return "".join(c for c in plain.translate(_SIGN_TABLE) if c.isalpha()).translate(_ALIKE_L)
+
+
+def without_accents(word: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
 
 
 class Folder:
@@ -118,21 +120,29 @@ class Matcher:
                 self.exceptions.add_word(f" {phrase} ", len(phrase))
             self.exceptions.make_automaton()
 
-    def hits(self, words: list[str]) -> list[tuple[int, float]]:
-        """(start, weight) per word hit, its longest entry counting, outside exception phrases."""
-        if not words or not len(self.entries):
-            return []
+    def _find(self, words: list[str]) -> dict[int, float]:
+        """Weight by number of the word; its longest entry counts, outside exception phrases."""
         text = " " + " ".join(words) + " "
         best: dict[int, tuple[int, float]] = {}
         for end, (n, weight) in self.entries.iter(text):
-            start = end - n + 1
+            start = end - n
             if n > best.get(start, (0, 0.0))[0]:
                 best[start] = (n, weight)
         if best and self.exceptions is not None:
             for end, n in self.exceptions.iter(text):
-                for start in range(end - n, end):
+                for start in range(end - n - 1, end):
                     best.pop(start, None)
-        return [(s, w) for s, (_, w) in best.items()]
+        return {text.count(" ", 0, start): w for start, (_, w) in best.items()}
+
+    def hits(self, words: list[str]) -> list[tuple[int, float]]:
+        """(number of the word, weight) per hit; accented words are tried without accents, too."""
+        if not words or not len(self.entries):
+            return []
+        found = self._find(words)
+        if not all(map(str.isascii, words)):
+            for i, w in self._find([w if w.isascii() else without_accents(w) for w in words]).items():
+                found[i] = max(w, found.get(i, 0.0))
+        return list(found.items())
 
     def rate(self, words: list[str]) -> float:
         """Weight of the hits per hundred words."""
@@ -168,7 +178,7 @@ def _count_texts(make):
 
 def _counted(counts: tuple[Counter, Counter]) -> pd.DataFrame:
     terms = list(counts[0].keys() | counts[1].keys())
-    return pd.DataFrame({"term": terms, "toxic": np.array([counts[1][t] for t in terms], np.int64),
+    return pd.DataFrame({"term": pd.Series(terms, dtype=object), "toxic": np.array([counts[1][t] for t in terms], np.int64),
                          "clean": np.array([counts[0][t] for t in terms], np.int64)})
 
 
@@ -207,16 +217,18 @@ def _entries(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
                                             + F.lit(1.0) / (F.col("clean") + F.lit(0.5))) >= LOG_ODDS)
               .orderBy(F.desc("odds"), "term").limit(MAX_LEXICON).collect())
     found = {r["term"]: (r["toxic"], r["odds"]) for r in counts}
-    kept = dict(found)
-    for term, (n, _) in found.items():
-        # A shorter beginning stands back for a longer one that is found in nearly all its texts,
-        # and a longer one for a shorter that is found in more.
-        shorter = found.get(term[:-1])
-        if shorter and n >= 0.98 * shorter[0]:
-            kept.pop(term[:-1], None)
-        elif shorter:
-            kept.pop(term, None)
-    return {t: float(w) for t, (_, w) in kept.items()}
+    kept: dict[str, float] = {}
+    for term in sorted(found, key=lambda t: (len(t), t)):
+        n, odds = found[term]
+        shorter = next((term[:i] for i in range(len(term) - 1, 0, -1) if term[:i] in kept), None)
+        if shorter is not None:
+            # A longer beginning takes the place of a shorter one that it accounts for or that is
+            # less sure; else the shorter one covers it.
+            if odds < found[shorter][1] + 0.5 and n < 0.98 * found[shorter][0]:
+                continue
+            del kept[shorter]
+        kept[term] = float(odds)
+    return kept
 
 
 def _exceptions(sample: DataFrame, lexicon: Lexicon, n_toxic: int, n_clean: int) -> list[str]:
@@ -259,7 +271,7 @@ def _scale(sample: DataFrame, lexicon: Lexicon) -> float:
     if f1[best] <= 0:
         return 1.0
     lower = rate[best - 1] if best else 0.0
-    return -math.log(1.0 - CUT_SCORE) / ((lower + rate[best]) / 2)
+    return float(-math.log(1.0 - CUT_SCORE) / ((lower + rate[best]) / 2))
 
 
 def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
@@ -276,7 +288,7 @@ def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
                 hits = matcher.hits(words)
                 rate = 100.0 * sum(w for _, w in hits) / (len(words) + PRIOR_WORDS)
                 rows.append((lexicon.score(rate), len(hits)))
-            yield pd.DataFrame(rows, columns=["score", "hits"])
+            yield pd.DataFrame(rows, columns=["score", "hits"]).astype({"score": float, "hits": "int64"})
 
     return (docs.withColumn("__judged", judge(F.col(text)))
             .withColumns({"toxicity": F.col("__judged.score"), "toxic_hits": F.col("__judged.hits")})
