@@ -2,10 +2,10 @@
 
 Folding maps look-alike letters of other scripts, full-width forms and digit
 substitutions (1d10t) to plain letters; a word of digits alone stays out, and
-an accented word is matched with and without its accents.  The lexicon holds word beginnings, learned from labelled texts: a
-beginning is taken up if it marks toxic texts (log-odds of its document
-counts) in enough of them, and longer beginnings replace shorter ones that
-they account for.  Exception phrases are longer words and word pairs around a
+an accented word is matched with and without its accents.  The lexicon holds
+word beginnings and whole words, learned from labelled texts: one is taken up
+if it marks toxic texts (log-odds of its document counts) in enough of them,
+and longer beginnings replace shorter ones that they account for.  Exception phrases are longer words and word pairs around a
 hit that occur in clean texts rather than in toxic ones; a hit inside one
 does not count.  A text's score is the weight of its hits per hundred words,
 squashed to 0..1 so that 0.3 separates the labelled texts best.
@@ -183,7 +183,10 @@ def _counted(counts: tuple[Counter, Counter]) -> pd.DataFrame:
 
 
 def _beginnings(folder: Folder, text: str | None) -> set[str]:
-    return {w[:n] for w in set(folder.words(text)) for n in range(SHORTEST, min(LONGEST, len(w)) + 1)}
+    """Beginnings of the words, and whole words with a blank at their end."""
+    words = set(folder.words(text))
+    return {w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {
+        f"{w} " for w in words if SHORTEST <= len(w) <= LONGEST}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Lexicon:
@@ -224,7 +227,8 @@ def _entries(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
         if shorter is not None:
             # A longer beginning takes the place of a shorter one that it accounts for or that is
             # less sure; else the shorter one covers it.
-            if odds < found[shorter][1] + 0.5 and n < 0.98 * found[shorter][0]:
+            accounts = not term.endswith(" ") and n >= 0.98 * found[shorter][0]
+            if odds < found[shorter][1] + 0.5 and not accounts:
                 continue
             del kept[shorter]
         kept[term] = float(odds)
@@ -238,7 +242,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, n_toxic: int, n_clean: int)
         words = folder.words(text)
         out = set()
         for i, w in enumerate(words):
-            if w.startswith(entries):
+            if f"{w} ".startswith(entries):
                 out |= {w, *([f"{words[i - 1]} {w}"] if i else []),
                         *([f"{w} {words[i + 1]}"] if i + 1 < len(words) else [])}
         return out

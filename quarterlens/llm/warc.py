@@ -200,8 +200,9 @@ class WarcReader(DataSourceReader):
         files = [f for f in system.get_file_info(fs.FileSelector(name)) if f.path.endswith(".warc.gz")]
         if self.folder.startswith("file:"):
             prefix = "file://"
-        return [ByteRange(prefix + f.path, at, min(at + self.split, f.size))
-                for f in files for at in range(0, f.size, self.split)]
+        ranges = [ByteRange(prefix + f.path, at, min(at + self.split, f.size))
+                  for f in files for at in range(0, f.size, self.split)]
+        return ranges or [ByteRange("", 0, 0)]  # an empty folder is read as one empty range
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("target", pa.string()),
@@ -209,6 +210,8 @@ class WarcReader(DataSourceReader):
                             ("payload_digest", pa.string()), ("payload", pa.binary()), ("file", pa.string()),
                             ("position", pa.int64())])
         rows, held = [], 0
+        if partition.start == partition.stop:
+            return
         for record in read_range(partition.path, partition.start, partition.stop):
             rows.append(record)
             held += len(record["payload"] or b"") + 500
