@@ -16,13 +16,15 @@ from pyspark.sql import functions as F
 INF = float("inf")
 NINF = float("-inf")
 
-# Money is summed exactly: each value is rounded to integer micro-units
-# (floor(x * 1e6 + 0.5), a bigint), the integers are summed as decimal(20,0)
-# (long-backed, so cheap, and it cannot overflow), and the total is turned
-# back into a double.  The result does not depend on the partitioning or on
-# the order in which partial sums are merged.
+# Money is summed exactly: each value is rounded to whole micro-units, the
+# units are summed as decimal(38,0), and the total is turned back into a
+# double.  The result does not depend on the partitioning or on the order in
+# which partial sums are merged.  Decimals hold 38 digits, so values up to
+# LARGEST are safe with room for 1e6 rows of that size; a sum over a value
+# beyond it, or over an infinite one, is NULL rather than a wrong number.
 MICRO = 1e6
-SUM_DECIMAL = "decimal(20,0)"
+SUM_DECIMAL = "decimal(38,0)"
+LARGEST = 1e26
 
 
 def col(c) -> Column:
@@ -86,22 +88,19 @@ def rate100(n, d) -> Column:
     return no_nan(ieee_div(n, d) * F.lit(100.0))
 
 
-def micro_units(c) -> Column:
-    return F.floor(col(c) * F.lit(MICRO) + F.lit(0.5)).cast("long")
-
-
 def exact_sum(c) -> Column:
-    """Order-independent sum of a money / volume column; 0.0 when all missing.
+    """Order-independent sum of a money / volume column; 0.0 when all missing, NULL beyond LARGEST.
 
     Built as one SQL expression for a named column (one round trip instead
     of one per function call when the plan is constructed).
     """
     if isinstance(c, str):
         name = c.replace("`", "``")
-        return F.expr(f"coalesce(cast(sum(cast(cast(floor(`{name}` * 1000000.0D + 0.5D) as bigint) "
-                      f"as {SUM_DECIMAL})) as double) / 1000000.0D, 0.0D)")
-    total = F.sum(micro_units(c).cast(SUM_DECIMAL)).cast("double") / F.lit(MICRO)
-    return F.coalesce(total, F.lit(0.0))
+        return F.expr(f"case when coalesce(bool_or(abs(`{name}`) > {LARGEST!r}D), false) then null else coalesce(cast("
+                      f"sum(try_cast(rint(`{name}` * 1000000.0D) as {SUM_DECIMAL})) as double) / 1000000.0D, 0.0D) end")
+    units = F.rint(col(c) * F.lit(MICRO)).try_cast(SUM_DECIMAL)
+    total = F.coalesce(F.sum(units).cast("double") / F.lit(MICRO), F.lit(0.0))
+    return F.when(~F.coalesce(F.bool_or(F.abs(col(c)) > F.lit(LARGEST)), F.lit(False)), total)
 
 
 def fiscal_year(d) -> Column:

@@ -3,8 +3,7 @@
 Joins are plain equi-joins: Spark (with AQE) picks broadcast when the runtime
 size of a master table is under ``spark.sql.autoBroadcastJoinThreshold`` and a
 shuffle join otherwise, and splits a skewed customer / product key with the
-AQE skew-join rule.  Only the category dictionary, whose size is bounded by
-the number of categories and checked, gets an explicit broadcast hint.
+AQE skew-join rule.
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.materialize import cut
 from ..sources import schemas as S
 
 MEASURES = S.REPORT_MEASURES
@@ -25,7 +25,6 @@ FINAL_GROUP_KEYS = [
 ]
 PRODUCT_ATTRS = ["corporate_item_gtin", "corporate_product_name", "corporate_brand_name",
                  "corporate_category_name", "corporate_sub_sector_name"]
-DICTIONARY_MAX_ROWS = 100_000
 
 
 def merge_customers(report: DataFrame, customers: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -85,26 +84,27 @@ def assign_best_channel_team(df: DataFrame) -> DataFrame:
 def name_quality(df: DataFrame) -> DataFrame:
     """A5: optima ids with more than one (non-missing) name.
 
-    Deduplicates to (optima, name, cust, channel, team) first, so the lists are
-    built from distinct values only; the row count comes from a partial
-    aggregate over all rows.
+    Counts per (optima, name, cust, channel, team) first, in one pass over the
+    rows; the lists are built from distinct values only.
     """
     base = df.where(F.col("optima_id").isNotNull())
-    combos = base.select("optima_id", "optima_name", "cust_id", "channel", "team").distinct()
-    rows = base.groupBy("optima_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    combos = cut(base.groupBy("optima_id", "optima_name", "cust_id", "channel", "team")
+                 .agg(F.count(F.lit(1)).alias("n")))
+    # Lists are made for the ids with several names only.
+    several = (combos.groupBy("optima_id").agg(F.count_distinct("optima_name").alias("n_names"),
+                                               F.sum("n").alias("n_rows")).where(F.col("n_names") > 1))
 
     def joined(c, sep):
         return F.array_join(F.sort_array(F.collect_set(c)), sep)
 
-    per = combos.groupBy("optima_id").agg(
-        F.count_distinct("optima_name").alias("n_names"),
+    per = combos.join(several.select("optima_id"), "optima_id", "left_semi").groupBy("optima_id").agg(
         joined("optima_name", " | ").alias("names"),
         F.count_distinct("cust_id").alias("n_cust_ids"),
         joined("cust_id", ", ").alias("cust_ids"),
         F.collect_set("channel").alias("_ch"),
         F.collect_set("team").alias("_tm"),
-    ).where(F.col("n_names") > 1)
-    return per.join(rows, "optima_id", "inner").select(
+    )
+    return per.join(several, "optima_id", "inner").select(
         "optima_id", "n_names", "names", "n_cust_ids", "cust_ids", "n_rows",
         F.when(F.size("_ch") == 0, F.lit("N/A")).otherwise(F.array_join(F.sort_array("_ch"), ", ")).alias("channels"),
         F.when(F.size("_tm") == 0, F.lit("N/A")).otherwise(F.array_join(F.sort_array("_tm"), ", ")).alias("teams"),
@@ -116,11 +116,6 @@ def missing_product(df: DataFrame) -> DataFrame:
     return df.where(X.any_null(PRODUCT_ATTRS))
 
 
-def final_aggregation(df: DataFrame) -> DataFrame:
-    """Sum the 15 measures over 10 keys; missing keys form their own groups."""
-    return df.groupBy(*FINAL_GROUP_KEYS).agg(*[X.exact_sum(m).alias(m) for m in MEASURES])
-
-
 def _pick_best(totals: DataFrame) -> DataFrame:
     w = Window.partitionBy("optima_id").orderBy(F.desc("giv_lc"), F.asc_nulls_first("channel"),
                                                F.asc_nulls_first("team"))
@@ -136,11 +131,12 @@ def assigned_aggregation(filled: DataFrame) -> DataFrame:
     ``GROUPING SETS`` aggregation yields both the A6 groups and the
     (optima, channel, team) GIV totals A4 needs; the best-pair join then runs
     on the aggregated table instead of the fact rows, and the fact joins
-    (J1, J2) are evaluated once.
+    (J1, J2) are evaluated once, as the aggregated table is written.
     """
     a_keys = [k for k in FINAL_GROUP_KEYS if k not in ("channel", "team")]
     g = filled.groupingSets([a_keys, ["optima_id", "channel", "team"]], *a_keys, "channel", "team").agg(
         F.grouping("time_id").alias("_set"), *[X.exact_sum(m).alias(m) for m in MEASURES])
+    g = cut(g)  # both branches below read the aggregated table, not the facts
     totals = g.where((F.col("_set") == 1) & F.col("optima_id").isNotNull()).select(
         "optima_id", "channel", "team", "giv_lc")
     a6 = g.where(F.col("_set") == 0).drop("_set", "channel", "team")
@@ -165,18 +161,9 @@ def add_calculated_columns(df: DataFrame) -> DataFrame:
     })
 
 
-def checked_broadcast(small: DataFrame, max_rows: int, what: str) -> DataFrame:
-    """Broadcast ``small`` only after checking its row count against a bound."""
-    n = small.limit(max_rows + 1).count()
-    if n > max_rows:
-        return small
-    return F.broadcast(small)
-
-
-def add_category_smo(df: DataFrame, dictionary: DataFrame, check: bool = True) -> DataFrame:
-    """Attach category_smo by category (left join on a bounded dictionary)."""
+def add_category_smo(df: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Attach category_smo by category (left join; adaptive execution picks the strategy)."""
     d = dictionary.select("corporate_category_name", "category_smo")
-    d = checked_broadcast(d, DICTIONARY_MAX_ROWS, "category dictionary") if check else d
     return df.join(d, "corporate_category_name", "left")
 
 
@@ -197,22 +184,37 @@ def quarterly_format(df: DataFrame, keys=tuple(S.QUARTER_KEYS)) -> DataFrame:
 
 
 class MergeResult:
-    """E2 outputs.  ``final`` is built eagerly; the side tables only when read."""
+    """E2 outputs, each made when it is first read.
+
+    The joined fact rows are written once if a side table needs the rows
+    themselves (or ``keep_rows`` says that one will); everything else follows
+    from the aggregated table.
+    """
 
     def __init__(self, report: DataFrame, customers: DataFrame, products: DataFrame,
-                 dictionary: DataFrame):
-        matched, self.customer_unmatched = merge_customers(report, customers)
-        self._cust_matched = matched
-        matched, self.product_unmatched = merge_products(matched, products)
-        self._matched = matched
-        self._filled = fill_channel_team(matched)
-        agg = assigned_aggregation(self._filled)
-        self.enriched = add_category_smo(add_calculated_columns(agg), dictionary)
-        self.final = quarterly_format(self.enriched)
+                 dictionary: DataFrame, keep_rows: bool = False):
+        self._cust_matched, self.customer_unmatched = merge_customers(report, customers)
+        self._matched, self.product_unmatched = merge_products(self._cust_matched, products)
+        self._dictionary = dictionary
+        if keep_rows:
+            self._matched = self._rows
+
+    @cached_property
+    def _rows(self) -> DataFrame:
+        return cut(self._matched)
+
+    @cached_property
+    def enriched(self) -> DataFrame:
+        agg = assigned_aggregation(fill_channel_team(self._matched))
+        return add_category_smo(add_calculated_columns(agg), self._dictionary)
+
+    @cached_property
+    def final(self) -> DataFrame:
+        return quarterly_format(self.enriched)
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return assign_best_channel_team(self._filled)
+        return assign_best_channel_team(fill_channel_team(self._rows))
 
     @cached_property
     def missing_channel_team(self) -> DataFrame:
@@ -232,6 +234,6 @@ class MergeResult:
 
 
 def data_merge(report: DataFrame, customers: DataFrame, products: DataFrame,
-               dictionary: DataFrame) -> MergeResult:
-    """The whole merge chain as one lazy plan with named side outputs."""
-    return MergeResult(report, customers, products, dictionary)
+               dictionary: DataFrame, keep_rows: bool = False) -> MergeResult:
+    """The whole merge chain with named side outputs."""
+    return MergeResult(report, customers, products, dictionary, keep_rows)

@@ -67,7 +67,7 @@ def _merged(spark, sf_dir):
 
 def final_table(spark, sf_dir):
     """E2 output, checkpointed once per query build and shared by its branches."""
-    key = ("final", id(spark), sf_dir)
+    key = ("final", spark.sparkContext.applicationId, sf_dir)
     if key not in _MEMO:
         _MEMO[key] = PL.final_table(_inputs(spark, sf_dir))
     return _MEMO[key]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..functions.materialize import cut
 from ..operators import anomaly as AN
 from ..operators import scale as SC
 from ..operators import summary as Q
@@ -154,7 +155,7 @@ def _best_model(spark, sf_dir, grid=None):
     forest = next(sp.forest for sp in g.fit.specs
                   if sp.subset == b["subset"] and sp.psi_setting == b["max_samples"])
     model = AN.model_from_fit(train, KEYS, g.fit, forest, int(b["n_estimators"]), float(b["contamination"]))
-    return model, AN.predict(test, model, KEYS)
+    return model, cut(AN.predict(test, model, KEYS))
 
 
 def default_model_result(spark, sf_dir):
@@ -162,7 +163,7 @@ def default_model_result(spark, sf_dir):
     train, test = train_table(spark, sf_dir), test_table(spark, sf_dir)
     AN.validate_inputs(train, test, ANOMALY_FEATURES)
     model = AN.fit_model(train, KEYS, ANOMALY_FEATURES, 100, 0.05, "auto")
-    return model, AN.predict(test, model, KEYS)
+    return model, cut(AN.predict(test, model, KEYS))
 
 
 @register("anomaly_scores")
@@ -259,7 +260,7 @@ def q_iqr_filter(spark, sf_dir):
     return SC.iqr_filter(data, CLUSTER_FEATURES, 1.5, 1, ["SCORE"]).kept
 
 
-EMB_DIMS = 5
+EMB_DIMS = 64  # all components of the embeddings table
 
 
 def _silhouette_sql():
@@ -287,7 +288,7 @@ def q_silhouette(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir):
-    key = ("clusters", id(spark), sf_dir)
+    key = ("clusters", spark.sparkContext.applicationId, sf_dir)
     from .catalog import _MEMO
     if key not in _MEMO:
         _MEMO[key] = CL.full_analysis(cluster_input(spark, sf_dir), KEYS, CLUSTER_FEATURES)

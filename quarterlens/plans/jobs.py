@@ -14,7 +14,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.materialize import cut
+from ..functions.materialize import cut, marked, release
 from ..operators import anomaly as AN
 from ..operators import cluster as CL
 from ..operators import explore as EX
@@ -34,7 +34,8 @@ def preparation_job(inputs: PL.Inputs, out_dir: str, run: PL.Run = PL.DEFAULT_RU
                     fmt: str = "parquet") -> dict:
     """Prepared sources, the fiscal-quarter table and the quality side tables."""
     p = PL.prepare(inputs, run)
-    m = PL.M.data_merge(p.report, p.customers, p.products, p.dictionary)
+    since = marked(inputs.report_raw.sparkSession)
+    m = PL.M.data_merge(p.report, p.customers, p.products, p.dictionary, keep_rows=True)
     out = {
         "final": SK.write_table(m.final, f"{out_dir}/final_df", fmt),
         "missing_channel_team": SK.write_table(m.missing_channel_team, f"{out_dir}/missing_channel_team", fmt),
@@ -42,6 +43,7 @@ def preparation_job(inputs: PL.Inputs, out_dir: str, run: PL.Run = PL.DEFAULT_RU
     }
     if SK.write_if_findings(m.name_quality_after, f"{out_dir}/quality_check_optima_names", fmt):
         out["quality_check_optima_names"] = f"{out_dir}/quality_check_optima_names"
+    release(inputs.report_raw.sparkSession, since)  # all outputs are written
     return out
 
 

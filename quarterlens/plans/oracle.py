@@ -39,9 +39,10 @@ def rate(n: str, d: str) -> str:
 
 
 def dsum(x: str) -> str:
-    """Exact sum in integer micro-units (same definition as the Spark side)."""
-    micro = f"CAST(CAST(floor({x} * {dbl(1e6)} + {dbl(0.5)}) AS BIGINT) AS DECIMAL(20,0))"
-    return f"coalesce(CAST(sum({micro}) AS DOUBLE) / {dbl(1e6)}, {dbl(0.0)})"
+    """Exact sum in whole micro-units, NULL over a value beyond 1e26 (same definition as the Spark side)."""
+    units = f"TRY_CAST(round_even({x} * {dbl(1e6)}, 0) AS DECIMAL(38,0))"
+    return (f"(CASE WHEN NOT coalesce(bool_or(abs({x}) > {dbl(1e26)}), false) "
+            f"THEN coalesce(CAST(sum({units}) AS DOUBLE) / {dbl(1e6)}, {dbl(0.0)}) END)")
 
 
 def clip(x: str, lo: float = -3.0, hi: float = 3.0) -> str:

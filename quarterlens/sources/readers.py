@@ -4,7 +4,7 @@ Every reader declares its columns up front so Catalyst prunes the scan to
 them, and returns lazily: nothing is read until a sink or action runs.
 Parquet landings are read with ``mergeSchema`` so monthly files whose
 columns differ are stacked by name (missing columns become NULL); CSV
-landings are read with a header and all-text schema and typed afterwards.
+landings are read as text, each file by its own header, and typed afterwards.
 """
 
 from __future__ import annotations
@@ -31,10 +31,7 @@ def _read(spark: SparkSession, paths: str | Sequence[str], fmt: str,
         if fmt == "parquet":
             return reader.option("mergeSchema", "true").parquet(*paths)
         if fmt == "csv":
-            reader = reader.option("header", "true").option("inferSchema", "false")
-            if encoding:
-                reader = reader.option("encoding", encoding)
-            return reader.csv(paths)
+            return _read_csv(spark, _files(spark, paths), encoding)
         return reader.format(fmt).load(paths)
     except AnalysisException as exc:  # glob matched nothing
         if "PATH_NOT_FOUND" in str(exc) or "Path does not exist" in str(exc):
@@ -42,6 +39,49 @@ def _read(spark: SparkSession, paths: str | Sequence[str], fmt: str,
         raise
 
 
+def _files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Files behind ``paths`` (globs and folders), in the order of ``paths`` and then by name."""
+    out: list[str] = []
+    for p in paths:
+        found = spark.read.format("binaryFile").load(p).select("path").collect()  # names only
+        out += [f for f in sorted(r["path"] for r in found) if f not in out]
+    if not out:
+        raise FileNotFoundError(f"no files match {paths}")
+    return out
+
+
+def _read_csv(spark: SparkSession, files: Sequence[str], encoding: str | None) -> DataFrame:
+    """CSV files stacked by column name: files that share a header are read together.
+
+    ``_row`` orders rows by file and by place in the file, whatever partition
+    they are read in.
+    """
+    reader = spark.read.option("header", "true").option("inferSchema", "false")
+    if encoding:
+        reader = reader.option("encoding", encoding)
+    by_header: dict[tuple, list[str]] = {}
+    for f in files:
+        header = tuple(reader.csv(f).columns)
+        if header:
+            by_header.setdefault(header, []).append(f)
+    place = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("_metadata.file_path"))
+    parts = [reader.csv(group).select("*", F.struct(
+        place.alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id")).alias(ROW_ORDER)) for group in by_header.values()]
+    if not parts:
+        return spark.createDataFrame([], f"{ROW_ORDER} struct<file: long, block: long, id: long>")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _with_row_order(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``columns`` as text plus the file order (files of one Parquet read are in Spark's order)."""
+    order = F.col(ROW_ORDER) if ROW_ORDER in df.columns else F.struct(F.monotonically_increasing_id().alias("id"))
+    return df.select(*[F.col(c).cast("string").alias(c) for c in columns], order.alias(ROW_ORDER))
+
+
 def _ensure_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Add absent columns as NULL text (stacked files may lack some)."""
     missing = [c for c in columns if c not in df.columns]
@@ -75,16 +115,14 @@ def read_customer_master(spark: SparkSession, paths, fmt: str = "csv",
     """
     df = _read(spark, paths, fmt, encoding=encoding if fmt == "csv" else None)
     df = _ensure_columns(df, S.CUSTOMER_RAW_COLUMNS)
-    return df.select(*[F.col(c).cast("string").alias(c) for c in S.CUSTOMER_RAW_COLUMNS],
-                     F.monotonically_increasing_id().alias(ROW_ORDER))
+    return _with_row_order(df, S.CUSTOMER_RAW_COLUMNS)
 
 
 def read_product_master(spark: SparkSession, paths, fmt: str = "csv") -> DataFrame:
     """S3: product master."""
     df = _read(spark, paths, fmt)
     df = _ensure_columns(df, S.PRODUCT_RAW_COLUMNS)
-    return df.select(*[F.col(c).cast("string").alias(c) for c in S.PRODUCT_RAW_COLUMNS],
-                     F.monotonically_increasing_id().alias(ROW_ORDER))
+    return _with_row_order(df, S.PRODUCT_RAW_COLUMNS)
 
 
 def read_category_dictionary(spark: SparkSession, paths, fmt: str = "csv") -> DataFrame:

@@ -11,13 +11,10 @@ batch-like job with ``availableNow``: it processes the backlog and stops.
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.prepare import prepare_report
-from ..session import ensure_checkpoint_dir
 from ..sources import readers as R
 from ..sources import schemas as S
 
@@ -27,7 +24,8 @@ def report_stream(spark: SparkSession, landing_dir: str, fmt: str = "parquet",
     """Streaming DataFrame of new report lines, typed like ``read_reports``."""
     reader = spark.readStream.format(fmt).schema(S.report_schema())
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        # A file whose header differs from the schema fails instead of filling other columns.
+        reader = reader.option("header", "true").option("enforceSchema", "false")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
     return R.typed_report(reader.load(landing_dir))
@@ -35,11 +33,12 @@ def report_stream(spark: SparkSession, landing_dir: str, fmt: str = "parquet",
 
 def land_reports(spark: SparkSession, landing_dir: str, table_dir: str,
                  checkpoint_dir: str | None = None, fmt: str = "parquet") -> StreamingQuery:
-    """Append the prepared version of every not-yet-seen report file to ``table_dir``."""
+    """Append the prepared version of every not-yet-seen report file to ``table_dir``.
+
+    Progress is kept beside the table, so that later sessions go on from it.
+    """
     if checkpoint_dir is None:
-        base = ensure_checkpoint_dir(spark).rstrip("/")
-        tag = hashlib.sha1(f"{landing_dir}|{table_dir}".encode()).hexdigest()[:16]
-        checkpoint_dir = f"{base}/ql-streams/{tag}"
+        checkpoint_dir = f"{table_dir.rstrip('/')}_progress"
     prepared = prepare_report(report_stream(spark, landing_dir, fmt))
     return (prepared.writeStream.format("parquet")
             .option("path", table_dir)
