@@ -11,10 +11,14 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.materialize import table_folder
 from ..operators import merge as M
+from ..operators import prepare as P
 from ..operators import score as K
-from ..session import ship_package
 from ..operators import summary as Q
+from ..session import ship_package
+from ..sources import readers as R
+from ..sources import schemas as S
 from . import oracle as O
 from . import pipeline as PL
 
@@ -98,6 +102,45 @@ def q_dictionary(spark, sf_dir):
     return _inputs(spark, sf_dir).dictionary
 
 
+# The same landing tables by way of CSV files whose headers differ in their order.
+def _as_csv(df, columns, order=None, encoding="UTF-8"):
+    base = table_folder(df)
+    if order is None:
+        parts = [df.where(F.pmod(F.xxhash64(*columns), F.lit(2)) == k) for k in (0, 1)]
+    else:  # files in the order of the rows
+        middle = df.agg(F.percentile_approx(order, 0.5)).first()[0]
+        parts = [d.repartitionByRange(order).sortWithinPartitions(order)
+                 for d in (df.where(F.col(order) <= middle), df.where(F.col(order) > middle))]
+    paths = [f"{base}/first", f"{base}/second"]
+    for path, part, cols in zip(paths, parts, (columns, columns[::-1])):
+        part.select(*cols).write.options(header=True, encoding=encoding, ignoreLeadingWhiteSpace=False,
+                                         ignoreTrailingWhiteSpace=False).csv(path)
+    return paths
+
+
+@register("prep_report_csv", O.with_prefix("SELECT * FROM report"))
+def q_prep_report_csv(spark, sf_dir):
+    raw = _inputs(spark, sf_dir).report_raw
+    return P.prepare_report(R.read_reports(spark, _as_csv(raw, S.REPORT_ID_COLUMNS + S.REPORT_MEASURES), "csv"))
+
+
+@register("prep_customer_csv", O.with_prefix("SELECT * FROM customers"))
+def q_prep_customer_csv(spark, sf_dir):
+    paths = _as_csv(_inputs(spark, sf_dir).customer_raw, S.CUSTOMER_RAW_COLUMNS, R.ROW_ORDER, "ISO-8859-1")
+    return P.prepare_customer(R.read_customer_master(spark, paths), PL.DEFAULT_RUN.country)
+
+
+@register("prep_product_csv", O.with_prefix("SELECT * FROM products"))
+def q_prep_product_csv(spark, sf_dir):
+    paths = _as_csv(_inputs(spark, sf_dir).product_raw, S.PRODUCT_RAW_COLUMNS, R.ROW_ORDER)
+    return P.prepare_product(R.read_product_master(spark, paths))
+
+
+@register("category_dictionary_csv", O.with_prefix("SELECT * FROM dict"))
+def q_dictionary_csv(spark, sf_dir):
+    return R.read_category_dictionary(spark, _as_csv(_inputs(spark, sf_dir).dictionary, S.DICTIONARY_COLUMNS))
+
+
 # ------------------------------------------------------------------ merge
 def _matched_parts(spark, sf_dir):
     p = PL.prepare(_inputs(spark, sf_dir))
@@ -291,7 +334,6 @@ def q_score_ranges_strict(spark, sf_dir):
 @register("prep_report_stream", O.with_prefix("SELECT * FROM report"))
 def q_prep_report_stream(spark, sf_dir):
     """S1 + E1 incrementally: land the report files, stream-prepare them, read the table."""
-    from ..functions.materialize import table_folder
     from ..streaming.landing import land_reports
     raw = _inputs(spark, sf_dir).report_raw
     folder = table_folder(raw)

@@ -39,18 +39,19 @@ def _read(spark: SparkSession, paths: str | Sequence[str], fmt: str,
         raise
 
 
-def _files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
-    """Files behind ``paths`` (globs and folders), in the order of ``paths`` and then by name."""
-    out: list[str] = []
+def _files(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """path -> address of the files behind ``paths`` (globs and folders), in their order and then by name."""
+    out: dict[str, str] = {}
     for p in paths:
-        found = spark.read.format("binaryFile").load(p).select("path").collect()  # names only
-        out += [f for f in sorted(r["path"] for r in found) if f not in out]
+        names = spark.read.format("binaryFile").load(p).select("path", "_metadata.file_path")  # no contents
+        for r in sorted(names.collect()):
+            out.setdefault(r["path"], r["file_path"])
     if not out:
         raise FileNotFoundError(f"no files match {paths}")
     return out
 
 
-def _read_csv(spark: SparkSession, files: Sequence[str], encoding: str | None) -> DataFrame:
+def _read_csv(spark: SparkSession, files: dict[str, str], encoding: str | None) -> DataFrame:
     """CSV files stacked by column name: files that share a header are read together.
 
     ``_row`` orders rows by file and by place in the file, whatever partition
@@ -64,7 +65,7 @@ def _read_csv(spark: SparkSession, files: Sequence[str], encoding: str | None) -
         header = tuple(reader.csv(f).columns)
         if header:
             by_header.setdefault(header, []).append(f)
-    place = F.array_position(F.array(*[F.lit(f) for f in files]), F.col("_metadata.file_path"))
+    place = F.array_position(F.array(*[F.lit(f) for f in files.values()]), F.col("_metadata.file_path"))
     parts = [reader.csv(group).select("*", F.struct(
         place.alias("file"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("id")).alias(ROW_ORDER)) for group in by_header.values()]
