@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 from dataclasses import dataclass
 from typing import Sequence
 
@@ -51,7 +52,8 @@ def compute_slots(spark, groups: int) -> int:
     """
     return max(1, min(groups, 4 * spark.sparkContext.defaultParallelism))
 MASK64 = np.uint64(0xFFFFFFFFFFFFFFFF)
-ROWS_PER_GROUP = 50_000
+MODEL_BYTES = 64 << 20   # of forests broadcast at once
+NODE_BYTES = 32
 
 
 def avg_path_length(n):
@@ -99,6 +101,7 @@ class ForestFit:
     scales: dict                 # subset -> {feature: (center, scale)}
     n_trees: int
     seed: int
+    candidates: DataFrame | None = None  # (tree, prio, row) that the samples were drawn from
 
 
 def _tree_depth_limit(psi: int) -> int:
@@ -226,7 +229,8 @@ def fit_forests(train: DataFrame, keys: Sequence[str], subsets: Sequence[tuple],
             specs.append(ForestSpec(len(specs), tuple(feats), psi, str(setting), s, si))
     scales = fit_scales(base, subsets, all_features)
     psi_max = max(sp.psi for sp in specs)
-    tau = min(1.0, (psi_max + 10.0 * math.sqrt(psi_max) + 50.0) / max(1, min(n_valid)))
+    # Per subset, so that a sparse feature does not send the whole table to every tree.
+    tau = np.array([(psi_max + 10.0 * math.sqrt(psi_max) + 50.0) / max(1, n) for n in n_valid])
     feat_index = {f: i for i, f in enumerate(all_features)}
     spec_rows = [(sp.forest, sp.subset, sp.psi, [feat_index[f] for f in sp.features]) for sp in specs]
     subset_cols = {s: [feat_index[f] for f in feats] for s, feats in enumerate(subsets)}
@@ -240,10 +244,13 @@ def fit_forests(train: DataFrame, keys: Sequence[str], subsets: Sequence[tuple],
         def candidates(batches, tau=tau):
             for pdf in batches:
                 h = pdf["_h"].to_numpy()
+                known = ~np.isnan(pdf[all_features].to_numpy(dtype=np.float64))
+                bound = np.max([np.where(known[:, cols].all(axis=1), tau[s], 0.0)
+                                for s, cols in subset_cols.items()], axis=0)
                 out = []
                 for t in range(n_trees):
                     pr = priorities(h, seed, t)
-                    sel = pr < tau
+                    sel = pr < bound
                     if sel.any():
                         part = pdf.loc[sel, all_features].copy()
                         part.insert(0, "_h", h[sel])
@@ -285,85 +292,86 @@ def fit_forests(train: DataFrame, keys: Sequence[str], subsets: Sequence[tuple],
         slots = compute_slots(cands.sparkSession, n_trees)
         nodes = cut(cands.repartition(slots, "tree").groupBy("tree").applyInPandas(grow, NODE_SCHEMA))
         short = nodes.where(F.col("short")).limit(1).count()
-        if short == 0 or tau >= 1.0:
+        if short == 0 or (tau >= 1.0).all():
             break
-        tau = min(1.0, tau * 2.0)
-    return ForestFit(specs, nodes.drop("short"), scales, n_trees, seed)
+        tau = tau * 2.0
+    return ForestFit(specs, nodes.drop("short"), scales, n_trees, seed, cands)
+
+
+def _packed(fit: ForestFit, specs: Sequence[ForestSpec], n_trees: int) -> list[tuple]:
+    """(spec, trees as arrays) of the given forests, brought to the driver to be broadcast.
+
+    A forest has at most ``n_trees`` times ``2 psi - 1`` nodes, whatever the data.
+    """
+    pdf = (fit.nodes.where(F.col("forest").isin([sp.forest for sp in specs]) & (F.col("tree") < n_trees))
+           .toPandas().sort_values(["forest", "tree", "node"]))
+    trees: dict[int, list] = {sp.forest: [] for sp in specs}
+    for (forest, _), g in pdf.groupby(["forest", "tree"], sort=True):
+        trees[int(forest)].append(tuple(g[c].to_numpy() for c in (
+            "feature", "threshold", "left", "right", "size", "depth")))
+    return [(sp, trees[sp.forest]) for sp in specs]
+
+
+def _scorer(fit: ForestFit, specs: Sequence[ForestSpec], tree_counts: Sequence[int], spark):
+    """Function (features frame) -> iterator of (forest, T, scores; NaN where a feature is missing)."""
+    model = spark.sparkContext.broadcast(_packed(fit, specs, max(tree_counts)))
+    scales = fit.scales
+
+    def run(pdf: pd.DataFrame):
+        for sp, trees in model.value:
+            feats = list(sp.features)
+            center = np.array([scales[sp.subset][f][0] for f in feats])
+            width = np.array([scales[sp.subset][f][1] for f in feats])
+            Xr = pdf[feats].to_numpy(dtype=np.float64)
+            valid = ~np.isnan(Xr).any(axis=1)
+            Xs = (Xr[valid] - center) / width
+            total, c = np.zeros(len(Xs)), avg_path_length([sp.psi])[0]
+            for t, tree in enumerate(trees, 1):
+                total += path_lengths(Xs, tree)
+                if t in tree_counts:
+                    s = np.full(len(Xr), np.nan)
+                    s[valid] = np.power(2.0, -(total / t) / c) if c > 0 else 0.5
+                    yield sp.forest, t, s
+
+    return run
 
 
 def score_rows(rows: DataFrame, fit: ForestFit, keys: Sequence[str], forests: Sequence[int] | None = None,
                tree_counts: Sequence[int] | None = None) -> DataFrame:
     """M3 core: s = 2^(-E[h]/c(psi)) per row and forest, for the first T trees (each T).
 
-    Rows missing a feature of the forest get no score.  Returns
-    (keys..., forest, T, s).
+    The forests are broadcast (in groups of at most MODEL_BYTES) and the rows
+    stay where they are.  Rows missing a feature of the forest get no score.
+    Returns (keys..., forest, T, s).
     """
     specs = [sp for sp in fit.specs if forests is None or sp.forest in set(forests)]
     tree_counts = sorted(tree_counts or [fit.n_trees])
     all_features = sorted({f for sp in specs for f in sp.features})
     rows = _finite_features(rows, all_features).select(*keys, *all_features)
-    n = rows.count()
-    chunks = max(1, math.ceil(n / ROWS_PER_GROUP))
-    forest_ids = [sp.forest for sp in specs]
-    spark = rows.sparkSession
-    fdim = spark.createDataFrame([(f,) for f in forest_ids], "forest int")
-    chunk_col = F.pmod(_key_hash(keys), F.lit(chunks)).cast("int")
-    left = rows.withColumn("_chunk", chunk_col).crossJoin(F.broadcast(fdim))
-    chunk_dim = spark.range(chunks).select(F.col("id").cast("int").alias("_chunk"))
-    right = (fit.nodes.where(F.col("forest").isin(forest_ids) & (F.col("tree") < max(tree_counts)))
-             .crossJoin(F.broadcast(chunk_dim)))
-    by_forest = {sp.forest: sp for sp in specs}
-    scales = fit.scales
-    key_fields = [f for f in rows.schema.fields if f.name in keys]
-    out_schema = T.StructType(key_fields + [T.StructField("forest", T.IntegerType()),
-                                            T.StructField("T", T.IntegerType()),
-                                            T.StructField("s", T.DoubleType())])
-
-    def empty():
-        frame = {f.name: pd.Series(dtype="object") for f in key_fields}
-        frame.update({"forest": pd.Series(dtype="int32"), "T": pd.Series(dtype="int32"),
-                      "s": pd.Series(dtype="float64")})
-        return pd.DataFrame(frame)
-
-    def score(key, rpdf, npdf):
-        if rpdf.empty or npdf.empty:
-            return empty()
-        sp = by_forest[int(key[0])]
-        feats = list(sp.features)
-        center = np.array([scales[sp.subset][f][0] for f in feats])
-        width = np.array([scales[sp.subset][f][1] for f in feats])
-        Xr = rpdf[feats].to_numpy(dtype=np.float64)
-        valid = ~np.isnan(Xr).any(axis=1)
-        Xs = (Xr[valid] - center) / width
-        npdf = npdf.sort_values(["tree", "node"])
-        total = np.zeros(len(Xs))
-        cuts = {}
-        for t, g in npdf.groupby("tree", sort=True):
-            tree = (g["feature"].to_numpy(), g["threshold"].to_numpy(), g["left"].to_numpy(),
-                    g["right"].to_numpy(), g["size"].to_numpy(), g["depth"].to_numpy())
-            total += path_lengths(Xs, tree)
-            if int(t) + 1 in tree_counts:
-                cuts[int(t) + 1] = total.copy()
-        c = avg_path_length([sp.psi])[0]
-        parts = []
-        kp = rpdf.loc[valid, keys].reset_index(drop=True)
-        for tc, tot in cuts.items():
-            s = np.power(2.0, -(tot / tc) / c) if c > 0 else np.full(len(tot), 0.5)
-            part = kp.copy()
-            part["forest"] = np.int32(sp.forest)
-            part["T"] = np.int32(tc)
-            part["s"] = s
-            parts.append(part)
-        if not parts:
-            return empty()
-        return pd.concat(parts, ignore_index=True)
-
-    slots = compute_slots(spark, len(forest_ids) * chunks)
-    left = left.repartition(slots, "forest", "_chunk")
-    right = right.repartition(slots, "forest", "_chunk")
-    return (left.groupBy("forest", "_chunk")
-            .cogroup(right.groupBy("forest", "_chunk"))
-            .applyInPandas(score, out_schema))
+    out_schema = T.StructType([f for f in rows.schema.fields if f.name in keys] + [
+        T.StructField("forest", T.IntegerType()), T.StructField("T", T.IntegerType()),
+        T.StructField("s", T.DoubleType())])
+    groups, held = [[]], 0
+    for sp in specs:
+        size = max(tree_counts) * 2 * sp.psi * NODE_BYTES
+        if groups[-1] and held + size > MODEL_BYTES:
+            groups.append([])
+            held = 0
+        groups[-1].append(sp)
+        held += size
+
+    def part(group: Sequence[ForestSpec]) -> DataFrame:
+        run = _scorer(fit, group, tree_counts, rows.sparkSession)
+
+        def score(batches):
+            for pdf in batches:
+                for forest, t, s in run(pdf):
+                    known = ~np.isnan(s)
+                    yield pdf.loc[known, list(keys)].assign(forest=np.int32(forest), T=np.int32(t), s=s[known])
+
+        return rows.mapInPandas(score, out_schema)
+
+    return reduce(DataFrame.union, [part(g) for g in groups])
 
 
 def offsets(train_scores: DataFrame, contaminations: Sequence[float]) -> DataFrame:
@@ -465,10 +473,17 @@ def predict(test: DataFrame, model: AnomalyModel, keys: Sequence[str]) -> DataFr
     Rows with a missing (or infinite) feature keep anomaly = false and a
     missing score, as in the reference.
     """
-    sc = score_rows(test, model.fit, keys, [model.forest], [model.n_estimators]).select(
-        *keys, (F.col("s") + F.lit(model.offset)).alias("anomaly_score"))
     base = _finite_features(test, model.features)
-    out = base.join(sc, [*keys], "left")
+    sp = model.fit.specs[model.forest]
+    run, offset = _scorer(model.fit, [sp], [model.n_estimators], test.sparkSession), model.offset
+
+    @F.pandas_udf("double")
+    def judge(*cols: pd.Series) -> pd.Series:
+        pdf = pd.DataFrame(dict(zip(sp.features, cols)))
+        return next(pd.Series(s + offset) for _, _, s in run(pdf))
+
+    # Scored in place: rows without a key, or with the same key, keep their own score.
+    out = base.withColumn("anomaly_score", X.no_nan(judge(*[F.col(f).cast("double") for f in sp.features])))
     return out.withColumn("anomaly", F.coalesce(F.col("anomaly_score") > 0, F.lit(False)))
 
 

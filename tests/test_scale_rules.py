@@ -105,3 +105,41 @@ def test_side_tables_come_from_written_rows(spark):
     lazy = M.data_merge(p.report, p.customers, p.products, p.dictionary)
     assert not any("lineitem" in f for f in lazy.final.inputFiles())
     assert lazy.final.count() == m.final.count()
+
+
+def _forest_rows(spark, n=400):
+    import random
+    rnd = random.Random(1)
+    rows = [(f"k{i}", rnd.gauss(0, 1), rnd.gauss(5, 2)) for i in range(n)]
+    rows += [("far", 30.0, -40.0), (None, 29.0, -39.0), (None, 0.1, 5.0), ("k1", 0.0, None)]
+    return spark.createDataFrame(rows, "k string, a double, b double")
+
+
+def test_rows_are_scored_where_they_are(spark):
+    from quarterlens.operators import anomaly as AN
+    df = _forest_rows(spark)
+    model = AN.fit_model(df, ["k"], ["a", "b"], 50, 0.02)
+    out = AN.predict(df, model, ["k"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    got = out.collect()
+    assert len(got) == df.count()
+    assert sum(r["anomaly_score"] is None for r in got) == 1
+    nameless = sorted(r["anomaly_score"] for r in got if r["k"] is None)
+    assert nameless[0] < 0 < nameless[1]
+    by_forest = AN.score_rows(df, model.fit, ["k"], [0], [10, 50])
+    assert by_forest.where("T = 50").count() == by_forest.where("T = 10").count() == df.count() - 1
+
+
+def test_a_sparse_feature_does_not_send_the_table_to_every_tree(spark):
+    """The sample of a sparse subset is drawn from its complete rows, the others' from a small share."""
+    from quarterlens.operators import anomaly as AN
+    df = spark.range(40000).select(F.col("id").cast("string").alias("k"), F.rand(1).alias("a"), F.rand(2).alias("b"),
+                                   F.when(F.col("id") % 100 == 0, F.rand(3)).alias("c"))
+    fit = AN.fit_forests(df, ["k"], [("a", "b"), ("a", "c")], ("auto",), 4)
+    roots = fit.nodes.where("node = 0").groupBy("forest").count().collect()
+    assert {r["forest"]: r["count"] for r in roots} == {0: 4, 1: 4}
+    leaves = fit.nodes.where("feature < 0").groupBy("forest", "tree").agg(F.sum("size").alias("n")).collect()
+    assert all(r["n"] == 256 for r in leaves)
+    plan = [r for r in fit.candidates.groupBy("tree").count().collect()]
+    assert max(r["count"] for r in plan) < 4000
