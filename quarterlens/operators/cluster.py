@@ -2,13 +2,12 @@
 
 Two levels, so no task ever holds the n x n distance matrix:
 
-* **micro-clusters** - when there are more than ``m`` rows, MLlib ``KMeans``
-  (distributed) summarises them into ``m`` weighted centroids; with ``n <= m``
-  every row is its own micro-cluster and the whole result is exact.
+* **micro-clusters** - MLlib ``KMeans`` (distributed) summarises the rows into
+  at most ``m`` weighted centroids, on the same path for any number of rows.
 * **linkage** - Lance-Williams agglomeration (ward / complete / average;
   euclidean / cosine / correlation) on the <= m weighted points.  Ward with
   weights is exact over micro-clusters (their initial distances are the ward
-  merge costs); the other pairs are approximations beyond m rows.
+  merge costs); the other pairs are approximations.
 
 Every candidate of a grid or of a selection step is one task of one Spark job
 (the micro table, bounded by m, travels with the closure).  Selection scores
@@ -38,7 +37,7 @@ LINKAGE_PAIRS = [
     ("complete", "correlation"), ("average", "euclidean"), ("average", "cosine"),
     ("average", "correlation"),
 ]
-MAX_MICRO = 4000
+MICRO = 500  # weighted centroids that a table is summarised by
 SILHOUETTE_BLOCK = 4000
 
 
@@ -173,34 +172,28 @@ def weighted_silhouette(Xm: np.ndarray, weights: np.ndarray, labels: np.ndarray,
 # ------------------------------------------------------------ Spark side
 @dataclass
 class MicroClusters:
-    table: pd.DataFrame        # micro, weight, <features> (scaled)
+    table: pd.DataFrame        # micro, weight, <features> (scaled): at most m rows
     assignment: DataFrame      # keys..., micro
-    exact: bool
 
 
 def micro_clusters(scaled: DataFrame, keys: Sequence[str], features: Sequence[str],
-                   m: int = MAX_MICRO, seed: int = 42) -> MicroClusters:
-    """Rows -> at most m weighted centroids (identity when n <= m)."""
-    n = scaled.count()
-    if n <= m:
-        ordered = scaled.select(*keys, *features).orderBy(*keys)
-        pdf = ordered.toPandas()   # n <= m rows: bounded by the parameter m
-        pdf.insert(0, "micro", np.arange(len(pdf)))
-        pdf.insert(1, "weight", 1.0)
-        spark = scaled.sparkSession
-        assign = spark.createDataFrame(pdf[[*keys, "micro"]])
-        return MicroClusters(pdf[["micro", "weight", *features]], assign, True)
+                   m: int = MICRO, seed: int = 42) -> MicroClusters:
+    """Rows -> at most m weighted centroids, by distributed k-means whatever the number of rows.
+
+    With fewer distinct rows than m the centroids are (nearly) the rows
+    themselves; m bounds what the linkage tasks hold.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import VectorAssembler
     vec = VectorAssembler(inputCols=list(features), outputCol="_vec").transform(scaled)
-    model = KMeans(k=m, seed=seed, featuresCol="_vec", predictionCol="micro").fit(vec)
-    assign = model.transform(vec).select(*keys, "micro")
-    sizes = assign.groupBy("micro").agg(F.count(F.lit(1)).alias("weight")).toPandas()
+    model = KMeans(k=m, seed=seed, initSteps=5, featuresCol="_vec", predictionCol="micro").fit(vec)
+    assign = cut(model.transform(vec).select(*keys, "micro"))
+    sizes = assign.groupBy("micro").agg(F.count(F.lit(1)).alias("weight")).toPandas()  # at most m rows
     centers = np.array(model.clusterCenters())
     table = pd.DataFrame(centers, columns=list(features))
     table.insert(0, "micro", np.arange(len(centers)))
-    table = table.merge(sizes, on="micro", how="inner")
-    return MicroClusters(table[["micro", "weight", *features]], assign, False)
+    table = table.merge(sizes, on="micro", how="inner").sort_values([*features, "micro"], ignore_index=True)
+    return MicroClusters(table[["micro", "weight", *features]], assign)
 
 
 RESULT_SCHEMA = T.StructType([
@@ -224,6 +217,7 @@ def evaluate_tasks(spark, micro: MicroClusters, tasks: list) -> dict:
 
     def run(batches):
         cache: dict = {}
+        trees: dict = {}
         w = table["weight"].to_numpy(dtype=np.float64)
         for pdf in batches:
             out = []
@@ -232,11 +226,14 @@ def evaluate_tasks(spark, micro: MicroClusters, tasks: list) -> dict:
                 Xm = table[list(feats)].to_numpy(dtype=np.float64)
                 if feats not in cache:
                     cache.clear()
+                    trees.clear()
                     cache[feats] = pairwise(Xm, "euclidean")
                 De = cache[feats]
                 try:
-                    merges = linkage(Xm, w, method, metric, De if metric == "euclidean" else None)
-                    labels = cut_maxclust(merges, len(Xm), k)
+                    # One linkage serves every k.
+                    if (method, metric) not in trees:
+                        trees[method, metric] = linkage(Xm, w, method, metric, De if metric == "euclidean" else None)
+                    labels = cut_maxclust(trees[method, metric], len(Xm), k)
                     s = weighted_silhouette(Xm, w, labels, De)
                 except (ValueError, FloatingPointError):
                     s = float("nan")
@@ -286,6 +283,10 @@ def select_features(spark, micro: MicroClusters, cells: list, selectable: Sequen
             chosen = chosen + [f] if direction == "forward" else [g for g in chosen if g != f]
             state[c] = (req, chosen)
             best_score[c] = s
+    if not steps:  # nothing to add or drop: the set as it is
+        whole = [(*c, tuple(state[c][0] + state[c][1])) for c in cells]
+        scores = evaluate_tasks(spark, micro, whole)
+        best_score = {c: scores.get(t) for t, c in enumerate(cells)}
     out = []
     for c in cells:
         req, chosen = state[c]
@@ -303,12 +304,14 @@ class ClusterResult:
     clean: DataFrame           # P18 output (unscaled)
     scaled: DataFrame
     features: list
+    winners: DataFrame         # C7 / C8: best of each selection, of all features, and the winner
+    micro: MicroClusters
 
 
 def full_analysis(data: DataFrame, keys: Sequence[str], features: Sequence[str],
                   k_range: Sequence[int] = (5, 6), required: Sequence[str] = ("SCORE",),
                   min_features: int = 4, exclude_outliers: Sequence[str] = ("SCORE",),
-                  iqr_k: float = 1.5, threshold: int = 1, m: int = MAX_MICRO) -> ClusterResult:
+                  iqr_k: float = 1.5, threshold: int = 1, m: int = MICRO) -> ClusterResult:
     """P18 -> M1 -> C4 -> C7 (SFS and RFE per cell) -> C9."""
     spark = data.sparkSession
     data = cut(data.select(*keys, *features))
@@ -333,24 +336,48 @@ def full_analysis(data: DataFrame, keys: Sequence[str], features: Sequence[str],
             rows.append((len(rows), meth, met, int(k), tag, ", ".join(feats), len(feats), s))
     grid = spark.createDataFrame(rows, "experiment int, method string, metric string, n_clusters int, "
                                        "selection string, features string, n_features int, silhouette double")
-    ranked = sorted([r for r in rows if r[7] is not None], key=lambda r: (-r[7], r[0]))
-    if not ranked:
+    plain = [(None, meth, met, int(k), "all", ", ".join(features), len(features), p_scores.get(i))
+             for i, (meth, met, k) in enumerate(cells)]
+
+    def first(candidates):
+        scored = [r for r in candidates if r[7] is not None]
+        return max(scored, key=lambda r: r[7]) if scored else None  # ties: the first
+
+    bests = {tag: first([r for r in rows if r[4] == tag]) for tag in ("sfs", "rfe")} | {"all": first(plain)}
+    # The better of the two selections; all features only where neither has a score.
+    b = first([r for r in (bests["sfs"], bests["rfe"]) if r]) or bests["all"]
+    if b is None:
         raise ValueError("no clustering configuration produced a silhouette")
-    b = ranked[0]
+    winners = spark.createDataFrame([(*r, r is b) for r in bests.values() if r], (
+        "experiment int, method string, metric string, n_clusters int, selection string, features string, "
+        "n_features int, silhouette double, winner boolean"))
     best = {"experiment": b[0], "method": b[1], "metric": b[2], "n_clusters": b[3], "selection": b[4],
             "features": b[5].split(", "), "silhouette": b[7]}
     labels = final_labels(spark, micro, best)
-    return ClusterResult(grid, params, best, labels, clean, scaled, list(features))
+    return ClusterResult(grid, params, best, labels, clean, scaled, list(features), winners, micro)
+
+
+def _in_one_task(spark, micro: MicroClusters, best: dict, run, schema: str) -> DataFrame:
+    """``run(points, weights, micro ids)`` over the centroids (at most m rows) in a task."""
+    feats = list(best["features"])
+    table = spark.createDataFrame(micro.table[["micro", "weight", *feats]])
+
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*feats, "micro"], ignore_index=True)
+        return run(pdf[feats].to_numpy(np.float64), pdf["weight"].to_numpy(np.float64), pdf["micro"].to_numpy())
+
+    return table.groupBy().applyInPandas(task, schema)
 
 
 def final_labels(spark, micro: MicroClusters, best: dict) -> DataFrame:
     """Cut the tuned linkage and label every row through its micro-cluster."""
-    table = micro.table
-    Xm = table[best["features"]].to_numpy(dtype=np.float64)
-    w = table["weight"].to_numpy(dtype=np.float64)
-    labels = cut_maxclust(linkage(Xm, w, best["method"], best["metric"]), len(Xm), best["n_clusters"])
-    lab = spark.createDataFrame(pd.DataFrame({"micro": table["micro"].to_numpy(), "cluster": labels}))
-    return micro.assignment.join(F.broadcast(lab), "micro").drop("micro")
+
+    def run(Xm, w, ids):
+        labels = cut_maxclust(linkage(Xm, w, best["method"], best["metric"]), len(Xm), best["n_clusters"])
+        return pd.DataFrame({"micro": ids, "cluster": labels})
+
+    lab = cut(_in_one_task(spark, micro, best, run, "micro int, cluster long"))
+    return micro.assignment.join(F.broadcast(lab), "micro").drop("micro")  # at most m rows
 
 
 def centroids(clean: DataFrame, labels: DataFrame, keys: Sequence[str], features: Sequence[str],
@@ -430,21 +457,19 @@ def silhouette(df: DataFrame, id_col: str, label_col: str, features: Sequence[st
 
 
 def linkage_table(spark, result: ClusterResult) -> DataFrame:
-    """(step, left, right, distance, size) of the tuned model's linkage plus the
-    colour threshold, the (m - k + 1)-th smallest merge distance."""
-    micro = micro_clusters(result.scaled, [c for c in result.labels.columns if c != "cluster"],
-                           result.features)
+    """(step, left, right, distance, size) of the tuned model's linkage over the centroids that the
+    labels came from, plus the colour threshold, the (m - k + 1)-th smallest merge distance."""
     best = result.best
-    Xm = micro.table[best["features"]].to_numpy(dtype=np.float64)
-    merges = linkage(Xm, micro.table["weight"].to_numpy(dtype=np.float64), best["method"], best["metric"])
-    m, k = len(Xm), best["n_clusters"]
-    idx = min(max(m - k + 1, 0), len(merges) - 1) if len(merges) else 0
-    threshold = float(merges[idx, 2]) if len(merges) else None
-    pdf = pd.DataFrame({"step": np.arange(len(merges), dtype=np.int64), "left": merges[:, 0].astype(np.int64),
-                        "right": merges[:, 1].astype(np.int64), "distance": merges[:, 2],
-                        "size": merges[:, 3], "color_threshold": threshold})
-    return spark.createDataFrame(pdf, "step long, left long, right long, distance double, size double, "
-                                      "color_threshold double")
+
+    def run(Xm, w, ids):
+        merges = linkage(Xm, w, best["method"], best["metric"])
+        idx = min(max(len(Xm) - best["n_clusters"] + 1, 0), len(merges) - 1)
+        return pd.DataFrame({"step": np.arange(len(merges), dtype=np.int64), "left": merges[:, 0].astype(np.int64),
+                             "right": merges[:, 1].astype(np.int64), "distance": merges[:, 2], "size": merges[:, 3],
+                             "color_threshold": float(merges[idx, 2]) if len(merges) else np.nan})
+
+    return _in_one_task(spark, result.micro, best, run,
+                        "step long, left long, right long, distance double, size double, color_threshold double")
 
 
 def top_experiment_counts(grid: DataFrame, top: int = 10) -> DataFrame:

@@ -295,6 +295,11 @@ def _clusters(spark, sf_dir):
     return _MEMO[key]
 
 
+@register("cluster_winners")
+def q_cluster_winners(spark, sf_dir):
+    return _clusters(spark, sf_dir).winners
+
+
 @register("cluster_params")
 def q_cluster_params(spark, sf_dir):
     return _clusters(spark, sf_dir).params

@@ -50,14 +50,16 @@ def preparation_job(inputs: PL.Inputs, out_dir: str, run: PL.Run = PL.DEFAULT_RU
 def summary_job(final: DataFrame, out_dir: str, run: PL.Run = PL.DEFAULT_RUN, fmt: str = "parquet") -> dict:
     """The national summary and the five grains, in the run's quarters."""
     scoped = Q.filter_quarters(final, run.quarters)
-    return {f"summary_{name}": SK.write_table(df, f"{out_dir}/summary_{name}", fmt)
+    order = {name: [*PL.SUMMARY_GRAINS.get(name, []), "fiscal_year", "quarter"] for name in ("national", *PL.SUMMARY_GRAINS)}
+    return {f"summary_{name}": SK.write_table(df.orderBy(*order[name]), f"{out_dir}/summary_{name}", fmt)  # T1
             for name, df in PL.summaries(scoped, run).items()}
 
 
 def score_job(final: DataFrame, out_dir: str, run: PL.Run = PL.DEFAULT_RUN, fmt: str = "parquet") -> dict:
     """E5: the four score dimensions."""
     scoped = Q.filter_quarters(final, run.quarters)
-    return {f"score_{name}": SK.write_table(df, f"{out_dir}/score_{name}", fmt)
+    return {f"score_{name}": SK.write_table(df.orderBy(F.desc("SCORE"), *PL.SCORE_DIMENSIONS[name]),  # T2
+                                           f"{out_dir}/score_{name}", fmt)
             for name, df in PL.scores(scoped, run).items()}
 
 
