@@ -1,4 +1,4 @@
-"""Kendall tau-b (A19, third method), exact and distributed.
+"""Kendall tau-b (A19, third method), exact and distributed, without Python.
 
 For one column pair, with n0 = n(n-1)/2, n1 / n2 the pairs tied in x / y and
 n3 the pairs tied in both:
@@ -6,99 +6,77 @@ n3 the pairs tied in both:
     S   = concordant - discordant = 2 C - (n0 - n1) + (n2 - n3)
     tau = S / sqrt((n0 - n1) (n0 - n2))
 
-where C counts ordered pairs with x_i < x_j and y_i < y_j.  C is the only
-two-dimensional count; it is split on x buckets (bounds from approximate
-quantiles of the distinct (x, y) pairs; a value equal to a bound gets a bucket
-of its own, so a hot x value never shares a bucket):
-
-* cross buckets - each distinct (bucket, y) entry is offered to every later
-  bucket, and the distributed exact rank (weighted) counts, per later bucket,
-  the weight below each of its y values;
-* within a bucket - one task per bucket counts with a Fenwick tree over the
-  bucket's y ranks; a bucket holding one x value has no pairs and is skipped.
+where C counts ordered pairs with x_i < x_j and y_i < y_j, the only
+two-dimensional count.  It is split over a dyadic tree on the x positions: two
+different positions part at exactly one level, where they lie in the left and
+the right half of the same node.  At each (level, node) the weight of left
+entries with a smaller y is counted for every right entry, by a window over
+stretches of the y order and a second one over the stretches' totals, so
+neither a frequent value nor the top node meets whole in one task.
 
 All column pairs of a matrix run in the same jobs (a ``pair`` group column).
-Work is O(n B) for the cross part and O((n / B) log n) per bucket task.
+Work and shuffle are O(n log n) rows, aggregated before they move.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.materialize import cut
-from ..functions.ranking import APPROX_ACCURACY, value_positions
-
-
-def _within(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    pair = int(key[0])
-    if pdf["x"].nunique() < 2:
-        return pd.DataFrame({"pair": [pair], "c": [0]})
-    pdf = pdf.sort_values(["x", "y"], kind="mergesort")
-    ranks = pd.factorize(pdf["y"], sort=True)[0] + 1
-    xs, ws = pdf["x"].to_numpy(), pdf["w"].to_numpy(dtype=np.int64)
-    size = int(ranks.max())
-    tree = [0] * (size + 1)
-    total = 0
-    i, n = 0, len(pdf)
-    while i < n:
-        j = i
-        while j < n and xs[j] == xs[i]:
-            j += 1
-        for k in range(i, j):           # query the whole x level first ...
-            r, acc = int(ranks[k]) - 1, 0
-            while r > 0:
-                acc += tree[r]
-                r -= r & -r
-            total += int(ws[k]) * acc
-        for k in range(i, j):           # ... then insert it
-            r = int(ranks[k])
-            while r <= size:
-                tree[r] += int(ws[k])
-                r += r & -r
-        i = j
-    return pd.DataFrame({"pair": [pair], "c": [total]})
-
-
-def tau_b(long: DataFrame, buckets: int = 16) -> DataFrame:
+from ..functions.ranking import value_positions
+
+COUNT = "decimal(19,0)"  # products of two counts fit decimal(38,0)
+STRETCH_BITS = 16        # y positions in one window of a node
+
+
+def dyadic_entries(coded: DataFrame, levels: int) -> DataFrame:
+    """(pair, level, node, yc, lw, rw): weight in the left and the right half of each node, per y position."""
+    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1)))
+    rows = coded.select("pair", "xc", "yc", "w", level.alias("level"))
+    left = F.expr("shiftright(xc, level) & 1L") == 0
+    return (rows.groupBy("pair", "level", F.expr("shiftright(xc, level + 1)").alias("node"), "yc")
+            .agg(F.sum(F.when(left, F.col("w")).otherwise(0)).alias("lw"),
+                 F.sum(F.when(left, 0).otherwise(F.col("w"))).alias("rw")))
+
+
+def ascending_pairs(coded: DataFrame, levels: int, stretch_bits: int = STRETCH_BITS) -> DataFrame:
+    """(pair, c): ordered pairs with smaller x and smaller y, of weighted (xc, yc) positions."""
+    node = ["pair", "level", "node"]
+    before = Window.unboundedPreceding, -1
+    exact = lambda a, b: F.sum(F.col(a).cast(COUNT) * F.col(b).cast(COUNT))
+    cells = dyadic_entries(coded, levels).withColumn("stretch", F.shiftright("yc", stretch_bits))
+    inner = Window.partitionBy(*node, "stretch").orderBy("yc").rowsBetween(*before)
+    totals = (cells.withColumn("below", F.coalesce(F.sum("lw").over(inner), F.lit(0)))
+              .groupBy(*node, "stretch")
+              .agg(F.sum("lw").alias("lw"), F.sum("rw").alias("rw"), exact("rw", "below").alias("c_in")))
+    across = Window.partitionBy(*node).orderBy("stretch").rowsBetween(*before)
+    totals = totals.withColumn("below", F.coalesce(F.sum("lw").over(across), F.lit(0)))
+    return totals.groupBy("pair").agg((F.sum("c_in") + exact("rw", "below")).alias("c"))
+
+
+def tau_b(long: DataFrame, stretch_bits: int = STRETCH_BITS) -> DataFrame:
     """tau-b per ``pair`` of a (pair, x, y) table with complete rows -> (pair, tau)."""
     pairs = cut(long.groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")))
-    half = lambda c: F.sum(F.col(c) * (F.col(c) - F.lit(1)) / F.lit(2))
-    tx = pairs.groupBy("pair", "x").agg(F.sum("w").alias("t")).groupBy("pair").agg(half("t").alias("n1"))
-    ty = pairs.groupBy("pair", "y").agg(F.sum("w").alias("t")).groupBy("pair").agg(half("t").alias("n2"))
-    tot = pairs.groupBy("pair").agg(F.sum("w").alias("n"), half("w").alias("n3"))
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = pairs.groupBy("pair").agg(F.percentile_approx("x", probs, APPROX_ACCURACY).alias("_b"))
-    x = F.col("x")
-    xb = (F.lit(2) * F.size(F.filter("_b", lambda b: b < x))
-          + F.when(F.array_contains("_b", x), F.lit(1)).otherwise(F.lit(0)))
-    pb = pairs.join(F.broadcast(bounds), "pair").withColumn("xb", xb).drop("_b")
-    top = 2 * (buckets - 1) + 1
-    entries = pb.groupBy("pair", "xb", "y").agg(F.sum("w").alias("w"))
-    offered = (entries.where(F.col("xb") < top)
-               .select("pair", F.explode(F.sequence(F.col("xb") + 1, F.lit(top))).alias("qb"), "y",
-                       F.col("w").alias("dw")))
-    asked = entries.select("pair", F.col("xb").alias("qb"), "y", F.lit(0).cast("long").alias("dw"))
-    pos = value_positions(offered.unionByName(asked), "y", ["pair", "qb"], weight="dw")
-    cross = (entries.join(pos.select("pair", F.col("qb").alias("xb"), "y", "before"), ["pair", "xb", "y"])
-             .groupBy("pair").agg(F.sum(F.col("w") * F.col("before")).alias("c_cross")))
-    from .anomaly import compute_slots
-    slots = compute_slots(long.sparkSession, 2 * buckets * 8)
-    within = (pb.select("pair", "xb", "x", "y", "w").repartition(slots, "pair", "xb").groupBy("pair", "xb")
-              .applyInPandas(_within, "pair long, c long")
-              .groupBy("pair").agg(F.sum("c").alias("c_within")))
-    out = (tot.join(tx, "pair").join(ty, "pair").join(cross, "pair", "left").join(within, "pair", "left")
-           .fillna(0, ["c_cross", "c_within"]))
-    n0 = F.col("n") * (F.col("n") - F.lit(1)) / F.lit(2)
-    c = F.col("c_cross") + F.col("c_within")
-    s = F.lit(2) * c - (n0 - F.col("n1")) + (F.col("n2") - F.col("n3"))
-    den = F.sqrt((n0 - F.col("n1")).cast("double") * (n0 - F.col("n2")).cast("double"))
-    return out.select("pair", F.when(den > 0, s.cast("double") / den).alias("tau"))
+    # Twice the number of pairs among w equal things, summed without a 64-bit cap.
+    tied = lambda c: F.sum(F.col(c).cast(COUNT) * (F.col(c) - F.lit(1)).cast(COUNT))
+    tx = pairs.groupBy("pair", "x").agg(F.sum("w").alias("t")).groupBy("pair").agg(tied("t").alias("n1"))
+    ty = pairs.groupBy("pair", "y").agg(F.sum("w").alias("t")).groupBy("pair").agg(tied("t").alias("n2"))
+    tot = cut(pairs.groupBy("pair").agg(F.sum("w").alias("n"), tied("w").alias("n3")))
+    n = tot.agg(F.max("n")).first()[0] or 0
+    levels = max(1, (n - 1).bit_length())  # positions are below n
+    place = lambda c: value_positions(pairs, c, ["pair"], weight="w").select(
+        "pair", c, F.col("before").alias(f"{c}c"))
+    coded = pairs.join(place("x"), ["pair", "x"]).join(place("y"), ["pair", "y"]).select("pair", "xc", "yc", "w")
+    c = ascending_pairs(coded, levels, stretch_bits)
+    out = tot.join(tx, "pair").join(ty, "pair").join(c, "pair", "left")
+    n0 = F.col("n").cast(COUNT) * (F.col("n") - F.lit(1)).cast(COUNT)
+    left_x, left_y = n0 - F.col("n1"), n0 - F.col("n2")
+    twice_s = F.lit(4) * F.coalesce(F.col("c"), F.lit(0)) - left_x + (F.col("n2") - F.col("n3"))
+    den = F.sqrt(left_x.cast("double") * left_y.cast("double"))
+    return out.select("pair", F.when(den > 0, twice_s.cast("double") / den).alias("tau"))
 
 
 def kendall_matrix(clean: DataFrame, vals: Sequence[str], names: Sequence[str], digits: int = 3) -> DataFrame:

@@ -89,3 +89,18 @@ def test_kendall_matches_brute_force(spark):
         for b in ["x", "y", "z"]:
             want = 1.0 if a == b else tau(pdf[a].to_numpy(), pdf[b].to_numpy())
             assert abs(got[a][b] - round(float(want), 3)) < 1e-9, (a, b, got[a][b], want)
+
+
+def test_kendall_counts_across_stretches_and_ties(spark):
+    from quarterlens.operators import kendall as KD
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 40, 300), rng.integers(0, 40, 300)
+    x[:100], y[50:150] = 7, 3                      # a third of all rows share a value
+    rows = [(0, float(a), float(b)) for a, b in zip(x, y)] + [(1, 1.0, 2.0)] * 5 + [(2, float(a), float(-a)) for a in x]
+    df = spark.createDataFrame(rows, "pair long, x double, y double")
+    dx, dy = np.sign(x[:, None] - x[None, :]), np.sign(y[:, None] - y[None, :])
+    want = (dx * dy).sum() / np.sqrt((dx != 0).sum() * (dy != 0).sum())
+    for bits in (2, KD.STRETCH_BITS):
+        got = {r.pair: r.tau for r in KD.tau_b(df, bits).collect()}
+        assert abs(got[0] - want) < 1e-12 and got[1] is None and got[2] == -1.0
+    assert KD.tau_b(df.where("pair > 9")).count() == 0
