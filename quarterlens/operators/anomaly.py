@@ -11,9 +11,8 @@ Spark layout of one fit:
 * **growing** - ``groupBy(tree).applyInPandas`` grows, for each tree index,
   that tree of every forest of the grid (feature subset x sample size) on
   its candidates; only a few hundred rows per group move.
-* **scoring** - ``cogroup`` of the rows and the node table per
-  (forest, chunk): each group holds one forest's nodes and a bounded chunk
-  of rows; path lengths are traversed with NumPy.
+* **scoring** - forests are packed into flat arrays, broadcast in groups of
+  bounded bytes, and rows are scored where they are with NumPy.
 
 Forests differing only in tree count share trees (the first T trees), and
 contamination only moves the offset, so a grid of
@@ -467,6 +466,14 @@ def model_from_fit(train: DataFrame, keys, fit: ForestFit, forest: int, n_estima
     return AnomalyModel(list(sp.features), fit, forest, n_estimators, contamination, float(off), sp.psi)
 
 
+def best_model(grid: GridResult, train: DataFrame, keys: Sequence[str]) -> AnomalyModel:
+    """The model of the grid's best experiment."""
+    b = grid.best
+    forest = next(sp.forest for sp in grid.fit.specs
+                  if sp.subset == b["subset"] and sp.psi_setting == b["max_samples"])
+    return model_from_fit(train, keys, grid.fit, forest, int(b["n_estimators"]), float(b["contamination"]))
+
+
 def predict(test: DataFrame, model: AnomalyModel, keys: Sequence[str]) -> DataFrame:
     """M3: ``anomaly`` flag and ``anomaly_score`` (= s + offset, > 0 means anomaly).
 
@@ -495,8 +502,14 @@ def metrics(result: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total_records"),
         F.count(F.when(F.col("anomaly"), 1)).alias("anomalies_count"),
         F.min(s).alias("score_min"), F.max(s).alias("score_max"),
-        (F.sum(s.cast("decimal(38,18)")).cast("double") / F.count(s)).alias("score_mean"),
-        F.stddev_samp(s).alias("score_std"))
+        (F.sum(s.cast("decimal(38,12)")).cast("double") / F.count(s)).alias("score_mean"),
+        F.count(s).alias("_scored"))
+    # Squared deviations are summed as decimals, so the spread does not depend on the order of rows.
+    gap = s - F.col("_mean")
+    spread = result.crossJoin(F.broadcast(agg.select(F.col("score_mean").alias("_mean")))).agg(
+        F.sum((gap * gap).cast("decimal(38,12)")).cast("double").alias("_ss"))
+    agg = agg.crossJoin(F.broadcast(spread)).withColumn("score_std", F.when(
+        F.col("_scored") > 1, F.sqrt(X.ieee_div("_ss", F.col("_scored") - F.lit(1)))))
     med = quantiles_long(result.select(F.lit("s").alias("g"), s.alias("v")), "v", [0.5], ["g"])
     agg = agg.withColumn("_k", F.lit(1)).join(
         med.select(F.lit(1).alias("_k"), F.col("q").alias("score_median")), "_k", "left").drop("_k")
@@ -516,7 +529,7 @@ def segmented(result: DataFrame, segment: str) -> DataFrame:
         F.count(F.lit(1)).alias("total_records"),
         F.count(F.when(F.col("anomaly"), 1)).alias("anomalies_count"),
         F.min(s).alias("score_min"), F.max(s).alias("score_max"),
-        (F.sum(s.cast("decimal(38,18)")).cast("double") / F.count(s)).alias("score_mean"))
+        (F.sum(s.cast("decimal(38,12)")).cast("double") / F.count(s)).alias("score_mean"))
     return g.select(
         F.lit(segment).alias("segment_column"), "segment", "total_records", "anomalies_count",
         (F.col("total_records") - F.col("anomalies_count")).alias("normal_count"),
@@ -587,6 +600,30 @@ def explain(result: DataFrame, features: Sequence[str], id_columns: Sequence[str
                  F.array_join(names, ", "))).otherwise(F.lit("sin outliers claros")))
 
 
+def explanation_text(features: Sequence[str], lower: str, upper: str) -> F.Column:
+    """M4, one row as text: each value outside its fences (columns ``lower``/``upper`` + feature)."""
+    # fixed values: the texts of the single-row explanation
+    low, high, nothing = "%s: %.3f < %.3f (low)", "%s: %.3f > %.3f (high)", "No obvious outliers"
+    three = lambda c: F.bround(c, 3)
+    parts = []
+    for f in features:
+        v, lo, hi = F.col(f), F.col(f"{lower}{f}"), F.col(f"{upper}{f}")
+        parts.append(F.when(v < lo, F.format_string(low, F.lit(f), three(v), three(lo)))
+                     .when(v > hi, F.format_string(high, F.lit(f), three(v), three(hi))))
+    found = F.array_compact(F.array(*parts))
+    return F.when(F.size(found) > 0, F.array_join(found, "; ")).otherwise(F.lit(nothing))
+
+
+def explain_rows(result: DataFrame, features: Sequence[str], id_columns: Sequence[str],
+                 k: float = 1.5) -> DataFrame:
+    """M4 single-row form for every row: number of values outside the fences of all rows, and the text."""
+    fences = SC.fence_columns(SC.iqr_fences(result, features, k), features)
+    fenced = result.crossJoin(F.broadcast(fences))  # one row of fences
+    outside = [(F.col(f) < F.col(f"_lo_{f}")) | (F.col(f) > F.col(f"_hi_{f}")) for f in features]
+    return fenced.select(*id_columns, X.count_true(outside).alias("n_outlier_features"),
+                         explanation_text(features, "_lo_", "_hi_").alias("explanation"))
+
+
 def outlier_frequency(explanations: DataFrame, features: Sequence[str]) -> DataFrame:
     """How often each feature is an outlier among the explained anomalies."""
     long = explanations.select(F.inline(F.array(*[
@@ -598,7 +635,7 @@ def outlier_frequency(explanations: DataFrame, features: Sequence[str]) -> DataF
 def summary_by_size(experiments: DataFrame) -> DataFrame:
     """Mean / max / count of the best score per subset size."""
     return experiments.groupBy("n_features").agg(
-        F.avg("mean_score").alias("mean"), F.max("mean_score").alias("max"), F.count(F.lit(1)).alias("count"))
+        _mean_exact("mean_score").alias("mean"), F.max("mean_score").alias("max"), F.count(F.lit(1)).alias("count"))
 
 
 def top_feature_frequency(best_per_subset: DataFrame, top: int = 5) -> DataFrame:
@@ -618,6 +655,31 @@ def anomaly_summary(result: DataFrame, features: Sequence[str], id_columns: Sequ
     return out
 
 
+@dataclass
+class CompleteAnalysis:
+    grid: GridResult | None
+    model: AnomalyModel
+    predictions: DataFrame
+    metrics: DataFrame
+    explanations: DataFrame
+    segments: dict
+    summary: DataFrame
+
+
+def complete_analysis(train: DataFrame, test: DataFrame, keys: Sequence[str], features: Sequence[str],
+                      segments: Sequence[str] = (), national: DataFrame | None = None,
+                      optimize: bool = True) -> CompleteAnalysis:
+    """M7 in one call: check the inputs, fit (by grid search or with the defaults), score, report, explain."""
+    validate_inputs(train, test, features)
+    grid = grid_search(train, test, keys, features) if optimize else None
+    model = best_model(grid, train, keys) if grid else fit_model(train, keys, features)
+    scored = cut(predict(test, model, keys))
+    return CompleteAnalysis(
+        grid, model, scored, metrics(scored), explain(scored, model.features, keys),
+        {c: segmented(scored, c) for c in segments if c in scored.columns},
+        anomaly_summary(scored, model.features, keys, national))
+
+
 def ranked_experiments(best_per_subset: DataFrame, top: int = 10) -> DataFrame:
     """M8: the best subsets ranked by mean score (a top-k report over <= #subsets rows)."""
     topn = best_per_subset.orderBy(F.desc("mean_score"), F.asc("subset")).limit(top)

@@ -63,7 +63,8 @@ def iqr_fences(df: DataFrame, features: Sequence[str], k: float = 1.5) -> DataFr
                        (F.col("q3") + F.lit(float(k)) * iqr).alias("upper"))
 
 
-def _fence_columns(fences: DataFrame, features: Sequence[str]) -> DataFrame:
+def fence_columns(fences: DataFrame, features: Sequence[str]) -> DataFrame:
+    """One row: ``_lo_{f}`` and ``_hi_{f}`` of every feature."""
     return fences.agg(
         *[F.max(F.when(F.col("feature") == F.lit(f), F.col("lower"))).alias(f"_lo_{f}") for f in features],
         *[F.max(F.when(F.col("feature") == F.lit(f), F.col("upper"))).alias(f"_hi_{f}") for f in features])
@@ -72,7 +73,7 @@ def _fence_columns(fences: DataFrame, features: Sequence[str]) -> DataFrame:
 def outlier_flags(df: DataFrame, features: Sequence[str], k: float = 1.5,
                   fences: DataFrame | None = None) -> DataFrame:
     """Adds ``_out_{f}`` (value outside the fences) and ``outlier_count``."""
-    fences = _fence_columns(fences if fences is not None else iqr_fences(df, features, k), features)
+    fences = fence_columns(fences if fences is not None else iqr_fences(df, features, k), features)
     j = df.crossJoin(F.broadcast(fences))
     flags = {f"_out_{f}": F.coalesce((F.col(f) < F.col(f"_lo_{f}")) | (F.col(f) > F.col(f"_hi_{f}")),
                                      F.lit(False)) for f in features}

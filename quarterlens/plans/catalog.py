@@ -6,6 +6,7 @@ whole test tables.  Column names are aliased identically on both sides.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,12 +31,29 @@ _ORACLE: dict[str, str] = {}
 _MEMO: dict = {}
 
 
+_SHARED = False
+
+
+@contextmanager
+def shared_tables():
+    """Within this context queries share the tables that they have in common."""
+    global _SHARED
+    _MEMO.clear()
+    _SHARED = True
+    try:
+        yield
+    finally:
+        _SHARED = False
+        _MEMO.clear()
+
+
 def register(name: str, sql: str | None = None):
-    """Register a query; each call starts with an empty memo of shared tables."""
+    """Register a query; outside ``shared_tables`` each call starts with an empty memo of shared tables."""
     def deco(fn: Builder) -> Builder:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship_package(spark)
-            _MEMO.clear()
+            if not _SHARED:
+                _MEMO.clear()
             return fn(spark, sf_dir)
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__
@@ -58,7 +76,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _load_all():
     # importing registers the remaining query families
-    from . import catalog_explore, catalog_models  # noqa: F401
+    from . import catalog_explore, catalog_models, catalog_rules  # noqa: F401
 
 
 def _inputs(spark, sf_dir):

@@ -113,7 +113,8 @@ def fixed_rule(df):
                            "anomaly": F.coalesce(score > F.lit(0.0), F.lit(False))})
 
 
-def _explain_sql():
+def explain_parts():
+    """(SELECT of the explanations, its CTEs) on the fixed rule."""
     f_ctes = _fence_ctes("r_rule", ANOMALY_FEATURES)
     rule = (f"r_rule AS (SELECT *, abs(variation_rate_nos - {O.dbl(100.0)}) / {O.dbl(100.0)} - {O.dbl(0.5)} "
             "AS anomaly_score FROM m_test), "
@@ -134,10 +135,10 @@ def _explain_sql():
     body = (f"SELECT *, CASE WHEN outlier_count > 0 THEN 'outlier en ' || CAST(outlier_count AS VARCHAR) || "
             f"' variables: ' || rtrim(_names, ', ') ELSE 'sin outliers claros' END AS outlier_variables "
             f"FROM (SELECT *, CAST({cnt} AS INTEGER) AS outlier_count, {names} AS _names FROM ({inner}) i) j")
-    return msql(f"SELECT * EXCLUDE (_names) FROM ({body}) k", rule + f_ctes + ", " + med)
+    return f"SELECT * EXCLUDE (_names) FROM ({body}) k", rule + f_ctes + ", " + med
 
 
-@register("explain", _explain_sql())
+@register("explain", msql(*explain_parts()))
 def q_explain(spark, sf_dir):
     scored = fixed_rule(test_table(spark, sf_dir))
     return AN.explain(scored, ANOMALY_FEATURES, KEYS)
@@ -148,14 +149,9 @@ def _grid(spark, sf_dir):
     return AN.grid_search(train_table(spark, sf_dir), test_table(spark, sf_dir), KEYS, ANOMALY_FEATURES)
 
 
-def _best_model(spark, sf_dir, grid=None):
-    train, test = train_table(spark, sf_dir), test_table(spark, sf_dir)
-    g = grid or _grid(spark, sf_dir)
-    b = g.best
-    forest = next(sp.forest for sp in g.fit.specs
-                  if sp.subset == b["subset"] and sp.psi_setting == b["max_samples"])
-    model = AN.model_from_fit(train, KEYS, g.fit, forest, int(b["n_estimators"]), float(b["contamination"]))
-    return model, cut(AN.predict(test, model, KEYS))
+def _best_model(spark, sf_dir):
+    found = AN.complete_analysis(train_table(spark, sf_dir), test_table(spark, sf_dir), KEYS, ANOMALY_FEATURES)
+    return found.model, found.predictions
 
 
 def default_model_result(spark, sf_dir):
@@ -209,9 +205,9 @@ def q_anomaly_best(spark, sf_dir):
 @register("anomaly_summary")
 def q_anomaly_summary(spark, sf_dir):
     """M7 with the grid-selected model and the national values of the scored year."""
-    model, res = _best_model(spark, sf_dir)
     national = Q.filter_fiscal_year(Q.national_summary(final_in_scope(spark, sf_dir)), RUN.score_year)
-    return AN.anomaly_summary(res, model.features, KEYS, national)
+    return AN.complete_analysis(train_table(spark, sf_dir), test_table(spark, sf_dir), KEYS, ANOMALY_FEATURES,
+                                national=national).summary
 
 
 # ------------------------------------------------------------ clustering
@@ -263,11 +259,12 @@ def q_iqr_filter(spark, sf_dir):
 EMB_DIMS = 64  # all components of the embeddings table
 
 
-def _silhouette_sql():
+def _silhouette_sql(squared: bool = False):
     xs = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS x{i}" for i in range(EMB_DIMS))
     dist = " + ".join(f"(a.x{i} - b.x{i}) * (a.x{i} - b.x{i})" for i in range(EMB_DIMS))
+    dist = dist if squared else f"sqrt({dist})"
     return (f"WITH p AS (SELECT vec_id, CAST(label AS BIGINT) AS label, {xs} FROM embeddings), "
-            f"d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, sqrt({dist}) AS dist FROM p a JOIN p b "
+            f"d AS (SELECT a.vec_id, a.label AS la, b.label AS lb, {dist} AS dist FROM p a JOIN p b "
             "ON a.vec_id <> b.vec_id), "
             "per AS (SELECT vec_id, la, lb, sum(dist) AS s, count(*) AS c FROM d GROUP BY vec_id, la, lb), "
             "aa AS (SELECT vec_id, s / c AS a FROM per WHERE la = lb), "
@@ -279,12 +276,21 @@ def _silhouette_sql():
             "round_even(avg(s), 6) AS silhouette FROM sil")
 
 
+def _embedded_points(spark, sf_dir):
+    emb = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
+    return emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}")
+                                           for i in range(EMB_DIMS)])
+
+
 @register("silhouette", _silhouette_sql())
 def q_silhouette(spark, sf_dir):
-    emb = spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet")
-    pts = emb.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}")
-                                          for i in range(EMB_DIMS)])
-    return CL.silhouette(pts, "vec_id", "label", [f"x{i}" for i in range(EMB_DIMS)])
+    return CL.silhouette(_embedded_points(spark, sf_dir), "vec_id", "label", [f"x{i}" for i in range(EMB_DIMS)])
+
+
+@register("silhouette_squared", _silhouette_sql(squared=True))
+def q_silhouette_squared(spark, sf_dir):
+    """C3 on squared distances: one pass for the clusters' moments, one for the rows."""
+    return CL.silhouette_squared(_embedded_points(spark, sf_dir), "label", [f"x{i}" for i in range(EMB_DIMS)])
 
 
 def _clusters(spark, sf_dir):

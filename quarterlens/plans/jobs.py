@@ -68,7 +68,7 @@ class ModelOutputs:
     anomalies: DataFrame
     clusters: CL.ClusterResult
     scores: DataFrame
-    grid: AN.GridResult
+    grid: AN.GridResult | None
     paths: dict = field(default_factory=dict)
 
 
@@ -79,25 +79,28 @@ def model_job(final: DataFrame, out_dir: str, run: PL.Run = PL.DEFAULT_RUN, fmt:
     cust = cut(Q.customer_summary(scoped, run.years))
     train = Q.filter_fiscal_year(cust, run.train_year).where(F.col("variation_rate_nos").isNotNull())
     test = Q.filter_fiscal_year(cust, run.score_year)
-    grid = AN.grid_search(train, test, KEYS, ANOMALY_FEATURES)
-    b = grid.best
-    forest = next(sp.forest for sp in grid.fit.specs
-                  if sp.subset == b["subset"] and sp.psi_setting == b["max_samples"])
-    model = AN.model_from_fit(train, KEYS, grid.fit, forest, int(b["n_estimators"]), float(b["contamination"]))
-    anomalies = cut(AN.predict(test, model, KEYS))
+    national = Q.filter_fiscal_year(Q.national_summary(scoped), run.score_year)
+    found = AN.complete_analysis(train, test, KEYS, ANOMALY_FEATURES, ("channel", "team"), national, optimize)
+    anomalies = found.predictions
     scores = cut(K.score(Q.national_summary(scoped), cust, KEYS, run.score_year))
     data = (test.select(*KEYS, *[f for f in CLUSTER_FEATURES if f != "SCORE"])
             .join(scores.select(*KEYS, "SCORE"), KEYS, "left").dropna(subset=CLUSTER_FEATURES))
     clusters = CL.full_analysis(data, KEYS, CLUSTER_FEATURES)
-    paths = {
-        "anomaly_grid": SK.write_table(grid.experiments, f"{out_dir}/anomaly_grid", fmt),
-        "anomaly_predictions": SK.write_table(anomalies, f"{out_dir}/anomaly_predictions", fmt),
-        "anomaly_explanations": SK.write_table(AN.explain(anomalies, model.features, KEYS),
-                                               f"{out_dir}/anomaly_explanations", fmt),
-        "cluster_grid": SK.write_table(clusters.grid, f"{out_dir}/cluster_grid", fmt),
-        "cluster_labels": SK.write_table(clusters.labels, f"{out_dir}/cluster_labels", fmt),
+    by_score = [F.desc("anomaly_score"), *KEYS]
+    tables = {
+        "anomaly_predictions": anomalies,
+        "anomaly_metrics": found.metrics,
+        "anomaly_explanations": found.explanations.orderBy(*by_score),
+        "anomaly_summary": found.summary.orderBy(*by_score),
+        **{f"anomaly_by_{c}": df for c, df in found.segments.items()},
+        "cluster_grid": clusters.grid,
+        "cluster_winners": clusters.winners,
+        "cluster_labels": clusters.labels,
     }
-    return ModelOutputs(anomalies, clusters, scores, grid, paths)
+    if found.grid:
+        tables["anomaly_grid"] = found.grid.experiments
+    paths = {name: SK.write_table(df, f"{out_dir}/{name}", fmt) for name, df in tables.items()}
+    return ModelOutputs(anomalies, clusters, scores, found.grid, paths)
 
 
 def report_job(final: DataFrame, models: ModelOutputs, out_dir: str, run: PL.Run = PL.DEFAULT_RUN,
@@ -111,19 +114,28 @@ def report_job(final: DataFrame, models: ModelOutputs, out_dir: str, run: PL.Run
 
 
 def exploration_job(spark: SparkSession, summary_path: str, out_dir: str, year: int,
-                    fmt: str = "parquet", columns: Sequence[str] = ("channel", "team")) -> dict:
-    """Exploratory tables on a saved customer summary."""
+                    fmt: str = "parquet", columns: Sequence[str] = ("channel", "team"),
+                    category_path: str | None = None, score_path: str | None = None) -> dict:
+    """Exploratory tables on a saved customer summary (S8), and on saved category and score tables."""
     df = Q.filter_fiscal_year(R.read_saved_table(spark, summary_path, fmt), year)
     rates = ["rate_nos", "rate_nsrd", "rate_sd", "nos_su", "variation_rate_nos", "variation_rate_volume"]
     cols = [c for c in columns if c in df.columns]
     tables = {
         "distinct_counts": EX.distinct_counts(df, ["customer", "channel", "team"]),
+        "value_counts": EX.value_counts(df, cols),
+        "customers_by": EX.customers_by(df, cols),
         "descriptive": EX.descriptive(df, rates, remove_outliers=True),
         "nos_table": EX.nos_table(df, cols),
+        **{f"corr_{m}": EX.correlation(df, rates, m, keys=KEYS) for m in ("pearson", "spearman", "kendall")},
         "share_bands": EX.share_bands(df),
         "top_customers": EX.top_customers(df, 10),
         "histogram_feed": EX.histogram_feed(df, rates),
     }
+    if category_path is not None:
+        by_category = Q.filter_fiscal_year(R.read_saved_table(spark, category_path, fmt), year)
+        tables["nos_table_category"] = EX.nos_table(by_category, ["category_smo"])
+    if score_path is not None:
+        tables["score_histogram"] = K.score_histogram(R.read_saved_table(spark, score_path, fmt))
     return {k: SK.write_table(v, f"{out_dir}/{k}", fmt) for k, v in tables.items()}
 
 
@@ -137,5 +149,6 @@ def full_job(spark: SparkSession, inputs: PL.Inputs, out_dir: str, run: PL.Run =
     models = model_job(final, out_dir, run, fmt)
     out.update(models.paths)
     out.update(report_job(final, models, out_dir, run, fmt=fmt))
-    out.update(exploration_job(spark, out["summary_customer"], f"{out_dir}/exploration", run.score_year, fmt))
+    out.update(exploration_job(spark, out["summary_customer"], f"{out_dir}/exploration", run.score_year, fmt,
+                               category_path=out["summary_customer_category"], score_path=out["score_customer"]))
     return out

@@ -65,6 +65,27 @@ def test_silhouette_matches_brute_force(spark):
         abs(CL.weighted_silhouette(X, np.ones(40), lab + 1) - np.mean(s)) < 1e-12
 
 
+def test_squared_silhouette_matches_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    X, lab = rng.normal(size=(60, 3)) + 7, rng.integers(0, 5, 60)
+    lab[0] = 9                                     # a cluster of one row
+    rows = [(int(l), *map(float, x)) for l, x in zip(lab, X)] + [(None, 1.0, 1.0, 1.0), (1, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "label int, x0 double, x1 double, x2 double")
+    D = ((X[:, None] - X[None]) ** 2).sum(2)
+    s = [0.0]
+    for i in range(1, 60):
+        own = lab == lab[i]
+        own[i] = False
+        a, b = D[i, own].mean(), min(D[i, lab == k].mean() for k in set(lab) - {lab[i]})
+        s.append((b - a) / max(a, b))
+    for block in (CL.LABEL_BLOCK, 2):
+        monkeypatch.setattr(CL, "LABEL_BLOCK", block)
+        got = CL.silhouette_squared(df, "label", ["x0", "x1", "x2"]).first()
+        assert (got.n_points, got.n_clusters) == (60, len(set(lab)))
+        assert abs(got.silhouette - np.mean(s)) < 1e-6
+    assert CL.silhouette_squared(df.where("label > 99"), "label", ["x0"]).first().n_points == 0
+
+
 def test_kendall_matches_brute_force(spark):
     from quarterlens.operators import explore as EX
     rng = np.random.default_rng(3)
