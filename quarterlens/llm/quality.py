@@ -219,8 +219,8 @@ def judge(docs: DataFrame, min_group: int = MIN_GROUP, tail: float = TAIL,
         F.lit(100) * F.col("n_repeat_words") > F.lit(MAX_REPEAT_PERCENT) * F.col("n_words"))
     table = cut(_groups(cut(stats.withColumn("base_failed", failed).withColumns(statistic_vector())), min_group))
     fit = table.where(~F.col("base_failed"))
-    pool = fit.groupBy("grp").count().where(F.col("count") >= min_group).select("grp")
-    params, n_groups = estimate(fit.join(small(pool, 1), "grp", "left_semi"))
+    pool = cut(fit.groupBy("grp").count().where(F.col("count") >= min_group).select("grp"))
+    params, n_groups = estimate(fit.join(small(pool, pool.count()), "grp", "left_semi"))
     judged = table.join(small(params, n_groups), "grp", "left")
     far = _distance({k: F.col(k) for k in PARAMS})
     limit = chi2_quantile(1.0 - tail, P)
