@@ -4,8 +4,9 @@ Folding maps look-alike letters of other scripts, full-width forms and digit
 substitutions (1d10t) to plain letters; a word of digits alone stays out, and
 an accented word is matched with and without its accents.  The lexicon holds
 word beginnings and whole words, learned from labelled texts: one is taken up
-if it marks toxic texts (log-odds of its document counts) in enough of them,
-and longer beginnings replace shorter ones that they account for.  Exception phrases are longer words and word pairs around a
+if it marks toxic texts (log-odds of its document counts, less a standard
+error), however rare it is, and a longer beginning replaces a shorter one that
+it accounts for.  Exception phrases are longer words and word pairs around a
 hit that occur in clean texts rather than in toxic ones; a hit inside one
 does not count.  A text's score is the weight of its hits per hundred words,
 squashed to 0..1 so that 0.3 separates the labelled texts best.
@@ -37,9 +38,9 @@ from pyspark.sql import functions as F
 from ..session import ship_package
 
 MAX_TOXIC, MAX_CLEAN = 4000, 12000
-MAX_LEXICON = 5000
-SHORTEST, LONGEST = 4, 14   # letters of a lexicon entry
-SUPPORT = 0.025             # share of the toxic training texts that hold an entry
+MAX_EXCEPTIONS = 5000
+SHORTEST, LONGEST = 4, 14   # letters of a beginning
+SHORTEST_WORD = 2           # letters of a whole word
 LEAST_TEXTS = 3
 LOG_ODDS = 2.5              # less one standard error
 EXCEPTION_ODDS = 1.0
@@ -186,7 +187,7 @@ def _beginnings(folder: Folder, text: str | None) -> set[str]:
     """Beginnings of the words, and whole words with a blank at their end."""
     words = set(folder.words(text))
     return {w[:n] for w in words for n in range(SHORTEST, min(LONGEST, len(w)) + 1)} | {
-        f"{w} " for w in words if SHORTEST <= len(w) <= LONGEST}
+        f"{w} " for w in words if SHORTEST_WORD <= len(w) <= LONGEST}
 
 
 def fit(docs: DataFrame, labels: DataFrame, train: Column) -> Lexicon:
@@ -214,35 +215,37 @@ def _odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column:
 def _entries(sample: DataFrame, n_toxic: int, n_clean: int) -> dict[str, float]:
     counts = (sample.mapInPandas(_count_texts(_beginnings), "term string, toxic long, clean long")
               .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-              .where(F.col("toxic") >= max(LEAST_TEXTS, SUPPORT * n_toxic))
+              .where(F.col("toxic") >= LEAST_TEXTS)
               .withColumn("odds", _odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean))
               .where(F.col("odds") - F.sqrt(F.lit(1.0) / (F.col("toxic") + F.lit(0.5))
                                             + F.lit(1.0) / (F.col("clean") + F.lit(0.5))) >= LOG_ODDS)
-              .orderBy(F.desc("odds"), "term").limit(MAX_LEXICON).collect())
+              .collect())  # bounded by the words of MAX_TOXIC texts
     found = {r["term"]: (r["toxic"], r["odds"]) for r in counts}
     kept: dict[str, float] = {}
     for term in sorted(found, key=lambda t: (len(t), t)):
         n, odds = found[term]
         shorter = next((term[:i] for i in range(len(term) - 1, 0, -1) if term[:i] in kept), None)
         if shorter is not None:
-            # A longer beginning takes the place of a shorter one that it accounts for or that is
-            # less sure; else the shorter one covers it.
+            # A longer beginning takes the place of a shorter one that it accounts for; a surer one
+            # stands beside it, for the shorter one's other inflections; else the shorter one covers it.
             accounts = not term.endswith(" ") and n >= 0.98 * found[shorter][0]
-            if odds < found[shorter][1] + 0.5 and not accounts:
+            if accounts:
+                del kept[shorter]
+            elif odds < found[shorter][1] + 0.5:
                 continue
-            del kept[shorter]
         kept[term] = float(odds)
     return kept
 
 
 def _exceptions(sample: DataFrame, lexicon: Lexicon, n_toxic: int, n_clean: int) -> list[str]:
-    entries = tuple(lexicon.entries)
+    entries = set(lexicon.entries)
+    sizes = sorted({len(e) for e in entries})
 
     def phrases(folder: Folder, text: str | None) -> set[str]:
         words = folder.words(text)
         out = set()
         for i, w in enumerate(words):
-            if f"{w} ".startswith(entries):
+            if any(f"{w} "[:n] in entries for n in sizes):
                 out |= {w, *([f"{words[i - 1]} {w}"] if i else []),
                         *([f"{w} {words[i + 1]}"] if i + 1 < len(words) else [])}
         return out
@@ -251,7 +254,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, n_toxic: int, n_clean: int)
             .groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
             .where((F.col("clean") >= LEAST_TEXTS)
                    & (_odds(F.col("toxic"), F.col("clean"), n_toxic, n_clean) <= -EXCEPTION_ODDS))
-            .orderBy(F.desc("clean"), "term").limit(MAX_LEXICON).collect())
+            .orderBy(F.desc("clean"), "term").limit(MAX_EXCEPTIONS).collect())
     return [r["term"] for r in rows]
 
 
