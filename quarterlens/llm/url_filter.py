@@ -5,8 +5,9 @@ rule that fits wins.  URLs without a rule are judged by gradient-boosted
 trees on lexical features: lengths, path depth, digit ratio, character
 entropy, parameter counts, and statistics of suffixes (how often URLs with
 the same host ending or the same first path part were blocked).  The trees
-are trained from labelled URLs, here those that a rule decides, of which a
-bounded sample is used.
+are trained from labelled URLs, here those that a rule decides: the suffix
+statistics count all their rows, the trees are fitted to a bounded sample of
+distinct URLs of either verdict, weighted to stand for all rows.
 
 Defined results: a null url, or one without ``://``, has an empty host and
 path and no rule; without both verdicts among the labelled URLs the trees
@@ -23,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.materialize import cut
+from ._common import small
 
 MAX_TRAIN = 20_000
 TREES, DEPTH = 10, 4
@@ -50,6 +52,14 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
     return verdict, rule
 
 
+def suffixes() -> dict[str, Column]:
+    """Suffix keys, from host and path."""
+    parts = F.filter(F.split("path", "/"), lambda p: p != "")
+    return {"host_key": F.substring_index("host", ".", -2),
+            "head_key": F.concat_ws("/", F.substring_index("host", ".", -1), F.get(parts, F.lit(0))),
+            "file_key": F.regexp_extract(F.col("path"), "\\.([A-Za-z0-9]+)$", 1)}
+
+
 def lexical(urls: DataFrame) -> DataFrame:
     """Feature columns that need no statistics, and the suffix keys, from url, host and path."""
     url = F.coalesce("url", F.lit(""))
@@ -69,25 +79,40 @@ def lexical(urls: DataFrame) -> DataFrame:
         "parameters": F.when(query == "", 0.0).otherwise(F.size(F.split(query, "&")).cast("double")),
         "query_length": F.char_length(query).cast("double"), "hyphens": count("-"),
         "has_fragment": F.contains(url, F.lit("#")).cast("double"),
-        "host_key": F.substring_index("host", ".", -2),
-        "head_key": F.concat_ws("/", F.substring_index("host", ".", -1), F.get(parts, F.lit(0))),
-        "file_key": F.regexp_extract(F.col("path"), "\\.([A-Za-z0-9]+)$", 1)})
+        **suffixes()})
 
 
-def _suffix_rates(train: DataFrame, key: str, prior: float) -> DataFrame:
-    """Blocked share per suffix, drawn towards the overall share; at most one row per training row."""
-    return train.groupBy(F.col(key).alias(f"{key}_v")).agg(
-        ((F.sum("label") + F.lit(PRIOR * prior)) / (F.count(F.lit(1)) + F.lit(PRIOR))).alias("rate"))
+def _suffix_rates(labelled: DataFrame, key: str, prior: float) -> DataFrame:
+    """Blocked share of the rows per suffix, drawn towards the overall share."""
+    return labelled.groupBy(F.col(key).alias(f"{key}_v")).agg(
+        ((F.sum(F.col("label") * F.col("rows")) + F.lit(PRIOR * prior)) / (F.sum("rows") + F.lit(PRIOR))).alias("rate"))
 
 
-def _with_rates(urls: DataFrame, rates: dict[str, DataFrame], prior: float) -> DataFrame:
-    for key, table in rates.items():
-        # Bounded by MAX_TRAIN rows.
-        urls = urls.join(F.broadcast(table), F.col(key) == F.col(f"{key}_v"), "left").withColumn(
+def _with_rates(urls: DataFrame, rates: dict[str, tuple[DataFrame, int]], prior: float) -> DataFrame:
+    for key, (table, size) in rates.items():
+        urls = urls.join(small(table, size), F.col(key) == F.col(f"{key}_v"), "left").withColumn(
             key.replace("_key", "_rate"), F.coalesce("rate", F.lit(prior))).drop("rate", f"{key}_v")
     return urls
 
 
+def training_sample(labelled: DataFrame) -> DataFrame:
+    """At most MAX_TRAIN distinct URLs, those with the smallest hashes of each label, with column ``weight``.
+
+    A label takes half of the places, or what the other one leaves.  Weights
+    are the rows of a URL, scaled so that each label keeps its share of all rows.
+    """
+    totals = {r["label"]: r for r in labelled.groupBy("label").agg(
+        F.count(F.lit(1)).alias("urls"), F.sum("rows").alias("rows")).collect()}
+    parts = []
+    for label, of in totals.items():
+        others = sum(r["urls"] for x, r in totals.items() if x != label)
+        part = cut(labelled.where(F.col("label") == label).orderBy(F.xxhash64("url"), "url")
+                   .limit(max(MAX_TRAIN // 2, MAX_TRAIN - others)))
+        taken = part.agg(F.sum("rows")).first()[0]
+        parts.append(part.withColumn("weight", F.col("rows") * F.lit(of["rows"] / taken)))
+    return parts[0] if len(parts) == 1 else parts[0].union(parts[1])
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> DataFrame:
     """``pages`` columns inside ``record``, with host, path, rule, verdict and block_score (null where a rule decides)."""
     record = F.struct(*[F.col(f"`{c}`") for c in pages.columns]).alias("record")
@@ -96,19 +121,23 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], url: str = "url") -> D
     ruled, rule = rule_of(F.col("host"), F.col("path"), rules)
     urls = lexical(urls.withColumns({"ruled": ruled, "rule": rule}))
     keys = ["host_key", "head_key", "file_key"]
-    slim = urls.where(F.col("ruled").isNotNull()).withColumn("label", (F.col("ruled") == "block").cast("double"))
-    train = cut(slim.select("url", "label", *FEATURES[:-3], *keys)
-                .orderBy(F.xxhash64("url"), "url").limit(MAX_TRAIN))
-    n, blocked = train.agg(F.count(F.lit(1)), F.sum("label")).first()
+    # One row per distinct labelled URL, with its rows; the label follows from the URL.
+    labelled = cut(pages.select(F.col(f"`{url}`").alias("url")).groupBy("url").agg(F.count(F.lit(1)).alias("rows"))
+                   .withColumns(parts).withColumn("ruled", rule_of(F.col("host"), F.col("path"), rules)[0])
+                   .where(F.col("ruled").isNotNull()).withColumns(suffixes())
+                   .withColumn("label", (F.col("ruled") == "block").cast("double")).drop("ruled"))
+    n, blocked = labelled.agg(F.sum("rows"), F.sum(F.col("label") * F.col("rows"))).first()
     out = ["record", "host", "path", "rule"]
     if not n or blocked in (0, n):
         only = F.lit("block" if n and blocked == n else "allow")
         return urls.select(*out, F.coalesce("ruled", only).alias("verdict"), F.lit(None).cast("double").alias("block_score"))
     prior = blocked / n
-    rates = {k: cut(_suffix_rates(train, k, prior)) for k in keys}
+    rates = {k: cut(_suffix_rates(labelled, k, prior)) for k in keys}
+    rates = {k: (table, table.count()) for k, table in rates.items()}
+    train = _with_rates(lexical(training_sample(labelled)), rates, prior)
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32, stepSize=0.3)
-    model = trees.fit(assemble.transform(_with_rates(train, rates, prior)).select("features", "label"))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7, maxBins=32, stepSize=0.3, weightCol="weight")
+    model = trees.fit(assemble.transform(train).select("features", "label", "weight"))
     scored = model.transform(assemble.transform(_with_rates(urls, rates, prior)))
     chance = vector_to_array("probability")[1]
     return scored.select(*out, F.coalesce("ruled", F.when(chance >= 0.5, "block").otherwise("allow")).alias("verdict"),
