@@ -174,37 +174,36 @@ def fingerprint_links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFram
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS,
-                    id_col: str = "doc_id", text: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text: str = "text", row: Column | None = None) -> DataFrame:
     """(doc_id, fp, root, component_id): each row's fingerprint, the smallest fingerprint and the
-    smallest id reachable over links."""
+    smallest id reachable over links; and column ``row``, if it is given."""
+    also = [] if row is None else [row.alias("row")]
     ship_package(docs.sparkSession)
     marked = cut(docs.select(F.col(id_col).alias("doc_id"),
-                             fingerprints(docs, words, text).alias("fp")))
+                             fingerprints(docs, words, text).alias("fp"), *also))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = components(cut(fingerprint_links(distinct, max_bits)))
     named = distinct.join(linked, F.col("fp") == F.col("node"), "left").withColumn(
         "root", F.coalesce("root", "fp"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("fp", "root", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "root", "component_id", *[F.col("row") for _ in also])
 
 
 def keep_one(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """``docs`` without near duplicates: of each component the document with the smallest id stays.
 
-    Rows that share that smallest id are one document, of which one row stays;
-    a component whose ids are all null keeps one row.
+    Of the component's rows with that id one stays (by the hash of the row); an
+    id that stands on texts of several components names a row in each.  A
+    component whose ids are all null keeps one row.
     """
     columns = docs.columns
-    found = near_duplicates(docs, words, max_bits)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("keep_id")).distinct()
-    record = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("record")
-    packed = docs.select("doc_id", record)
-    first = Window.partitionBy("keep_id").orderBy(F.xxhash64("record"))
-    kept = (packed.join(keep, F.col("doc_id") == F.col("keep_id"))
-            .withColumn("nth", F.row_number().over(first)).where(F.col("nth") == 1).select("record"))
-    nameless = found.where(F.col("component_id").isNull()).select("fp", "root").distinct()
-    spare = (docs.where(F.col("doc_id").isNull()).select(fingerprints(docs, words).alias("fp"), record)
-             .join(nameless, "fp").groupBy("root").agg(F.min_by("record", F.xxhash64("record")).alias("record"))
-             .select("record"))
-    return kept.union(spare).select("record.*")
+    record = F.struct(*[F.col(f"`{c}`") for c in columns])
+    found = near_duplicates(docs, words, max_bits, row=F.xxhash64(record))
+    keep = (found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id")
+            .agg(F.min("row").alias("keep_row")).select(F.col("component_id").alias("keep_id"), "keep_row"))
+    packed = docs.select("doc_id", F.xxhash64(record).alias("row"), record.alias("record"))
+    # Rows equal in every column share the hash; the first of them stays.
+    first = Window.partitionBy("doc_id", "row").orderBy(F.lit(1))
+    return (packed.join(keep, F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row")))
+            .withColumn("nth", F.row_number().over(first)).where(F.col("nth") == 1).select("record.*"))
