@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, mixing, packing, quality, sharding, simhash, toxicity, url_filter, warc
+from . import ann, importance, line_dedup, mixing, packing, quality, sharding, simhash, toxicity, url_filter, warc
 
 SHARDS = 8
 HELD_OUT = 2
@@ -105,12 +105,64 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), carry=())
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+# The checksum runs over a feature's bits, lowest first, as the polynomial division it is defined by.
+OP11_SQL = r"""
+WITH t AS (
+  SELECT 'd' AS side, row_number() OVER () AS rid, doc_id, text FROM documents
+  UNION ALL SELECT 'b', row_number() OVER (), NULL, text FROM benchmark
+), w AS (
+  SELECT side, rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM t
+), f AS (
+  SELECT side, rid, unnest(ws) AS feature FROM w
+  UNION ALL
+  SELECT side, rid, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) FROM w
+), c AS (
+  SELECT side, rid, feature, count(*) AS n FROM f GROUP BY ALL
+), hexed AS (
+  SELECT feature, hex(encode(feature)) AS h FROM (SELECT DISTINCT feature FROM c)
+), bits AS (
+  SELECT feature, list_transform(range(4 * len(h)), lambda j:
+    ((instr('0123456789ABCDEF', h[2 * (j // 8) + CASE WHEN j % 8 < 4 THEN 2 ELSE 1 END]) - 1) >> (j % 4)) & 1) AS b
+  FROM hexed
+), b AS (
+  SELECT feature, xor(list_reduce(list_prepend(4294967295::BIGINT, b),
+    lambda c, m: xor(c >> 1, 3988292384 * (xor(c, m) & 1))), 4294967295) % 10000 AS bucket FROM bits
+), k AS (
+  SELECT bucket, sum(n) FILTER (side = 'd') AS s, sum(n) FILTER (side = 'b') AS t FROM c JOIN b USING (feature) GROUP BY 1
+), g AS (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM k) + 10000)::DOUBLE
+    / ((coalesce(s, 0) + 1)::DOUBLE * (coalesce((SELECT sum(t) FROM k), 0) + 10000)::DOUBLE)))::BIGINT AS gain FROM k
+), x AS (
+  SELECT rid, sum(n) AS n, sum(n * gain) AS gains FROM c JOIN b USING (feature) JOIN g USING (bucket)
+  WHERE side = 'd' GROUP BY 1
+), scored AS (
+  SELECT rid, doc_id, len(ws) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features,
+    CAST(coalesce(floor(gains / n), 0) AS BIGINT) AS weight,
+    CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[:8] AS BIGINT) + 0.5)
+      / 4294967296::DOUBLE))) AS BIGINT) AS noise
+  FROM w LEFT JOIN x USING (rid) WHERE side = 'd'
+), r AS (
+  SELECT *, weight + noise AS score, n_words >= 20 AS fit, row_number() OVER (PARTITION BY n_words >= 20
+    ORDER BY weight + noise DESC, doc_id NULLS LAST, rid) AS place FROM scored
+)
+SELECT doc_id, n_features, weight, score,
+  CASE WHEN fit AND place * 100 <= 25 * (SELECT count(*) FROM scored WHERE n_words >= 20) THEN place END AS rank
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sharding, op2_toxicity, op3_line_dedup, op4_ann, op5_mixing, op6_simhash, op7_warc, op8_url_filter,
-        op9_quality_rules, op10_best_fit_packing)}
+        op9_quality_rules, op10_best_fit_packing, op11_importance_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can state the result; the others are tested against brute force."""
-    return {"op7_warc": OP7_SQL}
+    return {"op7_warc": OP7_SQL, "op11_importance_resampling": OP11_SQL}
