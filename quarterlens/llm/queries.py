@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, importance, line_dedup, mixing, packing, quality, sharding, simhash, toxicity, url_filter, warc
+from . import alignment, ann, importance, line_dedup, mixing, packing, quality, sharding, simhash, toxicity, url_filter, warc
 
 SHARDS = 8
 HELD_OUT = 2
@@ -19,9 +19,9 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,10 +157,16 @@ FROM r
 """
 
 
+def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.align(_read(spark, sf_dir, "documents"), *paths)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sharding, op2_toxicity, op3_line_dedup, op4_ann, op5_mixing, op6_simhash, op7_warc, op8_url_filter,
-        op9_quality_rules, op10_best_fit_packing, op11_importance_resampling)}
+        op9_quality_rules, op10_best_fit_packing, op11_importance_resampling,
+        op12_tokenizer_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
