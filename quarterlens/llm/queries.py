@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, ann, importance, line_dedup, mixing, packing, quality, sharding, simhash, toxicity, url_filter, warc
+from . import alignment, ann, importance, line_dedup, minhash, mixing, packing, quality, sharding, simhash, toxicity, url_filter, warc
 
 SHARDS = 8
 HELD_OUT = 2
@@ -162,13 +162,40 @@ def op12_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_read(spark, sf_dir, "documents"), *paths)
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT rid, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS shingles FROM w
+), u AS (
+  SELECT rid, len(shingles) AS n, unnest(shingles) AS shingle FROM s
+), e AS (
+  SELECT a.rid AS a, b.rid AS b FROM u a JOIN u b ON a.shingle = b.shingle AND a.rid <> b.rid
+  GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT rid AS a, rid AS b FROM w UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a
+), c AS (
+  SELECT r.a AS rid, min(w.doc_id) AS component_id FROM reach r JOIN w ON r.b = w.rid GROUP BY 1
+)
+SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n_shingles, component_id,
+  doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM w JOIN s USING (rid) JOIN c USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sharding, op2_toxicity, op3_line_dedup, op4_ann, op5_mixing, op6_simhash, op7_warc, op8_url_filter,
         op9_quality_rules, op10_best_fit_packing, op11_importance_resampling,
-        op12_tokenizer_alignment)}
+        op12_tokenizer_alignment, op13_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Only where SQL can state the result; the others are tested against brute force."""
-    return {"op7_warc": OP7_SQL, "op11_importance_resampling": OP11_SQL}
+    return {"op7_warc": OP7_SQL, "op11_importance_resampling": OP11_SQL, "op13_minhash": OP13_SQL}
