@@ -19,8 +19,10 @@ Nodes that share a band are candidates, without making all pairs of a band:
    other components, in cells of at most ``CELL`` by ``CELL`` nodes, so no band
    meets in one task; what passes the signatures is decided exactly, too.
 
-The result has all links' components: a pair is left out only if its nodes are
-connected already.
+Near copies of one text lie around it at all distances, so many of the last pairs
+are close to the threshold.  Step 2 has told by which shingles each node differs from
+the first node of its band; two nodes of a band differ by what only one of these two
+lists holds, so such pairs are decided exactly from the short lists, without the texts.
 
 Defined results: null, empty and wordless texts have an empty set and are linked
 with nothing; with fewer words than a shingle the whole sequence is the one shingle;
@@ -35,7 +37,6 @@ from itertools import repeat
 from typing import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -83,12 +84,9 @@ class Signatures:
         return (least >> np.uint64(32)).astype(np.uint32)
 
 
-def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """100 * intersection >= percent * union, on sorted distinct hashes."""
-    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= percent * (len(a) + len(b) - both)
+def similar(size: int, changes: int, percent: int) -> bool:
+    """100 * intersection >= percent * union, for sets of together ``size`` elements, ``changes`` of them in one only."""
+    return (100 - percent) * size >= (100 + percent) * changes
 
 
 def least_agreement(percent: int, hashes: int) -> int:
@@ -131,59 +129,75 @@ def _tagged(minima: Column) -> Column:
     return F.transform(minima, lambda m, i: F.shiftleft(i.cast("long"), 32) + m)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int, hashes: int) -> DataFrame:
-    """Pairs (a, b) whose signatures agree enough and whose whole shingle sets are similar."""
+def compared(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, percent: int, hashes: int) -> DataFrame:
+    """(a, b, linked, changes) of pairs (a, b) whose signatures agree enough, from their whole shingle sets.
+
+    ``changes``: the shingles that only one of both has.
+    """
     side = lambda df, k, *cols: df.select(F.col("node").alias(k), *[F.col(c).alias(f"{c}_{k}") for c in cols])
-    near = cut(pairs.join(side(nodes, "a", "minima", "n_shingles"), "a").join(side(nodes, "b", "minima", "n_shingles"), "b")
-               .where(F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent)
+    near = cut(pairs.join(side(nodes, "a", "minima"), "a").join(side(nodes, "b", "minima"), "b")
                .where(F.size(F.array_intersect(_tagged(F.col("minima_a")), _tagged(F.col("minima_b"))))
                       >= least_agreement(percent, hashes)).select("a", "b"))
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, shingles = None, None
-        for pdf in batches:
-            keep = []
-            for a, text_a, text_b in zip(pdf["a"], pdf["text_a"], pdf["text_b"]):
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, None
+        for batch in batches:
+            linked, changes = [], []
+            for a, text_a, text_b in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3))):
                 if a != last:
-                    last, shingles = a, shingle_hashes(text_a, words)
-                keep.append(similar(shingles, shingle_hashes(text_b, words), percent))
-            yield pdf.loc[np.array(keep, bool), ["a", "b"]]
+                    last, own = a, shingle_hashes(text_a, words)
+                other = shingle_hashes(text_b, words)
+                apart = np.setxor1d(own, other, assume_unique=True)
+                linked.append(similar(len(own) + len(other), len(apart), percent))
+                changes.append(apart.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_()),
+                                              pa.array(changes, pa.list_(pa.int64()))], ["a", "b", "linked", "changes"])
 
     both = near.join(side(texts, "b", "text"), "b").join(side(texts, "a", "text"), "a")
-    return cut(both.select("a", "b", "text_a", "text_b").mapInPandas(check, "a long, b long"))
+    return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(
+        check, "a long, b long, linked boolean, changes array<long>"))
 
 
-def _unsettled(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, node, root, most, size) of bands with several components; ``most``: that of most of its nodes."""
-    rooted = bands.join(labels, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+def _unsettled(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Bands of several components: (band, a, node, root), ``most``: the root of most nodes, of which there are ``n`` of ``size``."""
+    rooted = shared.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
     held = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = (held.groupBy("band").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("size"),
                                       F.count(F.lit(1)).alias("roots"), F.max("n").alias("n"))
              .where(F.col("roots") > 1))
-    return rooted.join(mixed.select("band", "most", "size", "n"), "band")
+    return rooted.join(mixed.select("band", "most", "size", "n"), "band").where(F.col("node") != F.col("a"))
 
 
-def _cell_pairs(unsettled: DataFrame, nodes: DataFrame, percent: int, hashes: int, cell: int) -> DataFrame:
-    """Pairs of one band in different components whose signatures agree enough.
+def _cell_pairs(unsettled: DataFrame, stars: DataFrame, nodes: DataFrame, percent: int, hashes: int,
+                cell: int) -> DataFrame:
+    """(a, b, sure): pairs of one band in different components that are similar or, if not sure, may be.
 
     Rows ``u`` are outside the band's largest component; rows ``v`` are all.  Both
     are dealt to the cells of a grid by their hash, a cell holding about ``cell`` of each.
     """
-    with_minima = cut(unsettled.join(nodes.select("node", _tagged(F.col("minima")).alias("tagged")), "node"))
+    changes = stars.select("a", F.col("b").alias("node"), "changes")
+    about = cut(unsettled.join(changes, ["a", "node"], "left").join(
+        nodes.select("node", "n_shingles", _tagged(F.col("minima")).alias("tagged")), "node"))
     place = lambda n: F.pmod(F.xxhash64("node"), n)
     across = F.ceil(F.col("size") / F.lit(cell)).cast("long")
     down = F.ceil((F.col("size") - F.col("n")) / F.lit(cell)).cast("long")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
-    u = with_minima.where(F.col("root") != F.col("most")).select(
-        "band", place(down).alias("row"), each(across).alias("column"), F.col("node").alias("u"),
-        F.col("root").alias("root_u"), F.col("tagged").alias("tagged_u"))
-    v = with_minima.select("band", each(down).alias("row"), place(across).alias("column"), F.col("node").alias("v"),
-                           F.col("root").alias("root_v"), F.col("most").alias("most_v"), F.col("tagged").alias("tagged_v"))
-    # Of two nodes outside the largest component one order is enough.
+    side = lambda k: [F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "most", "n_shingles", "changes", "tagged")]
+    u = about.where(F.col("root") != F.col("most")).select("band", place(down).alias("row"), each(across).alias("column"),
+                                                           *side("u"))
+    v = about.select("band", each(down).alias("row"), place(across).alias("column"), *side("v"))
+    known = F.col("changes_u").isNotNull() & F.col("changes_v").isNotNull()
+    room = (F.col("n_shingles_u") + F.col("n_shingles_v")) * (100 - percent)
+    n_u, n_v = F.size("changes_u"), F.size("changes_v")
+    exact = ((F.abs(n_u - n_v) * (100 + percent) <= room) & (
+        (n_u + n_v - 2 * F.size(F.array_intersect("changes_u", "changes_v"))) * (100 + percent) <= room))
+    agree = F.size(F.array_intersect("tagged_u", "tagged_v")) >= least_agreement(percent, hashes)
     met = u.join(v, ["band", "row", "column"]).where(
-        (F.col("root_u") != F.col("root_v")) & ((F.col("root_v") == F.col("most_v")) | (F.col("u") < F.col("v")))
-        & (F.size(F.array_intersect("tagged_u", "tagged_v")) >= least_agreement(percent, hashes)))
-    return met.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        # Of two nodes outside the largest component one order is enough.
+        (F.col("root_u") != F.col("root_v")) & ((F.col("root_v") == F.col("most_v")) | (F.col("node_u") < F.col("node_v")))
+        & F.when(known, exact).otherwise(agree))
+    pairs = met.select(F.least("node_u", "node_v").alias("a"), F.greatest("node_u", "node_v").alias("b"), known.alias("sure"))
+    return cut(pairs.groupBy("a", "b").agg(F.bool_or("sure").alias("sure")))
 
 
 def links(nodes: DataFrame, rows: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, hashes: int = HASHES,
@@ -195,11 +209,12 @@ def links(nodes: DataFrame, rows: DataFrame, words: int = SHINGLE_WORDS, percent
     met = cut(shared.select("node").distinct())
     nodes = cut(nodes.drop("bands").join(met, "node", "left_semi"))
     texts = cut(rows.select("node", "text").join(met, "node", "left_semi"))
-    stars = shared.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
-    found = verified(stars, nodes, texts, words, percent, hashes)
-    unsettled = _unsettled(shared.select("band", "node"), star_components(found))
-    rest = verified(_cell_pairs(unsettled, nodes, percent, hashes, cell), nodes, texts, words, percent, hashes)
-    return found.union(rest)
+    pairs = shared.where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    stars = compared(pairs, nodes, texts, words, percent, hashes)
+    linked = stars.where("linked").select("a", "b")
+    rest = _cell_pairs(_unsettled(shared, star_components(linked)), stars, nodes, percent, hashes, cell)
+    open_ = compared(rest.where(~F.col("sure")).select("a", "b"), nodes, texts, words, percent, hashes)
+    return linked.union(rest.where("sure").select("a", "b")).union(open_.where("linked").select("a", "b"))
 
 
 def near_duplicates(docs: DataFrame, words: int = SHINGLE_WORDS, percent: int = PERCENT, hashes: int = HASHES,
