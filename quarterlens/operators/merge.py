@@ -134,9 +134,11 @@ def assigned_aggregation(filled: DataFrame) -> DataFrame:
     (J1, J2) are evaluated once, as the aggregated table is written.
     """
     a_keys = [k for k in FINAL_GROUP_KEYS if k not in ("channel", "team")]
-    g = filled.groupingSets([a_keys, ["optima_id", "channel", "team"]], *a_keys, "channel", "team").agg(
-        F.grouping("time_id").alias("_set"), *[X.exact_sum(m).alias(m) for m in MEASURES])
-    g = cut(g)  # both branches below read the aggregated table, not the facts
+    g = X.with_limbs(filled, MEASURES).groupingSets(
+        [a_keys, ["optima_id", "channel", "team"]], *a_keys, "channel", "team").agg(
+        F.grouping("time_id").alias("_set"), *X.limb_sums(MEASURES))
+    # both branches below read the aggregated table, not the facts
+    g = cut(g.select("_set", *a_keys, "channel", "team", *X.limb_totals(MEASURES)))
     totals = g.where((F.col("_set") == 1) & F.col("optima_id").isNotNull()).select(
         "optima_id", "channel", "team", "giv_lc")
     a6 = g.where(F.col("_set") == 0).drop("_set", "channel", "team")
@@ -178,8 +180,7 @@ def quarterly_format(df: DataFrame, keys=tuple(S.QUARTER_KEYS)) -> DataFrame:
     renamed = df.withColumnsRenamed({k: v for k, v in S.QUARTER_MEASURE_RENAMES.items() if k != v})
     measures = list(S.QUARTER_MEASURE_RENAMES.values())
     keys = list(keys)
-    g = (renamed.where(X.all_not_null(keys))
-                .groupBy(*keys).agg(*[X.exact_sum(m).alias(m) for m in measures]))
+    g = X.exact_sums(renamed.where(X.all_not_null(keys)), keys, measures)
     return g.select(*keys, *sorted(measures))
 
 

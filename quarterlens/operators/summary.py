@@ -54,8 +54,7 @@ def _rates(df: DataFrame) -> DataFrame:
 
 def national_summary(df: DataFrame) -> DataFrame:
     """A8 + W1: national quarterly sums, nos_su, base-100 indices, rates, srm."""
-    g = df.groupBy("fiscal_year", "quarter").agg(
-        *[X.exact_sum(m).alias(m) for m in SUMMARY_MEASURES])
+    g = X.exact_sums(df, ["fiscal_year", "quarter"], SUMMARY_MEASURES)
     g = g.withColumn("nos_su", X.ieee_div("nos_excl_NIT", "volume_excl_nit_su"))
     w = Window.orderBy("fiscal_year", "quarter")
     g = g.withColumns({name: X.index100(F.col(src), F.lag(src).over(w)) for name, src in INDEX_COLUMNS})
@@ -72,10 +71,10 @@ def group_summary(df: DataFrame, group_by, years: Sequence[int] | None = None) -
     keys = _keys(group_by)
     if years is not None:
         df = df.where(F.col("fiscal_year").isin([int(y) for y in years]))
-    aggs = [X.exact_sum(m).alias(m) for m in SUMMARY_MEASURES]
+    others = []
     if "customer" in df.columns and "customer" not in keys:
-        aggs.append(F.count_distinct("customer").alias("n_customers"))
-    g = df.groupBy("fiscal_year", "quarter", *keys).agg(*aggs)
+        others.append(F.count_distinct("customer").alias("n_customers"))
+    g = X.exact_sums(df, ["fiscal_year", "quarter", *keys], SUMMARY_MEASURES, *others)
     g = g.withColumn("nos_su", X.ieee_div("nos_excl_NIT", "volume_excl_nit_su"))
     w = Window.partitionBy(*keys).orderBy("quarter")
     prev_fy = F.lag("fiscal_year").over(w)
@@ -97,7 +96,7 @@ ANNUAL_MEASURES = ["gross_sales", "nos", "nsrd", "sd"]
 
 def annual_national(df: DataFrame) -> DataFrame:
     """A11 + W3: yearly sums, growth % (not base 100), rates over gross sales."""
-    g = df.groupBy("fiscal_year").agg(*[X.exact_sum(m).alias(m) for m in ANNUAL_MEASURES])
+    g = X.exact_sums(df, ["fiscal_year"], ANNUAL_MEASURES)
     w = Window.orderBy("fiscal_year")
     g = g.withColumns({
         "variation_rate_gs": X.growth_pct(F.col("gross_sales"), F.lag("gross_sales").over(w)),
@@ -115,7 +114,7 @@ def annual_national(df: DataFrame) -> DataFrame:
 def annual_by_group(df: DataFrame, group_by=("customer", "channel", "team")) -> DataFrame:
     """A12 + W3: yearly sums per keys, growth % against the previous listed year."""
     keys = _keys(group_by)
-    g = df.groupBy("fiscal_year", *keys).agg(*[X.exact_sum(m).alias(m) for m in ANNUAL_MEASURES])
+    g = X.exact_sums(df, ["fiscal_year", *keys], ANNUAL_MEASURES)
     w = Window.partitionBy(*keys).orderBy("fiscal_year")
     g = g.withColumns({
         "growth_rate_gs": X.growth_pct(F.col("gross_sales"), F.lag("gross_sales").over(w)),
