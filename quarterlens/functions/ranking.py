@@ -79,24 +79,74 @@ def value_positions(df: DataFrame, value: str, groups: Sequence[str] = (),
                     F.col("n").cast("long").alias("n"))
 
 
+def value_ranks(df: DataFrame, value: str, groups: Sequence[str] = (), partitions: int | None = None) -> DataFrame:
+    """Rows of ``df`` with a value, and per group ``_before`` (rows with a smaller one), ``_same`` (with this one), ``_n``.
+
+    Ranks are carried to the rows, not joined back by value: rows are sorted
+    into ranges by (groups, value, row number), so a value that many rows have
+    spreads over several ranges.  Runs of equal values are counted inside their
+    range; a range's first and last run may go on in its neighbours, and these,
+    two per range, are put together in a table of one row per range.
+    """
+    groups = list(groups)
+    keys = [*groups, "_v"]
+    n = partitions or _bucket_count(df, None)
+    rows = cut(df.where(F.col(value).isNotNull()).withColumns(
+        {"_v": F.col(value) + F.lit(0.0), "_tie": F.monotonically_increasing_id()}))  # -0.0 + 0.0 is 0.0
+    spread = (rows.repartitionByRange(n, *keys, "_tie").sortWithinPartitions(*keys, "_tie")
+              .drop("_tie").withColumn("_at", F.monotonically_increasing_id()))
+    run = F.struct(*keys)
+    inside = Window.partitionBy("_range", *keys)
+    rows = cut(spread).withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
+    rows = rows.withColumns({"_first": F.min("_at").over(inside), "_run": F.count(F.lit(1)).over(inside)})
+    up = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("_range").agg(
+        F.min(run).alias("low"), F.max(run).alias("high"), F.count(F.lit(1)).alias("size"),
+        F.max(F.when(F.col("_at") == 0, F.col("_run"))).alias("low_run"), F.max("_first").alias("high_first")).withColumn(
+        "start", F.coalesce(F.sum("size").over(up), F.lit(0)))
+    ends = ranges.select("_range", F.inline(F.array(
+        F.struct(F.lit(False).alias("is_high"), F.col("low").alias("run"), F.col("start").alias("place"),
+                 F.col("low_run").alias("many")),
+        F.struct(F.lit(True).alias("is_high"), F.col("high").alias("run"), (F.col("start") + F.col("high_first")).alias("place"),
+                 # a range of one run has it at both ends; it counts once
+                 F.when(F.col("low") == F.col("high"), F.lit(0).cast("long"))
+                 .otherwise(F.col("size") - F.col("high_first")).alias("many")))))
+    whole = Window.partitionBy("run")
+    ends = ends.withColumns({"place": F.min("place").over(whole), "many": F.sum("many").over(whole)})
+    of = lambda high, c: F.max(F.when(F.col("is_high") == F.lit(high), F.col(c)))
+    ends = ends.groupBy("_range").agg(*[of(h, c).alias(f"_{c}_{'high' if h else 'low'}")
+                                        for h in (False, True) for c in ("run", "place", "many")])
+    ends = ends.join(ranges.select("_range", "start"), "_range")  # one row per range
+    rows = rows.join(F.broadcast(ends), "_range")
+
+    def pick(c: str, inner):
+        return F.when(run == F.col("_run_low"), F.col(f"_{c}_low")).when(run == F.col("_run_high"), F.col(f"_{c}_high")).otherwise(inner)
+
+    rows = rows.select(*df.columns, pick("place", F.col("start") + F.col("_first")).alias("_place"),
+                       pick("many", F.col("_run")).alias("_same"))
+    per_group = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_begin"))
+    rows = rows.join(per_group, groups) if groups else rows.crossJoin(F.broadcast(per_group))
+    return rows.select(*df.columns, (F.col("_place") - F.col("_begin")).alias("_before"), "_same", "_n")
+
+
+def _with_rank(df: DataFrame, value: str, rank: Column, out: str, groups: Sequence[str], buckets: int | None) -> DataFrame:
+    """Ranked rows, and the rows without a value, which don't take part and don't move."""
+    ranked = value_ranks(df, value, groups, buckets).select(*df.columns, rank.alias(out))
+    return ranked.union(df.where(F.col(value).isNull()).select("*", F.lit(None).cast("double").alias(out)))
+
+
 def min_rank_pct(df: DataFrame, value: str, out: str, scale: float = 1.0,
                  groups: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """``rank(method='min', pct=True) * scale`` over non-missing values; NULL stays NULL."""
-    pos = value_positions(df, value, groups, buckets)
-    pos = pos.select(*groups, value,
-                     (((F.col("before") + F.lit(1)).cast("double") / F.col("n").cast("double"))
-                      * F.lit(float(scale))).alias(out))
-    return df.join(pos, [*groups, value], "left")
+    rank = ((F.col("_before") + F.lit(1)).cast("double") / F.col("_n").cast("double")) * F.lit(float(scale))
+    return _with_rank(df, value, rank, out, groups, buckets)
 
 
 def average_rank(df: DataFrame, value: str, out: str, groups: Sequence[str] = (),
                  buckets: int | None = None) -> DataFrame:
     """Average rank of ties (1-based), as used by Spearman correlation."""
-    pos = value_positions(df, value, groups, buckets)
-    pos = pos.select(*groups, value,
-                     (F.col("before").cast("double")
-                      + (F.col("count").cast("double") + F.lit(1.0)) / F.lit(2.0)).alias(out))
-    return df.join(pos, [*groups, value], "left")
+    rank = F.col("_before").cast("double") + (F.col("_same").cast("double") + F.lit(1.0)) / F.lit(2.0)
+    return _with_rank(df, value, rank, out, groups, buckets)
 
 
 def sorted_positions(df: DataFrame, order: Sequence[Column], out: str = "position",

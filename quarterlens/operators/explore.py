@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from ..functions.ranking import quantiles_long, stack_columns, value_positions
+from ..functions.ranking import average_rank, quantiles_long, stack_columns
 
 STAT_DECIMAL = "decimal(38,12)"
 
@@ -220,10 +220,7 @@ def correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson",
         if not keys:
             raise ValueError("spearman needs row keys")
         long = stack_columns(clean.select(*keys, *vals), vals, keys)
-        pos = value_positions(long, "value", ["column"])
-        ranks = pos.select("column", "value", (F.col("before").cast("double") +
-                                               (F.col("count").cast("double") + F.lit(1.0)) / F.lit(2.0)).alias("rank"))
-        ranked = long.join(ranks, ["column", "value"])
+        ranked = average_rank(long, "value", "rank", ["column"])
         wide = ranked.groupBy(*keys).pivot("column", vals).agg(F.first("rank"))
         return _pearson_matrix(wide, vals, cols)
     if method == "kendall":

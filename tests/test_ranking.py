@@ -3,6 +3,8 @@ import numpy as np
 import pandas as pd
 from hypothesis import given, settings, strategies as st
 
+from pyspark.sql import functions as F
+
 from quarterlens.functions import ranking as R
 
 
@@ -32,3 +34,32 @@ def test_ranks_and_quantiles_match_pandas(spark, values, buckets):
     q = {r.p: r.q for r in R.quantiles_long(df, "v", probs, buckets=buckets).collect()}
     for p in probs:
         assert q[p] == np.percentile(pdf["v"].to_numpy(), p * 100)
+
+
+def test_frequent_and_missing_values_spread(spark):
+    values = [7.0] * 500 + [None] * 600 + [float(i % 90) for i in range(400)] + [0.0, -0.0, float("inf"), -3.5]
+    pdf = pd.DataFrame({"id": range(len(values)), "g": [i % 2 for i in range(len(values))], "v": values})
+    df = spark.createDataFrame([tuple(r) for r in pdf.astype(object).where(pdf.notna(), None).values.tolist()],
+                               "id long, g long, v double").repartition(6)
+    for groups in ([], ["g"]):
+        by = pdf.groupby("g")["v"] if groups else pdf["v"]
+        for partitions in (1, 5, 9):
+            got = R.min_rank_pct(df, "v", "r", groups=groups, buckets=partitions).toPandas().sort_values("id")
+            assert np.allclose(got["r"].to_numpy(float), by.rank(method="min", pct=True).to_numpy(), equal_nan=True)
+            got = R.average_rank(df, "v", "r", groups=groups, buckets=partitions).toPandas().sort_values("id")
+            assert np.allclose(got["r"].to_numpy(float), by.rank(method="average").to_numpy(), equal_nan=True)
+
+
+def test_ranks_are_not_joined_on_the_value(spark, capsys):
+    df = spark.createDataFrame([(i, float(i % 3)) for i in range(30)], "id long, v double")
+    R.min_rank_pct(df, "v", "r", buckets=4).explain()
+    joins = [line for line in capsys.readouterr().out.splitlines() if "Join" in line]
+    assert joins and not any("SortMergeJoin" in line or "[v#" in line or "[_v#" in line for line in joins)
+
+
+def test_positions_over_the_whole_table(spark):
+    df = spark.range(1000).select("id", (F.col("id") * 7919 % 10).alias("k")).repartition(4)
+    out = R.sorted_positions(df, [F.col("k").desc(), F.col("id")], "at", 5).collect()
+    want = sorted(((r["k"], r["id"]) for r in out), key=lambda x: (-x[0], x[1]))
+    assert [(r["k"], r["id"]) for r in sorted(out, key=lambda r: r["at"])] == want
+    assert sorted(r["at"] for r in out) == list(range(1000))
