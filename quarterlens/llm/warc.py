@@ -123,22 +123,24 @@ class _Bytes:
 
 
 def _starts_record(source: _Bytes, position: int) -> bool:
-    """Whether a gzip member at ``position`` decodes to the headers of a record."""
-    decoder, out, used = zlib.decompressobj(31), b"", 0
+    """Whether a gzip member at ``position`` decodes to the headers of a record, however long they are."""
+    decoder, out, used, searched = zlib.decompressobj(31), bytearray(), 0, 0
     try:
-        while len(out) < READ_BYTES and not decoder.eof:
-            chunk = source.view(position, used + 4096)[used:used + 4096]
+        while not decoder.eof:
+            size = max(4096, used)
+            chunk = source.view(position, used + size)[used:used + size]
             if not chunk:
                 break
             used += len(chunk)
             out += decoder.decompress(chunk)
             if not b"WARC/1."[:len(out)] == out[:7]:
                 return False
-            if b"\r\n\r\n" in out:
+            if out.find(b"\r\n\r\n", searched) >= 0:
                 break
+            searched = max(0, len(out) - 3)
     except zlib.error:
         return False
-    return _headers(out) is not None
+    return _headers(bytes(out)) is not None
 
 
 def read_range(path: str, start: int, stop: int) -> Iterator[dict]:
