@@ -75,7 +75,7 @@ def schedule(sources: DataFrame, n_sources: int) -> DataFrame:
     if not total:
         return spark.createDataFrame([], "slot long, source_id int, rank long")
     # A source may lag behind its share by a few slots; the surplus lets it catch up, and
-    # ranks beyond a source's own number of slots are not used.
+    # ranks beyond a source's own number of slots are not used.  What is short then follows at the end.
     n = total + total * 8 // MIN_SLOTS + 16
     order = Window.orderBy("source_id").rowsBetween(Window.unboundedPreceding, 0)
     spans = (sources.where(F.col("slots") > 0)
@@ -97,7 +97,15 @@ def schedule(sources: DataFrame, n_sources: int) -> DataFrame:
         (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).select("slot", "source_id", "slots")
     ranked = exclusive_prefix(picked, ["source_id"], F.shiftright("slot", SLOT_CHUNK.bit_length() - 1),
                               ["slot"], F.lit(1), "rank")
-    return ranked.where(F.col("rank") < F.col("slots")).select("slot", "source_id", "rank")
+    ranked = cut(ranked.where(F.col("rank") < F.col("slots")).select("slot", "source_id", "rank"))
+    have = ranked.groupBy("source_id").agg(F.count(F.lit(1)).alias("have"))
+    short = (sources.where(F.col("slots") > 0).join(have, "source_id", "left").fillna(0, ["have"])
+             .where(F.col("have") < F.col("slots"))
+             .select("source_id", "have", F.explode(F.expr("sequence(have, slots - 1)")).alias("rank")))
+    # Number the missing slots so that the sources take turns.
+    rest = short.select((F.lit(n + 1) + (F.col("rank") - F.col("have")) * n_sources + F.col("source_id")).alias("slot"),
+                        "source_id", "rank")
+    return ranked.unionByName(rest)
 
 
 class Mix:
