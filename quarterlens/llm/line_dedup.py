@@ -11,11 +11,12 @@ Where runs start and end depends on their own lines alone, so every passage
 of two lines and ``MIN_CHARS`` characters is made up of the runs inside it,
 whatever stands around it.  A line of ``LONG_WORDS`` words is a run by itself.
 
-Runs are grouped over all documents by 96 bits of two hash functions; of a
-run that occurs more than once only the first occurrence stays (smallest
-doc_id, then first in the document), and the lines of all others go.  The
-first occurrence of a line always stays, as a line goes only where an earlier
-run holds it.
+Runs are grouped over all documents by a rolling hash over the hashes of their
+lines, and the bytes of those that occur more than once are compared: if runs of
+one hash differ, runs are grouped by their bytes instead.  Of a repeated run
+only the first occurrence stays (smallest doc_id, then first in the document),
+and the lines of all others go.  The first occurrence of a line always stays,
+as a line goes only where an earlier run holds it.
 
 ``line_chunks`` cuts a text into disjoint chunks instead: a rolling hash over
 two line hashes is compared with its neighbours, and a line at which it is
@@ -117,45 +118,57 @@ def line_chunks(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
 
 
 def line_runs(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """``keep`` columns and ``runs``: array of (at, h, g), with ``at`` = 32 * number of the first line + lines.
+    """``keep`` columns, ``at`` and ``h`` of every run, with ``at`` = 32 * number of the first line + lines.
 
-    Numbers count the lines that are not blank.
+    Numbers count the lines that are not blank.  Sizes and hashes roll over the
+    lines by doubling: those of two and of four lines from a line on make those
+    of any run, so a run costs the same whatever its number of lines.
     """
     df = _barrier(texts, keep, pieces=line_pieces(F.coalesce(F.col(text), F.lit(""))))
     df = _barrier(df, keep, lines=F.filter(F.transform("pieces", lambda p: F.btrim(p, F.lit(BLANK_CHARS))),
                                            lambda l: l != F.lit("")))
-    df = _barrier(df, keep, sizes=F.transform("lines", F.char_length),
-                  hs=F.transform("lines", lambda l: F.xxhash64(l)), gs=F.transform("lines", lambda l: F.hash(l)),
+    # A line counts with its line feed: a run has MIN_CHARS characters from MIN_CHARS + 1 on.
+    df = _barrier(df, keep, s1=F.transform("lines", lambda l: F.char_length(l) + 1),
+                  h1=F.transform("lines", lambda l: F.xxhash64(l)),
                   long=F.transform("lines", lambda l: (F.char_length(l) >= 2 * LONG_WORDS - 1)
                                    & (word_count(l) >= LONG_WORDS)))
-
-    def made(first: Column, at: list[Column], kind: int) -> Column:
-        return F.struct((F.shiftleft(first.cast("long"), 5) + len(at)).alias("at"),
-                        F.xxhash64(F.lit(kind), *[F.get("hs", k) for k in at]).alias("h"),
-                        F.hash(F.lit(kind), *[F.get("gs", k) for k in at]).alias("g"))
-
-    def run(i: Column, step: int) -> Column:
-        """The shortest run of MIN_CHARS from line i on in steps of ``step``; backwards only one that isn't a run ahead."""
-        at = [i, *[i + step * k for k in range(1, MOST_LINES)]]
-        size, levels = F.get("sizes", i), []
-        for n in range(2, MOST_LINES + 1):
-            size = size + F.get("sizes", at[n - 1]) + 1
-            if step > 0:
-                one = made(i, at[:n], 1)
-            elif n > 2:
-                # Its lines without the last one would be long enough.
-                one = F.when(size - F.get("sizes", i) - 1 >= MIN_CHARS, made(at[n - 1], at[:n], -1))
-            else:
-                one = F.lit(None)
-            levels.append((size >= MIN_CHARS, one))
-        found = F.when(*levels[0])
-        for level in levels[1:]:
-            found = found.when(*level)
+    df = _barrier(df, [*keep, "s1", "h1", "long"], s2=F.transform("s1", lambda s, i: s + F.get("s1", i + 1)),
+                  h2=F.transform("h1", lambda h, i: F.xxhash64(h, F.get("h1", i + 1))))
+    df = _barrier(df, [*keep, "s1", "h1", "long", "s2", "h2"],
+                  s4=F.transform("s2", lambda s, i: s + F.get("s2", i + 2)),
+                  h4=F.transform("h2", lambda h, i: F.xxhash64(h, F.get("h2", i + 2))))
+
+    def size(i: Column, n: int) -> Column:  # of n lines from i on; null beyond the end
+        parts = [F.get("s4", i + 4 * k) for k in range(n // 4)]
+        parts += [F.get("s2", i + n // 4 * 4)] * (n % 4 > 1) + [F.get("s1", i + n - 1)] * (n % 2)
+        return sum(parts[1:], parts[0])
+
+    def shortest(i: Column) -> Column:  # lines of the shortest run from i on
+        found = F.when(F.get("s2", i) > MIN_CHARS, F.lit(2))
+        for n in range(3, MOST_LINES + 1):
+            found = found.when(size(i, n) > MIN_CHARS, F.lit(n))
         return found
 
-    runs = F.concat(F.transform("sizes", lambda _, i: run(i, 1)), F.transform("sizes", lambda _, i: run(i, -1)),
-                    F.transform("long", lambda l, i: F.when(l, made(i, [i], 0))))
-    return _barrier(df, keep, runs=F.filter(runs, lambda r: r.isNotNull()))
+    df = _barrier(df, [*keep, "s1", "h1", "long", "h2", "h4"], least=F.transform("s1", lambda _, i: F.when(
+        i + 1 < F.size("s1"), shortest(i))))
+
+    def made(i: Column, n: Column) -> Column:
+        h = F.when(n == 1, F.get("h1", i)).when(n < 4, F.xxhash64(n, F.get("h2", i), F.get("h2", i + n - 2)))
+        h = h.when(n < 9, F.xxhash64(n, F.get("h4", i), F.get("h4", i + n - 4)))
+        steps = [F.when(n >= 4 * k + 4, F.get("h4", i + 4 * k)) for k in range(1, MOST_LINES // 4)]
+        return F.struct((F.shiftleft(i.cast("long"), 5) + n).alias("at"), h.otherwise(
+            F.xxhash64(n, F.get("h4", i), *steps, F.get("h4", i + n - 4))).alias("h"))
+
+    # The shortest run back from a line that ends after the run from line i and before that from line i + 1
+    # starts at i, too.
+    def counts(n: Column, i: Column) -> Column:
+        return F.sequence(n, F.greatest(n, F.coalesce(F.get("least", i + 1), F.size("s1") - i)))
+
+    runs = F.flatten(F.transform("least", lambda n, i: F.when(n.isNotNull(), F.transform(
+        counts(n, i), lambda c: made(i, c))).otherwise(F.array().cast("array<struct<at: bigint, h: bigint>>"))))
+    alone = F.transform(F.filter(F.transform("long", lambda l, i: F.when(l, i)), lambda i: i.isNotNull()),
+                        lambda i: made(i, F.lit(1)))
+    return df.select(*keep, F.inline(F.concat(runs, alone)))
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -165,48 +178,60 @@ def _key(docs: DataFrame) -> list[Column]:
             F.hash("text").alias("tag")]
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
-    """(no_id, key, tag, at, h, owner): the repeated runs of every row, and whether its document is the first to hold it.
+def _held_twice(found: DataFrame, by: list[str]) -> DataFrame:
+    """Runs of ``found`` that occur more than once, equal in ``by``, and whether their document is the first to hold them.
 
-    Runs are counted by their hashes (map-side first, so a run that a third of
-    all documents share is one row per task).
+    Counted on the map side first, so a run that a third of all documents share
+    is one row per task.
     """
-    runs = line_runs(docs.select(*_key(docs), "text"), ["no_id", "key", "tag"], "text")
-    found = cut(runs.select("no_id", "key", "tag", F.inline("runs")))
     named, nameless = F.when(F.col("no_id") == 0, F.col("key")), F.when(F.col("no_id") == 1, F.col("key"))
-    classes = cut(found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(named).alias("named"),
-                                              F.min(nameless).alias("nameless"))
+    classes = cut(found.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(named).alias("named"),
+                                         F.min(nameless).alias("nameless"))
                   .where(F.col("n") > 1).drop("n"))
     first = F.when(F.col("named").isNotNull(), (F.col("no_id") == 0) & (F.col("key") == F.col("named"))).otherwise(
         F.col("key") == F.col("nameless"))
-    return found.join(classes, ["h", "g"]).select("no_id", "key", "tag", "at", "h", first.alias("owner"))
+    return found.join(classes, by).select("no_id", "key", "tag", "at", *by, first.alias("owner"))
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with struct column ``dedup``: text, removed_lines, removed_words, removed (stretches of lines)."""
-    # Columns travel under names of their own, so that no column of ``docs`` can clash.
-    own_names = {f"__c{i}": c for i, c in enumerate(docs.columns)}
-    held, body = list(own_names), F.col(f"__c{docs.columns.index('text')}")
-    removals = repeated_runs(docs).groupBy("no_id", "key", "tag").agg(
+def repeated_runs(docs: DataFrame) -> DataFrame:
+    """(no_id, key, tag, at, h, owner): the runs of every row whose hash occurs more than once."""
+    return _held_twice(cut(line_runs(docs.select(*_key(docs), "text"), ["no_id", "key", "tag"], "text")), ["h"])
+
+
+def _removals(repeated: DataFrame, by: str) -> DataFrame:
+    """(no_id, key, tag, gone, held): numbers of the lines that go, and every repeated run as (by, at).
+
+    Equal rows (a doc_id that stands on one text many times) count once.
+    """
+    runs = repeated.select("no_id", "key", "tag", "at", F.col(by).alias("h"), "owner").distinct()
+    lists = runs.groupBy("no_id", "key", "tag").agg(
         F.collect_list(F.when(F.col("owner"), F.struct("h", "at"))).alias("own"),
-        F.collect_list(F.when(~F.col("owner"), F.col("at"))).alias("gone"))
+        F.collect_list(F.when(~F.col("owner"), F.struct("h", "at"))).alias("others"))
     # Of the runs of a first holder those go that stand there again, without sharing lines with the first one.
-    removals = _barrier(removals, ["no_id", "key", "tag", "gone"], own=F.array_sort("own"))
-    removals = _barrier(removals, ["no_id", "key", "tag", "gone", "own"], hs=F.transform("own", lambda r: r["h"]))
-    repeated = F.filter("own", lambda r, i: F.coalesce(F.get("hs", i - 1) == r["h"], F.lit(False)))
+    keys = ["no_id", "key", "tag"]
+    lists = _barrier(lists, [*keys, "others"], own=F.array_sort("own"))
+    lists = _barrier(lists, [*keys, "others", "own"], hs=F.transform("own", lambda r: r["h"]))
+    repeats = F.filter("own", lambda r, i: F.coalesce(F.get("hs", i - 1) == r["h"], F.lit(False)))
     line, count = (lambda at: F.shiftright(at, 5).cast("int")), (lambda at: at.bitwiseAND(31).cast("int"))
-    again = F.filter(repeated, lambda r: line(F.get("own", F.array_position("hs", r["h"]).cast("int") - 1)["at"])
+    again = F.filter(repeats, lambda r: line(F.get("own", F.array_position("hs", r["h"]).cast("int") - 1)["at"])
                      + count(r["at"]) <= line(r["at"]))
-    removals = _barrier(removals, ["no_id", "key", "tag"], gone=F.concat("gone", F.transform(again, lambda r: r["at"])))
+    lists = _barrier(lists, [*keys, "others", "own"], gone=F.transform(F.concat("others", again), lambda r: r["at"]))
     gone = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda at: F.sequence(
         line(at), line(at) + count(at) - 1)))))
-    removals = removals.where(F.size("gone") > 0).select("no_id", "key", "tag", gone.alias("gone"))
-    # Texts that lose nothing are not split again.
-    touched = F.when(F.col("gone").isNotNull(), body)
+    return lists.select(*keys, gone.alias("gone"), F.concat("others", "own").alias("held"))
+
+
+def _without(docs: DataFrame, removals: DataFrame) -> DataFrame:
+    """``docs`` under names of their own, ``dedup``, their keys, and ``runs``: the bytes (h, at, body) of every repeated run."""
+    # Columns travel under names of their own, so that no column of ``docs`` can clash.
+    own_names = {f"__c{i}": c for i, c in enumerate(docs.columns)}
+    keys = ["no_id", "key", "tag"]
+    held, body = [*own_names, *keys], F.col(f"__c{docs.columns.index('text')}")
+    # Texts that hold no repeated run are not split again.
+    touched = F.when(F.col("held").isNotNull(), body)
     joined = (docs.select(*_key(docs), *[F.col(f"`{c}`").alias(k) for k, c in own_names.items()])
-              .join(removals, ["no_id", "key", "tag"], "left")
-              .select(*held, "gone", touched.alias("text")))
-    split = _barrier(joined, [*held], gone=F.coalesce("gone", F.array().cast("array<int>")),
+              .join(removals, keys, "left").select(*held, "gone", "held", touched.alias("text")))
+    split = _barrier(joined, [*held, "held"], gone=F.coalesce("gone", F.array().cast("array<int>")),
                      pieces=line_pieces(F.coalesce("text", F.lit(""))))
     # Numbers of the pieces that are not blank.
     places = F.filter(F.transform("pieces", lambda p, i: F.when(F.btrim(p, F.lit(BLANK_CHARS)) != F.lit(""), i)),
@@ -214,8 +239,12 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     # Stretches of lines that go, as (first, last) numbers of lines, then of pieces.
     edge = lambda side: F.filter("gone", lambda x, i: F.coalesce(
         F.get("gone", i + side) != x + side, F.lit(True)))
-    split = _barrier(split, [*held, "pieces"], places=places, firsts=edge(-1), lasts=edge(1))
-    split = _barrier(split, [*held, "pieces"], spans=F.zip_with("firsts", "lasts", lambda a, z: F.struct(
+    split = _barrier(split, [*held, "pieces", "held"], places=places, firsts=edge(-1), lasts=edge(1))
+    own_line = lambda i: F.btrim(F.get("pieces", F.get("places", i)), F.lit(BLANK_CHARS))
+    runs = F.transform("held", lambda r: F.struct(r["h"].alias("h"), r["at"].alias("at"), F.array_join(F.transform(
+        F.sequence(F.shiftright(r["at"], 5).cast("int"),
+                   (F.shiftright(r["at"], 5) + r["at"].bitwiseAND(31) - 1).cast("int")), own_line), "\n").alias("body")))
+    split = _barrier(split, [*held, "pieces"], runs=runs, spans=F.zip_with("firsts", "lasts", lambda a, z: F.struct(
         F.get("places", a).alias("first"), F.get("places", z).alias("last"))))
     bodies = F.transform("spans", lambda s: F.array_join(F.filter(F.transform(
         F.slice("pieces", s["first"] + 1, s["last"] - s["first"] + 1), lambda p: F.btrim(p, F.lit(BLANK_CHARS))),
@@ -224,18 +253,29 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     bounds = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda k: F.struct(
         F.coalesce(F.get("spans", k - 1)["last"] + 1, F.lit(0)).alias("from"),
         F.coalesce(F.get("spans", k)["first"], F.size("pieces")).alias("to")))
-    split = _barrier(split, [*held, "pieces", "spans"], removed=bodies, bounds=bounds)
+    split = _barrier(split, [*held, "pieces", "spans", "runs"], removed=bodies, bounds=bounds)
     kept = F.array_join(F.transform("bounds", lambda b: F.array_join(
         F.slice("pieces", b["from"] + 1, b["to"] - b["from"]), "")), "")
     text = F.when(F.size("removed") == 0, body).otherwise(kept)
 
     lines = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
     words = F.aggregate("removed", F.lit(0).cast("long"), lambda a, c: a + word_count(c))
-    return split.select(*[F.col(k).alias(c) for k, c in own_names.items()], F.struct(
+    return split.select(*held, "runs", F.struct(
         text.alias("text"), lines.alias("removed_lines"), words.alias("removed_words"),
         F.col("removed")).alias("dedup"))
 
 
+def line_dedup(docs: DataFrame) -> DataFrame:
+    """``docs`` with struct column ``dedup``: text, removed_lines, removed_words, removed (stretches of lines)."""
+    out = cut(_without(docs, _removals(repeated_runs(docs), "h")))
+    # Byte comparison: runs of one hash must be one text.  If any are not, runs are told apart by their bytes.
+    runs = out.select("no_id", "key", "tag", F.inline("runs"))
+    texts = runs.groupBy("h", "body").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n"))
+    if texts.where(F.col("n") > 1).limit(1).count():
+        out = cut(_without(docs, _removals(_held_twice(runs, ["body"]), "body")))
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)], "dedup")
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text`` (and ``n_chars`` to match)."""
     out = line_dedup(docs).withColumn("text", F.col("dedup.text"))

@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarterlens.llm import line_dedup
 
@@ -70,3 +71,24 @@ def test_line_dedup_equals_brute_force(spark):
             for i in range(60)] + [(90, "same line here\n" * 7), (91, "le.\n" * 40)]
     out = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["dedup"]["text"] for r in out} == brute_dedup(docs)
+
+
+def test_runs_of_one_hash_are_told_apart_by_their_bytes(spark, monkeypatch):
+    rnd, runs = random.Random(5), line_dedup.line_runs
+    monkeypatch.setattr(line_dedup, "line_runs", lambda *a: runs(*a).withColumn("h", F.pmod("h", F.lit(5))))
+    pool = sentences(rnd, 30, 4) + ["le.", "Zu und."]
+    docs = [(i, "".join(rnd.choice(pool) + rnd.choice(["\n", " "]) for _ in range(rnd.randint(0, 12)))) for i in range(30)]
+    out = line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["dedup"]["text"] for r in out} == brute_dedup(docs)
+
+
+def test_rows_repeated_many_times_count_once(spark):
+    rnd = random.Random(6)
+    passage = " ".join(sentences(rnd, 6, 5))
+    docs = spark.createDataFrame([(1, passage + " First end of it."), (2, passage + " Second end of it.")],
+                                 "doc_id long, text string").crossJoin(spark.range(400).select("id"))
+    found = line_dedup._removals(line_dedup.repeated_runs(docs), "h").collect()
+    assert sorted(len(r["held"]) for r in found) == [6, 6]  # five runs inside the passage, one at the end of each text
+    out = line_dedup.line_dedup(docs).groupBy("doc_id", "dedup.text").count().collect()
+    assert {(r["doc_id"], r["text"], r["count"]) for r in out} == {
+        (1, passage + " First end of it.", 400), (2, "Second end of it.", 400)}
