@@ -33,10 +33,12 @@ columns are passed through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.materialize import cut
+from ..functions.materialize import cut, marked, release, table_folder
 from ._common import BLANK_CHARS, word_count
 
 MIN_CHARS = 40    # of a run of several lines
@@ -46,6 +48,7 @@ MOST_LINES = MIN_CHARS // 2 + 1  # lines of one character and their line feeds m
 ENDS = ["\n", ". ", "! ", "? "]
 LINE_END = "(?<=\\n)|(?<=[.!?] )"
 MARK = "\x00"
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def _barrier(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
@@ -209,20 +212,23 @@ def _removals(repeated: DataFrame, by: str) -> DataFrame:
         F.collect_list(F.when(~F.col("owner"), F.struct("h", "at"))).alias("others"))
     # Of the runs of a first holder those go that stand there again, without sharing lines with the first one.
     keys = ["no_id", "key", "tag"]
-    lists = _barrier(lists, [*keys, "others"], own=F.array_sort("own"))
+    lists = _barrier(lists, [*keys, "others"], own=F.sort_array("own"))
     lists = _barrier(lists, [*keys, "others", "own"], hs=F.transform("own", lambda r: r["h"]))
     repeats = F.filter("own", lambda r, i: F.coalesce(F.get("hs", i - 1) == r["h"], F.lit(False)))
     line, count = (lambda at: F.shiftright(at, 5).cast("int")), (lambda at: at.bitwiseAND(31).cast("int"))
     again = F.filter(repeats, lambda r: line(F.get("own", F.array_position("hs", r["h"]).cast("int") - 1)["at"])
                      + count(r["at"]) <= line(r["at"]))
     lists = _barrier(lists, [*keys, "others", "own"], gone=F.transform(F.concat("others", again), lambda r: r["at"]))
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda at: F.sequence(
+    gone = F.sort_array(F.array_distinct(F.flatten(F.transform("gone", lambda at: F.sequence(
         line(at), line(at) + count(at) - 1)))))
     return lists.select(*keys, gone.alias("gone"), F.concat("others", "own").alias("held"))
 
 
 def _without(docs: DataFrame, removals: DataFrame) -> DataFrame:
-    """``docs`` under names of their own, ``dedup``, their keys, and ``runs``: the bytes (h, at, body) of every repeated run."""
+    """``docs`` under names of their own, ``dedup``, their keys, and ``runs``: the bytes (h, at, body) of every repeated run.
+
+    ``dedup.text`` is null where nothing goes, so that a text is not written twice.
+    """
     # Columns travel under names of their own, so that no column of ``docs`` can clash.
     own_names = {f"__c{i}": c for i, c in enumerate(docs.columns)}
     keys = ["no_id", "key", "tag"]
@@ -256,7 +262,7 @@ def _without(docs: DataFrame, removals: DataFrame) -> DataFrame:
     split = _barrier(split, [*held, "pieces", "spans", "runs"], removed=bodies, bounds=bounds)
     kept = F.array_join(F.transform("bounds", lambda b: F.array_join(
         F.slice("pieces", b["from"] + 1, b["to"] - b["from"]), "")), "")
-    text = F.when(F.size("removed") == 0, body).otherwise(kept)
+    text = F.when(F.size("removed") > 0, kept)  # null where nothing goes: the text as it was
 
     lines = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
     words = F.aggregate("removed", F.lit(0).cast("long"), lambda a, c: a + word_count(c))
@@ -265,15 +271,38 @@ def _without(docs: DataFrame, removals: DataFrame) -> DataFrame:
         F.col("removed")).alias("dedup"))
 
 
+@contextmanager
+def _shuffles_go_with_their_query(spark: SparkSession):
+    """Shuffle files are removed when the query that made them has ended; later steps read written tables."""
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
+
+def _written_removals(docs: DataFrame, found, by: str) -> DataFrame:
+    """``_removals`` of ``found()`` as a table; the larger tables that it came from are removed."""
+    spark, path = docs.sparkSession, table_folder(docs)
+    since = marked(spark)
+    _removals(found(), by).write.parquet(path)
+    release(spark, since)
+    return spark.read.parquet(path)
+
+
 def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with struct column ``dedup``: text, removed_lines, removed_words, removed (stretches of lines)."""
-    out = cut(_without(docs, _removals(repeated_runs(docs), "h")))
-    # Byte comparison: runs of one hash must be one text.  If any are not, runs are told apart by their bytes.
-    runs = out.select("no_id", "key", "tag", F.inline("runs"))
-    texts = runs.groupBy("h", "body").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n"))
-    if texts.where(F.col("n") > 1).limit(1).count():
-        out = cut(_without(docs, _removals(_held_twice(runs, ["body"]), "body")))
-    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)], "dedup")
+    with _shuffles_go_with_their_query(docs.sparkSession):
+        out = cut(_without(docs, _written_removals(docs, lambda: repeated_runs(docs), "h")))
+        # Byte comparison: runs of one hash must be one text.  If any are not, runs are told apart by their bytes.
+        runs = out.select("no_id", "key", "tag", F.inline("runs"))
+        texts = runs.groupBy("h", "body").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n"))
+        if texts.where(F.col("n") > 1).limit(1).count():
+            out = cut(_without(docs, _written_removals(docs, lambda: _held_twice(runs, ["body"]), "body")))
+    text = F.coalesce("dedup.text", f"__c{docs.columns.index('text')}")
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)],
+                      F.col("dedup").withField("text", text).alias("dedup"))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
