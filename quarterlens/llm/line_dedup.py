@@ -206,22 +206,19 @@ def _removals(repeated: DataFrame, by: str) -> DataFrame:
 
     Equal rows (a doc_id that stands on one text many times) count once.
     """
-    runs = repeated.select("no_id", "key", "tag", "at", F.col(by).alias("h"), "owner").distinct()
-    lists = runs.groupBy("no_id", "key", "tag").agg(
-        F.collect_list(F.when(F.col("owner"), F.struct("h", "at"))).alias("own"),
-        F.collect_list(F.when(~F.col("owner"), F.struct("h", "at"))).alias("others"))
-    # Of the runs of a first holder those go that stand there again, without sharing lines with the first one.
     keys = ["no_id", "key", "tag"]
-    lists = _barrier(lists, [*keys, "others"], own=F.sort_array("own"))
-    lists = _barrier(lists, [*keys, "others", "own"], hs=F.transform("own", lambda r: r["h"]))
-    repeats = F.filter("own", lambda r, i: F.coalesce(F.get("hs", i - 1) == r["h"], F.lit(False)))
     line, count = (lambda at: F.shiftright(at, 5).cast("int")), (lambda at: at.bitwiseAND(31).cast("int"))
-    again = F.filter(repeats, lambda r: line(F.get("own", F.array_position("hs", r["h"]).cast("int") - 1)["at"])
-                     + count(r["at"]) <= line(r["at"]))
-    lists = _barrier(lists, [*keys, "others", "own"], gone=F.transform(F.concat("others", again), lambda r: r["at"]))
+    runs = repeated.groupBy(*keys, F.col(by).alias("h"), "owner").agg(
+        F.collect_set("at").alias("ats"), F.min("at").alias("first"))
+    # Of the runs of a first holder those go that stand there again, without sharing lines with the first one.
+    again = F.filter("ats", lambda at: line(F.col("first")) + count(F.col("first")) <= line(at))
+    lists = runs.groupBy(*keys).agg(
+        F.collect_list(F.when(F.col("owner"), again).otherwise(F.col("ats"))).alias("gone"),
+        F.collect_list(F.transform("ats", lambda at: F.struct(F.col("h"), at.alias("at")))).alias("held"))
+    lists = _barrier(lists, [*keys, "held"], gone=F.flatten("gone"))
     gone = F.sort_array(F.array_distinct(F.flatten(F.transform("gone", lambda at: F.sequence(
         line(at), line(at) + count(at) - 1)))))
-    return lists.select(*keys, gone.alias("gone"), F.concat("others", "own").alias("held"))
+    return lists.select(*keys, gone.alias("gone"), F.flatten("held").alias("held"))
 
 
 def _without(docs: DataFrame, removals: DataFrame) -> DataFrame:
