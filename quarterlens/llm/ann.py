@@ -199,7 +199,14 @@ class Graph:
         return np.take_along_axis(ids, _top(sims, min(k, ids.shape[1])), 1)
 
 
+def _scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors times powers of two that bring their largest components to 0.5..1: cosines keep every bit,
+    and no square runs over or under."""
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors of scaled ones."""
     return (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
 
 
@@ -227,7 +234,7 @@ def build_index(rows: DataFrame, k: int, shard_rows: int = SHARD_ROWS) -> tuple[
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.iloc[np.argsort([ids[0] for ids in pdf["ids"]], kind="stable")]
-        vectors = np.stack(pdf["v"].to_list()).astype(np.float64)
+        vectors = _scaled(np.stack(pdf["v"].to_list()).astype(np.float64))
         g = Graph.build(_unit(vectors))
         ends = np.cumsum([len(ids) for ids in pdf["ids"]])
         return pd.DataFrame([{
@@ -261,7 +268,7 @@ def search(queries: DataFrame, index: DataFrame, shards: int, k: int, ef: int =
         if len(left) and len(right):
             graph, vectors, members, ends = _load(left.iloc[0])
             starts, norms = np.r_[0, ends[:-1]], np.linalg.norm(vectors, axis=1)
-            ids, q = right["vec_id"].to_numpy(np.int64), np.stack(right["v"].to_list()).astype(np.float64)
+            ids, q = right["vec_id"].to_numpy(np.int64), _scaled(np.stack(right["v"].to_list()).astype(np.float64))
             for lo in range(0, len(q), BATCH):
                 part, own = q[lo:lo + BATCH], ids[lo:lo + BATCH]
                 found = graph.search(_unit(part), k + 1, ef)
@@ -271,9 +278,13 @@ def search(queries: DataFrame, index: DataFrame, shards: int, k: int, ef: int =
                 count = ends[node] - starts[node]
                 place = np.repeat(starts[node], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 vec, query = members[place], np.repeat(own[r], count)
-                other = vec != query
-                out = [np.r_[out[0], query[other]], np.r_[out[1], vec[other]],
-                       np.r_[out[2], np.repeat(cosine, count)[other]]]
+                score = np.repeat(cosine, count)
+                # Only the shard's k best per query leave the task.
+                order = np.lexsort((vec, -score, query))
+                order = order[vec[order] != query[order]]
+                _, first, per = np.unique(query[order], return_index=True, return_counts=True)
+                best = order[np.arange(len(order)) - np.repeat(first, per) < k]
+                out = [np.r_[out[0], query[best]], np.r_[out[1], vec[best]], np.r_[out[2], score[best]]]
         return pd.DataFrame({"query_id": out[0], "vec_id": out[1], "score": out[2]})
 
     dealt = (queries.withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)),
