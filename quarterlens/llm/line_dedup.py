@@ -123,55 +123,58 @@ def line_chunks(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
 def line_runs(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
     """``keep`` columns, ``at`` and ``h`` of every run, with ``at`` = 32 * number of the first line + lines.
 
-    Numbers count the lines that are not blank.  Sizes and hashes roll over the
-    lines by doubling: those of two and of four lines from a line on make those
-    of any run, so a run costs the same whatever its number of lines.
+    Numbers count the lines that are not blank.  Hashes roll over the lines two by
+    two: those of all pairs of lines make those of any run.
     """
-    df = _barrier(texts, keep, pieces=line_pieces(F.coalesce(F.col(text), F.lit(""))))
-    df = _barrier(df, keep, lines=F.filter(F.transform("pieces", lambda p: F.btrim(p, F.lit(BLANK_CHARS))),
-                                           lambda l: l != F.lit("")))
+    raw = F.coalesce(F.col(text), F.lit(""))
+    tabs = [F.contains(raw, F.lit(c)) for c in BLANK_CHARS if c not in " \n"]
+    df = _barrier(texts, keep, pieces=line_pieces(raw), tabs=tabs[0] | tabs[1] | tabs[2] | tabs[3])
+    df = _barrier(df, [*keep, "tabs"], lines=F.filter(F.transform("pieces", lambda p: F.btrim(p, F.lit(BLANK_CHARS))),
+                                                      lambda l: l != F.lit("")))
+
+    def may_be_long(l: Column) -> Column:  # words take LONG_WORDS - 1 blanks between them; tabs are not counted here
+        return F.col("tabs") | (F.octet_length(l) - F.octet_length(F.replace(l, F.lit(" "), F.lit(""))) >= LONG_WORDS - 1)
+
     # A line counts with its line feed: a run has MIN_CHARS characters from MIN_CHARS + 1 on.
     df = _barrier(df, keep, s1=F.transform("lines", lambda l: F.char_length(l) + 1),
                   h1=F.transform("lines", lambda l: F.xxhash64(l)),
-                  long=F.transform("lines", lambda l: (F.char_length(l) >= 2 * LONG_WORDS - 1)
-                                   & (word_count(l) >= LONG_WORDS)))
-    df = _barrier(df, [*keep, "s1", "h1", "long"], s2=F.transform("s1", lambda s, i: s + F.get("s1", i + 1)),
-                  h2=F.transform("h1", lambda h, i: F.xxhash64(h, F.get("h1", i + 1))))
-    df = _barrier(df, [*keep, "s1", "h1", "long", "s2", "h2"],
-                  s4=F.transform("s2", lambda s, i: s + F.get("s2", i + 2)),
-                  h4=F.transform("h2", lambda h, i: F.xxhash64(h, F.get("h2", i + 2))))
+                  long=F.filter(F.transform("lines", lambda l, i: F.when(
+                      (F.octet_length(l) >= 2 * LONG_WORDS - 1) & may_be_long(l) & (word_count(l) >= LONG_WORDS), i)),
+                      lambda i: i.isNotNull()))
+    df = _barrier(df, [*keep, "s1", "long"], s2=F.transform("s1", lambda s, i: s + F.get("s1", i + 1)),
+                  h2=F.transform("h1", lambda h, i: F.xxhash64(h, F.get("h1", i + 1))), h1=F.col("h1"))
 
     def size(i: Column, n: int) -> Column:  # of n lines from i on; null beyond the end
-        parts = [F.get("s4", i + 4 * k) for k in range(n // 4)]
-        parts += [F.get("s2", i + n // 4 * 4)] * (n % 4 > 1) + [F.get("s1", i + n - 1)] * (n % 2)
+        parts = [F.get("s2", i + 2 * k) for k in range(n // 2)] + [F.get("s1", i + n - 1)] * (n % 2)
         return sum(parts[1:], parts[0])
 
-    def shortest(i: Column) -> Column:  # lines of the shortest run from i on
-        found = F.when(F.get("s2", i) > MIN_CHARS, F.lit(2))
+    def shortest(s2: Column, i: Column) -> Column:  # lines of the shortest run from i on; s2 is null at the last line
+        found = F.when(s2.isNull(), F.lit(None).cast("int")).when(s2 > MIN_CHARS, F.lit(2))
         for n in range(3, MOST_LINES + 1):
             found = found.when(size(i, n) > MIN_CHARS, F.lit(n))
         return found
 
-    df = _barrier(df, [*keep, "s1", "h1", "long", "h2", "h4"], least=F.transform("s1", lambda _, i: F.when(
-        i + 1 < F.size("s1"), shortest(i))))
+    df = _barrier(df, [*keep, "h1", "long", "h2"], least=F.transform("s2", shortest))
 
     def made(i: Column, n: Column) -> Column:
-        h = F.when(n == 1, F.get("h1", i)).when(n < 4, F.xxhash64(n, F.get("h2", i), F.get("h2", i + n - 2)))
-        h = h.when(n < 9, F.xxhash64(n, F.get("h4", i), F.get("h4", i + n - 4)))
-        steps = [F.when(n >= 4 * k + 4, F.get("h4", i + 4 * k)) for k in range(1, MOST_LINES // 4)]
-        return F.struct((F.shiftleft(i.cast("long"), 5) + n).alias("at"), h.otherwise(
-            F.xxhash64(n, F.get("h4", i), *steps, F.get("h4", i + n - 4))).alias("h"))
+        steps = [F.when(n >= 2 * k + 2, F.get("h2", i + 2 * k)) for k in range(1, MOST_LINES // 2)]
+        h = F.when(n == 2, F.get("h2", i)).when(n == 1, F.xxhash64(n, F.get("h1", i)))
+        for most in (4, 6, 8):  # the usual numbers of lines without the long list of pairs
+            h = h.when(n <= most, F.xxhash64(n, *[F.get("h2", i + k) for k in range(0, most - 2, 2)], F.get("h2", i + n - 2)))
+        h = h.otherwise(F.xxhash64(n, F.get("h2", i), *steps, F.get("h2", i + n - 2)))
+        return F.struct((F.shiftleft(i.cast("long"), 5) + n).alias("at"), h.alias("h"))
 
     # The shortest run back from a line that ends after the run from line i and before that from line i + 1
-    # starts at i, too.
-    def counts(n: Column, i: Column) -> Column:
-        return F.sequence(n, F.greatest(n, F.coalesce(F.get("least", i + 1), F.size("s1") - i)))
+    # starts at i, too: such runs are longer than the one from i.
+    def reach(i: Column) -> Column:
+        return F.coalesce(F.get("least", i + 1), F.size("h1") - i)
 
-    runs = F.flatten(F.transform("least", lambda n, i: F.when(n.isNotNull(), F.transform(
-        counts(n, i), lambda c: made(i, c))).otherwise(F.array().cast("array<struct<at: bigint, h: bigint>>"))))
-    alone = F.transform(F.filter(F.transform("long", lambda l, i: F.when(l, i)), lambda i: i.isNotNull()),
-                        lambda i: made(i, F.lit(1)))
-    return df.select(*keep, F.inline(F.concat(runs, alone)))
+    runs = F.filter(F.transform("least", lambda n, i: F.when(n.isNotNull(), made(i, n))), lambda r: r.isNotNull())
+    wider = F.filter(F.transform("least", lambda n, i: F.when(n < reach(i), i)), lambda i: i.isNotNull())
+    more = F.flatten(F.transform(wider, lambda i: F.transform(
+        F.sequence(F.get("least", i) + 1, reach(i)), lambda c: made(i, c))))
+    alone = F.transform("long", lambda i: made(i, F.lit(1)))
+    return df.select(*keep, F.inline(F.concat(runs, more, alone)))
 
 
 def _key(docs: DataFrame) -> list[Column]:
@@ -193,7 +196,8 @@ def _held_twice(found: DataFrame, by: list[str]) -> DataFrame:
                   .where(F.col("n") > 1).drop("n"))
     first = F.when(F.col("named").isNotNull(), (F.col("no_id") == 0) & (F.col("key") == F.col("named"))).otherwise(
         F.col("key") == F.col("nameless"))
-    return found.join(classes, by).select("no_id", "key", "tag", "at", *by, first.alias("owner"))
+    # The classes, a row per hash, are hashed; the many runs need no sort.
+    return found.join(classes.hint("shuffle_hash"), by).select("no_id", "key", "tag", "at", *by, first.alias("owner"))
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
@@ -236,27 +240,26 @@ def _without(docs: DataFrame, removals: DataFrame) -> DataFrame:
               .join(removals, keys, "left").select(*held, "gone", "held", touched.alias("text")))
     split = _barrier(joined, [*held, "held"], gone=F.coalesce("gone", F.array().cast("array<int>")),
                      pieces=line_pieces(F.coalesce("text", F.lit(""))))
-    # Numbers of the pieces that are not blank.
-    places = F.filter(F.transform("pieces", lambda p, i: F.when(F.btrim(p, F.lit(BLANK_CHARS)) != F.lit(""), i)),
-                      lambda i: i.isNotNull())
+    split = _barrier(split, [*held, "pieces", "held", "gone"],
+                     trimmed=F.transform("pieces", lambda p: F.btrim(p, F.lit(BLANK_CHARS))))
+    # The lines that are not blank, and the numbers of their pieces.
+    places = F.filter(F.transform("trimmed", lambda l, i: F.when(l != F.lit(""), i)), lambda i: i.isNotNull())
     # Stretches of lines that go, as (first, last) numbers of lines, then of pieces.
     edge = lambda side: F.filter("gone", lambda x, i: F.coalesce(
         F.get("gone", i + side) != x + side, F.lit(True)))
-    split = _barrier(split, [*held, "pieces", "held"], places=places, firsts=edge(-1), lasts=edge(1))
-    own_line = lambda i: F.btrim(F.get("pieces", F.get("places", i)), F.lit(BLANK_CHARS))
-    runs = F.transform("held", lambda r: F.struct(r["h"].alias("h"), r["at"].alias("at"), F.array_join(F.transform(
-        F.sequence(F.shiftright(r["at"], 5).cast("int"),
-                   (F.shiftright(r["at"], 5) + r["at"].bitwiseAND(31) - 1).cast("int")), own_line), "\n").alias("body")))
-    split = _barrier(split, [*held, "pieces"], runs=runs, spans=F.zip_with("firsts", "lasts", lambda a, z: F.struct(
-        F.get("places", a).alias("first"), F.get("places", z).alias("last"))))
-    bodies = F.transform("spans", lambda s: F.array_join(F.filter(F.transform(
-        F.slice("pieces", s["first"] + 1, s["last"] - s["first"] + 1), lambda p: F.btrim(p, F.lit(BLANK_CHARS))),
-        lambda l: l != F.lit("")), "\n"))
+    split = _barrier(split, [*held, "pieces", "held"], lines=F.filter("trimmed", lambda l: l != F.lit("")),
+                     places=places, firsts=edge(-1), lasts=edge(1))
+    joined_lines = lambda first, count: F.array_join(F.slice("lines", first + 1, count), "\n")
+    runs = F.transform("held", lambda r: F.struct(r["h"].alias("h"), r["at"].alias("at"), joined_lines(
+        F.shiftright(r["at"], 5).cast("int"), r["at"].bitwiseAND(31).cast("int")).alias("body")))
+    bodies = F.zip_with("firsts", "lasts", lambda a, z: joined_lines(a, z - a + 1))
+    split = _barrier(split, [*held, "pieces"], runs=runs, removed=bodies, spans=F.zip_with(
+        "firsts", "lasts", lambda a, z: F.struct(F.get("places", a).alias("first"), F.get("places", z).alias("last"))))
     # What stays: the pieces between the spans, before the first and after the last.
     bounds = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda k: F.struct(
         F.coalesce(F.get("spans", k - 1)["last"] + 1, F.lit(0)).alias("from"),
         F.coalesce(F.get("spans", k)["first"], F.size("pieces")).alias("to")))
-    split = _barrier(split, [*held, "pieces", "spans", "runs"], removed=bodies, bounds=bounds)
+    split = _barrier(split, [*held, "pieces", "spans", "runs", "removed"], bounds=bounds)
     kept = F.array_join(F.transform("bounds", lambda b: F.array_join(
         F.slice("pieces", b["from"] + 1, b["to"] - b["from"]), "")), "")
     text = F.when(F.size("removed") > 0, kept)  # null where nothing goes: the text as it was
@@ -279,6 +282,13 @@ def _shuffles_go_with_their_query(spark: SparkSession):
         spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
+def _written_texts(texts: DataFrame) -> DataFrame:
+    """``texts`` as a table; runs and stretches repeat what stands in the texts, so it is packed tighter than usual."""
+    path = table_folder(texts)
+    texts.write.option("compression", "zstd").parquet(path)
+    return texts.sparkSession.read.parquet(path)
+
+
 def _written_removals(docs: DataFrame, found, by: str) -> DataFrame:
     """``_removals`` of ``found()`` as a table; the larger tables that it came from are removed."""
     spark, path = docs.sparkSession, table_folder(docs)
@@ -291,12 +301,12 @@ def _written_removals(docs: DataFrame, found, by: str) -> DataFrame:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with struct column ``dedup``: text, removed_lines, removed_words, removed (stretches of lines)."""
     with _shuffles_go_with_their_query(docs.sparkSession):
-        out = cut(_without(docs, _written_removals(docs, lambda: repeated_runs(docs), "h")))
+        out = _written_texts(_without(docs, _written_removals(docs, lambda: repeated_runs(docs), "h")))
         # Byte comparison: runs of one hash must be one text.  If any are not, runs are told apart by their bytes.
         runs = out.select("no_id", "key", "tag", F.inline("runs"))
         texts = runs.groupBy("h", "body").agg(F.lit(1).alias("one")).groupBy("h").agg(F.count("one").alias("n"))
         if texts.where(F.col("n") > 1).limit(1).count():
-            out = cut(_without(docs, _written_removals(docs, lambda: _held_twice(runs, ["body"]), "body")))
+            out = _written_texts(_without(docs, _written_removals(docs, lambda: _held_twice(runs, ["body"]), "body")))
     text = F.coalesce("dedup.text", f"__c{docs.columns.index('text')}")
     return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(docs.columns)],
                       F.col("dedup").withField("text", text).alias("dedup"))
