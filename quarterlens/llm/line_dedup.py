@@ -66,6 +66,28 @@ def line_pieces(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), F.split(text, LINE_END)).otherwise(F.split(marked, MARK))
 
 
+def _odd_blanks(text: Column) -> Column:
+    """Whether a text holds blanks other than spaces and line feeds, or the mark."""
+    found = F.contains(text, F.lit(MARK))
+    for c in BLANK_CHARS:
+        if c not in " \n":
+            found = found | F.contains(text, F.lit(c))
+    return found
+
+
+def _lines(text: Column, odd: Column) -> Column:
+    """The lines that are not blank, without the blanks around them: ``line_pieces``, trimmed.
+
+    Without odd blanks line ends are replaced by the mark, and spaces alone are trimmed.
+    """
+    marked = text
+    for end in ENDS:
+        marked = F.replace(marked, F.lit(end), F.lit(end.rstrip() + MARK))
+    plain = F.transform(F.split(marked, MARK), lambda p: F.trim(p))
+    other = F.transform(line_pieces(text), lambda p: F.btrim(p, F.lit(BLANK_CHARS)))
+    return F.filter(F.when(odd, other).otherwise(plain), lambda l: l != F.lit(""))
+
+
 def line_chunks(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
     """``keep`` columns, ``pieces`` and ``chunks``: array of (first, count, body, h)."""
     df = _barrier(texts, keep, pieces=line_pieces(F.coalesce(F.col(text), F.lit(""))))
@@ -127,13 +149,10 @@ def line_runs(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
     two: those of all pairs of lines make those of any run.
     """
     raw = F.coalesce(F.col(text), F.lit(""))
-    tabs = [F.contains(raw, F.lit(c)) for c in BLANK_CHARS if c not in " \n"]
-    df = _barrier(texts, keep, pieces=line_pieces(raw), tabs=tabs[0] | tabs[1] | tabs[2] | tabs[3])
-    df = _barrier(df, [*keep, "tabs"], lines=F.filter(F.transform("pieces", lambda p: F.btrim(p, F.lit(BLANK_CHARS))),
-                                                      lambda l: l != F.lit("")))
+    df = _barrier(texts, keep, odd=_odd_blanks(raw), lines=_lines(raw, _odd_blanks(raw)))
 
-    def may_be_long(l: Column) -> Column:  # words take LONG_WORDS - 1 blanks between them; tabs are not counted here
-        return F.col("tabs") | (F.octet_length(l) - F.octet_length(F.replace(l, F.lit(" "), F.lit(""))) >= LONG_WORDS - 1)
+    def may_be_long(l: Column) -> Column:  # words take LONG_WORDS - 1 blanks between them
+        return F.col("odd") | (F.octet_length(l) - F.octet_length(F.replace(l, F.lit(" "), F.lit(""))) >= LONG_WORDS - 1)
 
     # A line counts with its line feed: a run has MIN_CHARS characters from MIN_CHARS + 1 on.
     df = _barrier(df, keep, s1=F.transform("lines", lambda l: F.char_length(l) + 1),
@@ -237,35 +256,39 @@ def _without(docs: DataFrame, removals: DataFrame) -> DataFrame:
     # Texts that hold no repeated run are not split again.
     touched = F.when(F.col("held").isNotNull(), body)
     joined = (docs.select(*_key(docs), *[F.col(f"`{c}`").alias(k) for k, c in own_names.items()])
-              .join(removals, keys, "left").select(*held, "gone", "held", touched.alias("text")))
+              .join(removals.hint("shuffle_hash"), keys, "left").select(*held, "gone", "held", touched.alias("text")))
     split = _barrier(joined, [*held, "held"], gone=F.coalesce("gone", F.array().cast("array<int>")),
-                     pieces=line_pieces(F.coalesce("text", F.lit(""))))
-    split = _barrier(split, [*held, "pieces", "held", "gone"],
-                     trimmed=F.transform("pieces", lambda p: F.btrim(p, F.lit(BLANK_CHARS))))
+                     pieces=line_pieces(F.coalesce("text", F.lit(""))), odd=_odd_blanks(F.coalesce("text", F.lit(""))))
+    split = _barrier(split, [*held, "pieces", "odd", "held", "gone"], trimmed=F.transform("pieces", lambda p: F.when(
+        F.col("odd"), F.btrim(p, F.lit(BLANK_CHARS))).otherwise(F.trim(F.replace(p, F.lit("\n"), F.lit(""))))))
     # The lines that are not blank, and the numbers of their pieces.
     places = F.filter(F.transform("trimmed", lambda l, i: F.when(l != F.lit(""), i)), lambda i: i.isNotNull())
     # Stretches of lines that go, as (first, last) numbers of lines, then of pieces.
     edge = lambda side: F.filter("gone", lambda x, i: F.coalesce(
         F.get("gone", i + side) != x + side, F.lit(True)))
-    split = _barrier(split, [*held, "pieces", "held"], lines=F.filter("trimmed", lambda l: l != F.lit("")),
+    split = _barrier(split, [*held, "pieces", "odd", "held"], lines=F.filter("trimmed", lambda l: l != F.lit("")),
                      places=places, firsts=edge(-1), lasts=edge(1))
     joined_lines = lambda first, count: F.array_join(F.slice("lines", first + 1, count), "\n")
     runs = F.transform("held", lambda r: F.struct(r["h"].alias("h"), r["at"].alias("at"), joined_lines(
         F.shiftright(r["at"], 5).cast("int"), r["at"].bitwiseAND(31).cast("int")).alias("body")))
     bodies = F.zip_with("firsts", "lasts", lambda a, z: joined_lines(a, z - a + 1))
-    split = _barrier(split, [*held, "pieces"], runs=runs, removed=bodies, spans=F.zip_with(
+    split = _barrier(split, [*held, "pieces", "odd"], runs=runs, removed=bodies, spans=F.zip_with(
         "firsts", "lasts", lambda a, z: F.struct(F.get("places", a).alias("first"), F.get("places", z).alias("last"))))
     # What stays: the pieces between the spans, before the first and after the last.
     bounds = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda k: F.struct(
         F.coalesce(F.get("spans", k - 1)["last"] + 1, F.lit(0)).alias("from"),
         F.coalesce(F.get("spans", k)["first"], F.size("pieces")).alias("to")))
-    split = _barrier(split, [*held, "pieces", "spans", "runs", "removed"], bounds=bounds)
+    split = _barrier(split, [*held, "pieces", "odd", "spans", "runs", "removed"], bounds=bounds)
     kept = F.array_join(F.transform("bounds", lambda b: F.array_join(
         F.slice("pieces", b["from"] + 1, b["to"] - b["from"]), "")), "")
     text = F.when(F.size("removed") > 0, kept)  # null where nothing goes: the text as it was
 
     lines = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"] + 1)
-    words = F.aggregate("removed", F.lit(0).cast("long"), lambda a, c: a + word_count(c))
+    # Where single blanks stand between words, there is one more word than blanks.
+    blanks = lambda c: F.octet_length(c) - F.octet_length(
+        F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit("\n"), F.lit("")))
+    words = F.aggregate("removed", F.lit(0).cast("long"), lambda a, c: a + F.when(
+        F.col("odd") | F.contains(c, F.lit("  ")), word_count(c)).otherwise(blanks(c) + 1))
     return split.select(*held, "runs", F.struct(
         text.alias("text"), lines.alias("removed_lines"), words.alias("removed_words"),
         F.col("removed")).alias("dedup"))
@@ -285,7 +308,7 @@ def _shuffles_go_with_their_query(spark: SparkSession):
 def _written_texts(texts: DataFrame) -> DataFrame:
     """``texts`` as a table; runs and stretches repeat what stands in the texts, so it is packed tighter than usual."""
     path = table_folder(texts)
-    texts.write.option("compression", "zstd").parquet(path)
+    texts.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "1").parquet(path)
     return texts.sparkSession.read.parquet(path)
 
 
