@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 
 from ..functions import exprs as X
 from ..functions.materialize import cut
-from ..functions.ranking import quantiles_long
+from ..functions.ranking import quantiles_bracketed, quantiles_long
 from . import scale as SC
 
 EULER_GAMMA = 0.5772156649015329
@@ -53,6 +53,7 @@ def compute_slots(spark, groups: int) -> int:
 MASK64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 MODEL_BYTES = 64 << 20   # of forests broadcast at once
 NODE_BYTES = 32
+ROWS_IN_TASK = 2000      # rows that are worth a task of their own when a grid scores them
 
 
 def avg_path_length(n):
@@ -159,6 +160,49 @@ def path_lengths(X: np.ndarray, tree) -> np.ndarray:
     return depth[node] + avg_path_length(size[node])
 
 
+HEAP_DEPTH = 12   # trees up to this depth are scored as complete trees
+
+
+def heap_tree(tree, depth: int):
+    """The tree as a complete one of ``depth`` levels: (feature, threshold, leaf value) by position.
+
+    A leaf above the last level goes on to the left, past thresholds of +inf.
+    """
+    feat, thr, left, right, size, at = tree
+    inner = (1 << depth) - 1
+    feature, threshold, leaf = np.zeros(inner, dtype=np.int64), np.full(inner, np.inf), np.zeros(inner + 1)
+    value = at + avg_path_length(size)
+    stack = [(0, 0, 0)]
+    while stack:
+        node, pos, level = stack.pop()
+        if feat[node] < 0 or level == depth:
+            leaf[((pos + 1) << (depth - level)) - 1 - inner] = value[node]
+            continue
+        feature[pos], threshold[pos] = feat[node], thr[node]
+        stack.append((left[node], 2 * pos + 1, level + 1))
+        stack.append((right[node], 2 * pos + 2, level + 1))
+    return feature, threshold, leaf
+
+
+def heap_lengths(columns: np.ndarray, tree) -> np.ndarray:
+    """``path_lengths`` on a complete tree; ``columns`` has a contiguous row per feature."""
+    feature, threshold, leaf = tree
+    n = columns.shape[1]
+    flat, rows, start = columns.ravel(), np.arange(n), feature * n
+    node, at = np.zeros(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+    x, t, right = np.empty(n), np.empty(n), np.empty(n, dtype=bool)
+    for _ in range(len(leaf).bit_length() - 1):
+        np.take(start, node, out=at, mode="clip")
+        np.add(at, rows, out=at)
+        np.take(flat, at, out=x, mode="clip")
+        np.take(threshold, node, out=t, mode="clip")
+        np.greater(x, t, out=right)
+        np.left_shift(node, 1, out=node)
+        np.add(node, 1, out=node)
+        np.add(node, right, out=node)
+    return leaf[node - len(feature)]
+
+
 NODE_SCHEMA = T.StructType([
     T.StructField("forest", T.IntegerType()), T.StructField("tree", T.IntegerType()),
     T.StructField("node", T.IntegerType()), T.StructField("feature", T.IntegerType()),
@@ -191,7 +235,7 @@ def fit_scales(train: DataFrame, subsets: Sequence[tuple], all_features: Sequenc
             items.append(F.struct(F.lit(s).alias("subset"), F.lit(f).alias("feature"),
                                   F.col(f).alias("value"), ok.alias("ok")))
     long = train.select(F.inline(F.array(*items))).where(F.col("ok")).drop("ok")
-    q = quantiles_long(long, "value", [0.25, 0.5, 0.75], ["subset", "feature"])
+    q = quantiles_bracketed(long, "value", [0.25, 0.5, 0.75], ["subset", "feature"])
     rows = q.collect()
     stats: dict = {}
     for r in rows:
@@ -304,10 +348,14 @@ def _packed(fit: ForestFit, specs: Sequence[ForestSpec], n_trees: int) -> list[t
     """
     pdf = (fit.nodes.where(F.col("forest").isin([sp.forest for sp in specs]) & (F.col("tree") < n_trees))
            .toPandas().sort_values(["forest", "tree", "node"]))
+    of, tree = pdf["forest"].to_numpy(), pdf["tree"].to_numpy()
+    columns = [pdf[c].to_numpy() for c in ("feature", "threshold", "left", "right", "size", "depth")]
+    cuts = [*np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (tree[1:] != tree[:-1])][:len(of)]), len(of)]
     trees: dict[int, list] = {sp.forest: [] for sp in specs}
-    for (forest, _), g in pdf.groupby(["forest", "tree"], sort=True):
-        trees[int(forest)].append(tuple(g[c].to_numpy() for c in (
-            "feature", "threshold", "left", "right", "size", "depth")))
+    depths = {sp.forest: _tree_depth_limit(sp.psi) for sp in specs}
+    for a, b in zip(cuts, cuts[1:]):
+        flat, forest = tuple(c[a:b] for c in columns), int(of[a])
+        trees[forest].append(heap_tree(flat, depths[forest]) if depths[forest] <= HEAP_DEPTH else flat)
     return [(sp, trees[sp.forest]) for sp in specs]
 
 
@@ -325,8 +373,9 @@ def _scorer(fit: ForestFit, specs: Sequence[ForestSpec], tree_counts: Sequence[i
             valid = ~np.isnan(Xr).any(axis=1)
             Xs = (Xr[valid] - center) / width
             total, c = np.zeros(len(Xs)), avg_path_length([sp.psi])[0]
+            columns = np.ascontiguousarray(Xs.T)
             for t, tree in enumerate(trees, 1):
-                total += path_lengths(Xs, tree)
+                total += heap_lengths(columns, tree) if len(tree) == 3 else path_lengths(Xs, tree)
                 if t in tree_counts:
                     s = np.full(len(Xr), np.nan)
                     s[valid] = np.power(2.0, -(total / t) / c) if c > 0 else 0.5
@@ -350,6 +399,21 @@ def score_rows(rows: DataFrame, fit: ForestFit, keys: Sequence[str], forests: Se
     out_schema = T.StructType([f for f in rows.schema.fields if f.name in keys] + [
         T.StructField("forest", T.IntegerType()), T.StructField("T", T.IntegerType()),
         T.StructField("s", T.DoubleType())])
+
+    def part(run) -> DataFrame:
+        def score(batches):
+            for pdf in batches:
+                for forest, t, s in run(pdf):
+                    known = ~np.isnan(s)
+                    yield pdf.loc[known, list(keys)].assign(forest=np.int32(forest), T=np.int32(t), s=s[known])
+
+        return rows.mapInPandas(score, out_schema)
+
+    return reduce(DataFrame.union, [part(run) for run in _scorers(fit, specs, tree_counts, rows.sparkSession)])
+
+
+def _scorers(fit: ForestFit, specs: Sequence[ForestSpec], tree_counts: Sequence[int], spark) -> list:
+    """A ``_scorer`` per group of forests of at most MODEL_BYTES."""
     groups, held = [[]], 0
     for sp in specs:
         size = max(tree_counts) * 2 * sp.psi * NODE_BYTES
@@ -358,25 +422,34 @@ def score_rows(rows: DataFrame, fit: ForestFit, keys: Sequence[str], forests: Se
             held = 0
         groups[-1].append(sp)
         held += size
+    return [_scorer(fit, g, tree_counts, spark) for g in groups]
+
 
-    def part(group: Sequence[ForestSpec]) -> DataFrame:
-        run = _scorer(fit, group, tree_counts, rows.sparkSession)
+def grid_scores(rows: DataFrame, features: Sequence[str], scorers: Sequence) -> DataFrame:
+    """``score_rows`` without keys: (forest, T, s), one row per scored row, forest and tree count.
 
+    The features are written and dealt to as many tasks as the cores take, and
+    a batch's scores of one forest leave Python as one array.
+    """
+    rows = cut(_finite_features(rows, features).select(*features))
+    slots = compute_slots(rows.sparkSession, math.ceil(rows.count() / ROWS_IN_TASK))
+    rows = rows.repartition(slots)
+
+    def part(run) -> DataFrame:
         def score(batches):
             for pdf in batches:
-                for forest, t, s in run(pdf):
-                    known = ~np.isnan(s)
-                    yield pdf.loc[known, list(keys)].assign(forest=np.int32(forest), T=np.int32(t), s=s[known])
+                yield pd.DataFrame([(forest, t, s[~np.isnan(s)]) for forest, t, s in run(pdf)],
+                                   columns=["forest", "T", "s"])
 
-        return rows.mapInPandas(score, out_schema)
+        return rows.mapInPandas(score, "forest int, T int, s array<double>")
 
-    return reduce(DataFrame.union, [part(g) for g in groups])
+    return reduce(DataFrame.union, [part(run) for run in scorers])
 
 
 def offsets(train_scores: DataFrame, contaminations: Sequence[float]) -> DataFrame:
     """Offset per (forest, T, contamination): percentile of -s on the train rows."""
     neg = train_scores.select("forest", "T", (-F.col("s")).alias("v"))
-    q = quantiles_long(neg, "v", list(contaminations), ["forest", "T"])
+    q = quantiles_bracketed(neg, "v", list(contaminations), ["forest", "T"])
     return q.select("forest", "T", F.col("p").alias("contamination"), F.col("q").alias("offset"))
 
 
@@ -419,11 +492,12 @@ def grid_search(train: DataFrame, test: DataFrame, keys: Sequence[str], features
     """
     subsets = feature_subsets(features, sizes)
     fit = fit_forests(train, keys, subsets, max_samples, max(n_estimators), seed)
-    tr = cut(score_rows(train, fit, keys, tree_counts=n_estimators))
-    te = cut(score_rows(test, fit, keys, tree_counts=n_estimators))
-    off = offsets(tr, contaminations)
-    mean_s = te.groupBy("forest", "T").agg(_mean_exact("s").alias("mean_s"))
     spark = train.sparkSession
+    used = sorted({f for sp in fit.specs for f in sp.features})
+    scorers = _scorers(fit, fit.specs, sorted(n_estimators), spark)
+    each = lambda scored: scored.select("forest", "T", F.explode("s").alias("s"))
+    off = offsets(each(cut(grid_scores(train, used, scorers))), contaminations)
+    mean_s = each(grid_scores(test, used, scorers)).groupBy("forest", "T").agg(_mean_exact("s").alias("mean_s"))
     spec_df = spark.createDataFrame(
         [(sp.forest, sp.subset, ", ".join(sp.features), len(sp.features), sp.psi_setting, sp.psi,
           sp.setting_index) for sp in fit.specs],
@@ -431,6 +505,7 @@ def grid_search(train: DataFrame, test: DataFrame, keys: Sequence[str], features
     exp = (mean_s.join(off, ["forest", "T"]).join(F.broadcast(spec_df), "forest")
            .select("subset", "features", "n_features", F.col("T").alias("n_estimators"), "contamination",
                    "max_samples", "psi", "ms_order", (F.col("mean_s") + F.col("offset")).alias("mean_score")))
+    exp = cut(exp)  # a row per experiment
     grid_order = [F.col("contamination"), F.col("ms_order"), F.col("n_estimators")]
     w = Window.partitionBy("subset").orderBy(F.desc("mean_score"), *grid_order)
     best_sub = exp.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
@@ -460,7 +535,7 @@ def fit_model(train: DataFrame, keys: Sequence[str], features: Sequence[str], n_
 
 def model_from_fit(train: DataFrame, keys, fit: ForestFit, forest: int, n_estimators: int,
                    contamination: float) -> AnomalyModel:
-    tr = score_rows(train, fit, keys, [forest], [n_estimators])
+    tr = cut(score_rows(train, fit, keys, [forest], [n_estimators]).select("forest", "T", "s"))
     off = offsets(tr, [contamination]).first()["offset"]
     sp = fit.specs[forest]
     return AnomalyModel(list(sp.features), fit, forest, n_estimators, contamination, float(off), sp.psi)

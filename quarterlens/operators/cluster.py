@@ -41,6 +41,7 @@ LINKAGE_PAIRS = [
 ]
 MICRO = 500  # weighted centroids that a table is summarised by
 SILHOUETTE_BLOCK = 4000
+SILHOUETTE_PAIRS = 1 << 17  # distances that a task holds at once
 LABEL_BLOCK = 1024   # clusters in one broadcast row
 
 
@@ -425,20 +426,30 @@ def silhouette(df: DataFrame, id_col: str, label_col: str, features: Sequence[st
         A = lp[xs].to_numpy(dtype=np.float64)
         B = rp[xs].to_numpy(dtype=np.float64)
         ida, idb = lp["_id"].to_numpy(), rp["_id"].to_numpy()
-        lb = rp["_label"].to_numpy()
+        la, lb = lp["_label"].to_numpy(), rp["_label"].to_numpy()
         uniq = np.unique(lb)
+        columns = np.ascontiguousarray(B.T)
+        step = max(1, SILHOUETTE_PAIRS // len(B))
         parts = []
-        for start in range(0, len(A), 512):
-            a = A[start:start + 512]
-            diff = a[:, None, :] - B[None, :, :]
-            d = np.sqrt((diff * diff).sum(axis=2))
-            same = ida[start:start + 512][:, None] == idb[None, :]
-            d = np.where(same, 0.0, d)
-            for c in uniq:
-                mask = (lb == c)[None, :] & ~same
+        for start in range(0, len(A), step):
+            a, ids = A[start:start + step], ida[start:start + step]
+            # One feature at a time: no task holds more than a few times SILHOUETTE_PAIRS numbers.
+            d, gap = np.zeros((len(a), len(B))), np.empty((len(a), len(B)))
+            for k, column in enumerate(columns):
+                np.subtract(a[:, k, None], column[None, :], out=gap)
+                np.multiply(gap, gap, out=gap)
+                np.add(d, gap, out=d)
+            np.sqrt(d, out=d)
+            same = ids[:, None] == idb[None, :]
+            d[same] = 0.0
+            for c in range(0, len(uniq), LABEL_BLOCK):
+                some = uniq[c:c + LABEL_BLOCK]
+                member = (lb[:, None] == some[None, :]).astype(np.float64)
+                count = member.sum(axis=0)[None, :] - same.astype(np.float64) @ member
                 parts.append(pd.DataFrame({
-                    "_id": ida[start:start + 512], "_label": lp["_label"].to_numpy()[start:start + 512],
-                    "_to": np.int64(c), "_sum": (d * mask).sum(axis=1), "_cnt": mask.sum(axis=1)}))
+                    "_id": np.repeat(ids, len(some)), "_label": np.repeat(la[start:start + step], len(some)),
+                    "_to": np.tile(some.astype(np.int64), len(ids)), "_sum": (d @ member).ravel(),
+                    "_cnt": np.rint(count).astype(np.int64).ravel()}))
         return pd.concat(parts, ignore_index=True)
 
     slots = max(1, min(nb * nb, 4 * df.sparkSession.sparkContext.defaultParallelism))

@@ -11,7 +11,7 @@ from ..operators import scale as SC
 from ..operators import summary as Q
 from . import oracle as O
 from . import pipeline as PL
-from .catalog import final_in_scope, register
+from .catalog import _MEMO, final_in_scope, register
 from .catalog_explore import quantile_sql
 
 RUN = PL.DEFAULT_RUN
@@ -21,7 +21,11 @@ ANOMALY_FEATURES = ["rate_nsrd", "rate_sd", "nos_su", "variation_rate_nos", "var
 
 
 def _customer_summary(spark, sf_dir):
-    return Q.customer_summary(final_in_scope(spark, sf_dir), RUN.years)
+    """The customers' summary, written once per query build: train, test and scored tables follow from it."""
+    key = ("customer summary", spark.sparkContext.applicationId, sf_dir)
+    if key not in _MEMO:
+        _MEMO[key] = cut(Q.customer_summary(final_in_scope(spark, sf_dir), RUN.years))
+    return _MEMO[key]
 
 
 def train_table(spark, sf_dir):
@@ -223,7 +227,7 @@ OUTLIER_FEATURES = [f for f in CLUSTER_FEATURES if f != "SCORE"]
 def customer_scores(spark, sf_dir):
     final = final_in_scope(spark, sf_dir)
     national = Q.national_summary(final)
-    entities = Q.group_summary(final, KEYS, RUN.years)
+    entities = _customer_summary(spark, sf_dir)
     return K.score(national, entities, KEYS, RUN.score_year)
 
 
@@ -295,7 +299,6 @@ def q_silhouette_squared(spark, sf_dir):
 
 def _clusters(spark, sf_dir):
     key = ("clusters", spark.sparkContext.applicationId, sf_dir)
-    from .catalog import _MEMO
     if key not in _MEMO:
         _MEMO[key] = CL.full_analysis(cluster_input(spark, sf_dir), KEYS, CLUSTER_FEATURES)
     return _MEMO[key]
