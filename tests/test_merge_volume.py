@@ -47,6 +47,22 @@ def test_generic_form_gives_the_same_groups(spark):
     assert sorted(map(repr, plain.collect())) == sorted(map(repr, merged.aggregated.select(*plain.columns).collect()))
 
 
+def test_product_key_stands_for_the_attributes(spark):
+    attrs = [("p", "g1", "n", "b", "c", "s"), ("q", "g1", "n", "b", "c", "s"), ("p", "g2", "n", "b", "c", "s"),
+             ("p", "g1", "n", None, "c", "s"), ("p", "g1", "n", "b", "c", "s"), ("r", "g1", None, None, "c", None),
+             ("r", "g1", None, None, "c", None), ("s", None, "n", "b", "c", "s")]
+    df = M.with_product_key(spark.createDataFrame(attrs, "prod_id string, " + ", ".join(f"{c} string" for c in M.PRODUCT_ATTRS)))
+    pairs = {(tuple(r[c] for c in M.PRODUCT_ATTRS), (r["corporate_item_gtin"], r["product_key"], r["product_variant"]))
+             for r in df.collect()}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({k for _, k in pairs}) == 4
+
+
+def test_final_is_that_of_the_enriched_rows(spark):
+    merged = _merged(spark)
+    plain = M.quarterly_format(merged.enriched)
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, merged.final.collect()))
+
+
 def test_choice_of_quarters_reaches_the_facts(spark):
     found = Q.filter_quarters(_merged(spark).final, [dt.date(2000, 1, 1)])
     assert [(r["customer"], r["channel"], r["giv"]) for r in found.collect()] == [("o - O", "OTHERS", 11.0)]
