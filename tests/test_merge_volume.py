@@ -64,7 +64,7 @@ def test_final_is_that_of_the_enriched_rows(spark):
 
 
 def test_choice_of_quarters_reaches_the_facts(spark):
-    found = Q.filter_quarters(_merged(spark).final, [dt.date(2000, 1, 1)])
+    found = Q.filter_quarters(_merged(spark).quarterly, [dt.date(2000, 1, 1)])
     assert [(r["customer"], r["channel"], r["giv"]) for r in found.collect()] == [("o - O", "OTHERS", 11.0)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     lines = plan.splitlines()
