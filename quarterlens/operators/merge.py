@@ -206,10 +206,11 @@ def quarterly_format(df: DataFrame, keys=tuple(S.QUARTER_KEYS)) -> DataFrame:
 class MergeResult:
     """E2 outputs, each made when it is first read.
 
-    The joined fact rows are written once if a side table needs the rows
-    themselves (or ``keep_rows`` says that one will).  The aggregated table
-    joins the products first: the A4 totals then collapse per customer before
-    they move, and product texts only travel where they are read.
+    The joined fact rows are written once if ``keep_rows`` says that several
+    tables will read them.  Otherwise each table joins the products first: the
+    A4 totals then collapse per customer before they move, product texts only
+    travel where they are read, and the rows that a side table drops for
+    their product do not meet the customers.
     """
 
     def __init__(self, report: DataFrame, customers: DataFrame, products: DataFrame,
@@ -257,7 +258,13 @@ class MergeResult:
 
     @cached_property
     def assigned(self) -> DataFrame:
-        return assign_best_channel_team(fill_channel_team(self._rows))
+        """J3's rows, not written: A4 reads one measure, and what a side table leaves out does not move."""
+        if self._kept:
+            return assign_best_channel_team(fill_channel_team(self._matched))
+        rows = merge_products(self._report, self._products)[0]
+        best = best_channel_team(fill_channel_team(merge_customers(rows, self._customers)[0]))
+        out = merge_customers(rows, with_best_pair(self._customers, best))[0]
+        return out.select("optima_id", *[c for c in self._matched.columns if c != "optima_id"])
 
     @cached_property
     def missing_channel_team(self) -> DataFrame:

@@ -70,3 +70,17 @@ def test_choice_of_quarters_reaches_the_facts(spark):
     lines = plan.splitlines()
     last_sum = max(i for i, line in enumerate(lines) if "Aggregate [optima_id" in line and "time_id" in line)
     assert any("Filter" in line and "trunc" in line and "time_id" in line for line in lines[last_sum:])
+
+
+def _plain_assigned(merged):
+    return M.assign_best_channel_team(M.fill_channel_team(merged._matched))
+
+
+def test_name_quality_writes_its_counts_alone(spark):
+    merged, before = _merged(spark), MZ.marked(spark)
+    merged._customers = merged._customers.union(spark.createDataFrame(
+        [("4", "X", "o", "O2", "A", "sa", "t", "st")], merged._customers.schema))
+    got = merged.name_quality_after.collect()
+    assert MZ.marked(spark) == before + 1  # the counts, not the joined rows
+    assert [(r["optima_id"], r["names"], r["cust_ids"], r["n_rows"], r["channels"], r["teams"]) for r in got] == [
+        ("o", "O | O2", "1, 2, 4", 7, "A", "t")]
