@@ -84,3 +84,19 @@ def test_name_quality_writes_its_counts_alone(spark):
     assert MZ.marked(spark) == before + 1  # the counts, not the joined rows
     assert [(r["optima_id"], r["names"], r["cust_ids"], r["n_rows"], r["channels"], r["teams"]) for r in got] == [
         ("o", "O | O2", "1, 2, 4", 7, "A", "t")]
+
+
+def test_missing_product_rows_are_not_written_and_filtered_at_the_master(spark):
+    merged, before = _merged(spark), MZ.marked(spark)
+    merged._products = merged._products.union(spark.createDataFrame(
+        [("q", "g3", "n", None, "cat", "s"), ("p", "g4", None, "b", "cat", None)], merged._products.schema))
+    merged._matched = M.merge_products(merged._cust_matched, merged._products)[0]
+    found = merged.missing_product
+    plain = M.missing_product(_plain_assigned(merged))
+    assert found.columns == plain.columns and found.count() == 4
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
+    assert MZ.marked(spark) == before
+    # The rows meet the customers after the filter on the products.
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = next(i for i, line in enumerate(lines) if "Filter" in line and "isnull(corporate_brand_name" in line)
+    assert sum("Join" in line for line in lines[:at]) >= 2
