@@ -40,8 +40,11 @@ LINKAGE_PAIRS = [
     ("average", "correlation"),
 ]
 MICRO = 500  # weighted centroids that a table is summarised by
-SILHOUETTE_BLOCK = 4000
-SILHOUETTE_PAIRS = 1 << 17  # distances that a task holds at once
+SILHOUETTE_BLOCK = 4000      # rows of a block that need not be cut for more tasks
+SILHOUETTE_VALUES = 1 << 21  # numbers of a block
+SILHOUETTE_PAIRS = 1 << 17   # distances that a task holds at once
+SILHOUETTE_COLUMNS = 1024    # of them, in one row
+SILHOUETTE_CLOSE = 1e-6      # squared, against the squares of both rows: below it pairs are measured by differences
 LABEL_BLOCK = 1024   # clusters in one broadcast row
 
 
@@ -392,28 +395,90 @@ def centroids(clean: DataFrame, labels: DataFrame, keys: Sequence[str], features
                                     F.count(F.lit(1)).alias("size"))
 
 
+def _pair_distances(A: np.ndarray, B: np.ndarray, center: np.ndarray) -> np.ndarray:
+    """Distances of rows A to rows B, by products around ``center`` (a point near B).
+
+    Pairs that lie close for their distance from the center, where products
+    lose digits, and all that isn't finite are measured by differences.
+    """
+    a, b = A - center, B - center
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    d = np.column_stack([-2.0 * a, aa, np.ones(len(a))]) @ np.column_stack([b, np.ones(len(b)), bb]).T
+    least = SILHOUETTE_CLOSE * (aa + bb[np.isfinite(bb)].max(initial=0.0))
+    far = d > least[:, None]
+    if not far.all():
+        i, j = np.nonzero(~far)
+        step = max(1, SILHOUETTE_PAIRS // max(1, A.shape[1]))
+        for s in range(0, len(i), step):
+            gap = A[i[s:s + step]] - B[j[s:s + step]]
+            d[i[s:s + step], j[s:s + step]] = np.einsum("ij,ij->i", gap, gap)
+    return np.sqrt(d, out=d)
+
+
+def _block_sums(A, ida, la, B, idb, lb, same_block: bool):
+    """Sums and counts of the distances of two blocks, both sorted by label.
+
+    Yields (ids, labels, to, sums, counts) per row and label of the other
+    block; each pair of rows is measured once for both of its rows.  Within
+    one block only A's side is given, and a row doesn't meet its own id.
+    """
+    labels_a, starts_a = np.unique(la, return_index=True)
+    labels_b, starts_b = np.unique(lb, return_index=True)
+    back = np.zeros((len(labels_a), len(B)))
+    for label, lo, hi in zip(labels_b, starts_b, np.r_[starts_b[1:], len(lb)]):
+        usable = B[lo:hi][np.isfinite(B[lo:hi]).all(axis=1)]
+        center = usable.mean(axis=0) if len(usable) else np.zeros(B.shape[1])
+        cols = min(hi - lo, SILHOUETTE_COLUMNS)
+        rows = max(1, SILHOUETTE_PAIRS // cols)
+        total, count = np.zeros(len(A)), np.full(len(A), hi - lo, dtype=np.int64)
+        for r in range(0, len(A), rows):
+            part = slice(r, min(r + rows, len(A)))
+            first = np.searchsorted(starts_a, r, side="right") - 1
+            cuts = np.r_[r, starts_a[(starts_a > r) & (starts_a < part.stop)]] - r
+            for c in range(lo, hi, cols):
+                to = slice(c, min(c + cols, hi))
+                d = _pair_distances(A[part], B[to], center)
+                if same_block:
+                    same = ida[part][:, None] == idb[to][None, :]
+                    d[same] = 0.0
+                    count[part] -= same.sum(axis=1)
+                else:
+                    back[first:first + len(cuts), to] += np.add.reduceat(d, cuts, axis=0)
+                total[part] += d.sum(axis=1)
+        yield ida, la, np.full(len(A), label, dtype=np.int64), total, count
+    if not same_block:
+        for k, (label, size) in enumerate(zip(labels_a, np.diff(np.r_[starts_a, len(la)]))):
+            yield idb, lb, np.full(len(B), label, dtype=np.int64), back[k], np.full(len(B), size, dtype=np.int64)
+
+
 def silhouette(df: DataFrame, id_col: str, label_col: str, features: Sequence[str],
-               block: int = SILHOUETTE_BLOCK) -> DataFrame:
+               block: int | None = None) -> DataFrame:
     """Exact mean silhouette (plain euclidean) of a labelled table.
 
-    Rows are split into B hash blocks; ``cogroup`` pairs every block with
-    every block, and each task returns, per row of its left block, the sum
-    and count of distances to each label of its right block.  Tasks hold two
-    blocks at most; the shuffle carries n x B rows and n x k partial sums.
+    Rows are split into B hash blocks of at most SILHOUETTE_VALUES numbers;
+    ``cogroup`` pairs every block with itself and with those behind it, and
+    each task returns, per row of both blocks, the sum and count of distances
+    to each label of the other one.  Tasks hold two blocks and
+    SILHOUETTE_PAIRS distances at most; the shuffle carries n x (B + 1) rows
+    and n x B x k partial sums.  Rows without a label meet nobody and count as 0.
     """
     n = df.count()
-    nb = max(1, math.ceil(n / block))
+    if block is None:
+        largest = max(1, SILHOUETTE_VALUES // max(1, len(features)))
+        # Blocks enough for every core, unless they come out small.
+        spread = math.ceil(math.sqrt(6 * df.sparkSession.sparkContext.defaultParallelism))
+        nb = max(1, math.ceil(n / largest), min(spread, math.ceil(n / SILHOUETTE_BLOCK)))
+    else:
+        nb = max(1, math.ceil(n / block))
+    xs = [f"_x{i}" for i in range(len(features))]
     pts = df.select(F.col(id_col).alias("_id"), F.col(label_col).cast("long").alias("_label"),
-                    *[F.col(f).cast("double").alias(f"_x{i}") for i, f in enumerate(features)],
+                    *[F.col(f).cast("double").alias(x) for x, f in zip(xs, features)],
                     F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("_blk"))
-    others = F.explode(F.sequence(F.lit(0), F.lit(nb - 1)))
-    left = pts.select("*", others.alias("_other")).select(
-        F.col("_blk").alias("_bi"), F.col("_other").alias("_bj"), "_id", "_label",
-        *[f"_x{i}" for i in range(len(features))])
-    right = pts.select("*", others.alias("_other")).select(
-        F.col("_other").alias("_bi"), F.col("_blk").alias("_bj"), "_id", "_label",
-        *[f"_x{i}" for i in range(len(features))])
-    xs = [f"_x{i}" for i in range(len(features))]
+    met = pts.where(F.col("_label").isNotNull())
+    left = met.select(F.col("_blk").alias("_bi"), F.explode(F.sequence("_blk", F.lit(nb - 1))).alias("_bj"),
+                      "_id", "_label", *xs)
+    right = met.select(F.explode(F.sequence(F.lit(0), F.col("_blk"))).alias("_bi"), F.col("_blk").alias("_bj"),
+                       "_id", "_label", *xs)
     schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType),
                            T.StructField("_label", T.LongType()), T.StructField("_to", T.LongType()),
                            T.StructField("_sum", T.DoubleType()), T.StructField("_cnt", T.LongType())])
@@ -423,47 +488,31 @@ def silhouette(df: DataFrame, id_col: str, label_col: str, features: Sequence[st
             return pd.DataFrame({"_id": pd.Series(dtype=lp["_id"].dtype if not lp.empty else "int64"),
                                  "_label": pd.Series(dtype="int64"), "_to": pd.Series(dtype="int64"),
                                  "_sum": pd.Series(dtype="float64"), "_cnt": pd.Series(dtype="int64")})
-        A = lp[xs].to_numpy(dtype=np.float64)
-        B = rp[xs].to_numpy(dtype=np.float64)
-        ida, idb = lp["_id"].to_numpy(), rp["_id"].to_numpy()
-        la, lb = lp["_label"].to_numpy(), rp["_label"].to_numpy()
-        uniq = np.unique(lb)
-        columns = np.ascontiguousarray(B.T)
-        step = max(1, SILHOUETTE_PAIRS // len(B))
-        parts = []
-        for start in range(0, len(A), step):
-            a, ids = A[start:start + step], ida[start:start + step]
-            # One feature at a time: no task holds more than a few times SILHOUETTE_PAIRS numbers.
-            d, gap = np.zeros((len(a), len(B))), np.empty((len(a), len(B)))
-            for k, column in enumerate(columns):
-                np.subtract(a[:, k, None], column[None, :], out=gap)
-                np.multiply(gap, gap, out=gap)
-                np.add(d, gap, out=d)
-            np.sqrt(d, out=d)
-            same = ids[:, None] == idb[None, :]
-            d[same] = 0.0
-            for c in range(0, len(uniq), LABEL_BLOCK):
-                some = uniq[c:c + LABEL_BLOCK]
-                member = (lb[:, None] == some[None, :]).astype(np.float64)
-                count = member.sum(axis=0)[None, :] - same.astype(np.float64) @ member
-                parts.append(pd.DataFrame({
-                    "_id": np.repeat(ids, len(some)), "_label": np.repeat(la[start:start + step], len(some)),
-                    "_to": np.tile(some.astype(np.int64), len(ids)), "_sum": (d @ member).ravel(),
-                    "_cnt": np.rint(count).astype(np.int64).ravel()}))
-        return pd.concat(parts, ignore_index=True)
-
-    slots = max(1, min(nb * nb, 4 * df.sparkSession.sparkContext.defaultParallelism))
+        sides = []
+        for side in (lp, rp):
+            labels = side["_label"].to_numpy()
+            order = np.argsort(labels, kind="stable")
+            # The rows lie one after the other, whatever pandas keeps.
+            sides += [np.ascontiguousarray(side[xs].to_numpy(dtype=np.float64)[order]),
+                      side["_id"].to_numpy()[order], labels[order]]
+        with np.errstate(all="ignore"):
+            parts = list(_block_sums(*sides, same_block=key[0] == key[1]))
+        ids, own, to, sums, counts = (np.concatenate(c) for c in zip(*parts))
+        return pd.DataFrame({"_id": ids, "_label": own, "_to": to, "_sum": sums, "_cnt": counts})
+
+    # Four slots to a pair, so that few pairs share a task.
+    slots = max(1, min(2 * nb * (nb + 1), 64 * df.sparkSession.sparkContext.defaultParallelism))
     left = left.repartition(slots, "_bi", "_bj")
     right = right.repartition(slots, "_bi", "_bj")
     sums = (left.groupBy("_bi", "_bj").cogroup(right.groupBy("_bi", "_bj"))
             .applyInPandas(partial, schema))
     per = sums.groupBy("_id", "_label", "_to").agg(F.sum("_sum").alias("s"), F.sum("_cnt").alias("c"))
-    a = per.where(F.col("_label") == F.col("_to")).select("_id", F.when(F.col("c") > 0, F.col("s") / F.col("c"))
-                                                         .alias("a"), F.col("c").alias("own"))
-    b = (per.where((F.col("_label") != F.col("_to")) & (F.col("c") > 0))
-         .groupBy("_id").agg(F.min(F.col("s") / F.col("c")).alias("b")))
+    # Both means in one pass, as every read of the sums would measure all pairs again.  An id may come with several labels.
+    mean, mine = F.when(F.col("c") > 0, F.col("s") / F.col("c")), F.col("_label") == F.col("_to")
+    both = per.groupBy("_id").agg(F.collect_list(F.when(mine, F.struct(mean.alias("a"), F.col("c").alias("own")))).alias("_own"),
+                                  F.min(F.when(~mine, mean)).alias("b"))
     ids = pts.select("_id", "_label")
-    s = ids.join(a, "_id", "left").join(b, "_id", "left")
+    s = ids.join(both, "_id", "left").select("_label", "b", F.explode_outer("_own").alias("_own")).select("_label", "b", "_own.*")
     sil = F.when((F.coalesce(F.col("own"), F.lit(0)) == 0) | F.col("b").isNull(), F.lit(0.0)).otherwise(
         (F.col("b") - F.col("a")) / F.greatest(F.col("a"), F.col("b")))
     return s.agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("_label").alias("n_clusters"),

@@ -66,3 +66,61 @@ def test_silhouette_block_stays_small():
     import inspect
     assert "[:, None, :]" not in inspect.getsource(CL.silhouette)
     assert CL.SILHOUETTE_PAIRS * 8 * 4 < 8 << 20
+
+
+def test_distances_by_products_keep_their_digits():
+    """Tight clusters far from each other and from zero, equal rows, extreme and missing values."""
+    rng = np.random.default_rng(3)
+    far = np.r_[rng.normal(size=(60, 5)) * 1e-3 + 1e6, rng.normal(size=(60, 5)) * 1e-3 - 1e6, np.full((9, 5), 3.0)]
+    for X in (far, far * 1e-200, far * 1e200, np.r_[far, [[np.nan, 1, 1, 1, 1], [np.inf, 1, 1, 1, 1]]]):
+        with np.errstate(all="ignore"):
+            got, gaps = CL._pair_distances(X, X, X[0]), [x - X for x in X]
+            np.testing.assert_allclose(got, [np.sqrt((g * g).sum(axis=1)) for g in gaps], rtol=1e-7)
+
+
+def test_block_sums_serve_both_blocks(monkeypatch):
+    monkeypatch.setattr(CL, "SILHOUETTE_PAIRS", 60)
+    monkeypatch.setattr(CL, "SILHOUETTE_COLUMNS", 7)
+    rng = np.random.default_rng(5)
+    A, la, B, lb = rng.normal(size=(31, 3)), np.sort(rng.integers(0, 4, 31)), rng.normal(size=(40, 3)), np.sort(rng.integers(2, 6, 40))
+    ida, idb = np.arange(31), 100 + np.arange(40)
+    ida[4] = ida[3]  # an id that comes twice doesn't meet itself
+
+    def found(parts):
+        return {(i, p, c): (round(s, 9), n) for ids, _, to, sums, counts in parts
+                for p, (i, c, s, n) in enumerate(zip(ids.tolist(), to.tolist(), sums.tolist(), counts.tolist()))}
+
+    def want(X, ids, Y, idy, ly):
+        D, out = np.sqrt(((X[:, None] - Y[None]) ** 2).sum(axis=2)), {}
+        for p, i in enumerate(ids.tolist()):
+            for c in set(ly.tolist()):
+                other = (ly == c) & (idy != i)
+                out[i, p, c] = (round(float(D[p, other].sum()), 9), int(other.sum()))
+        return out
+
+    close = lambda x, y: x.keys() == y.keys() and all(abs(x[k][0] - y[k][0]) < 1e-8 and x[k][1] == y[k][1] for k in x)
+    assert close(found(CL._block_sums(A, ida, la, A, ida, la, True)), want(A, ida, A, ida, la))
+    assert close(found(CL._block_sums(A, ida, la, B, idb, lb, False)), want(A, ida, B, idb, lb) | want(B, idb, A, ida, la))
+
+
+def test_silhouette_measures_each_pair_once(spark):
+    """The sums over pairs stand once in the plan, each pair of blocks in one task; ids may repeat, labels be missing."""
+    rows = [(1, 0, 0.0), (1, 0, 0.5), (2, 0, 1.0), (3, 1, 5.0), (4, 1, 6.0), (5, None, 9.0), (6, 2, 2.0), (4, 0, 0.2)]
+    df = spark.createDataFrame(rows, "id long, label int, x double")
+    one = CL.silhouette(df, "id", "label", ["x"], block=3)
+    plan = one._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapCoGroupsInPandas") == 1
+
+    pairs = {}  # per (id, label): all its rows' distances to other ids, by label
+    for i, own, x in rows:
+        for j, c, y in rows:
+            if i != j and own is not None and c is not None:
+                pairs.setdefault((i, own), {}).setdefault(c, []).append(abs(x - y))
+    want = []
+    for i, _, _ in rows:
+        mine = [(own, to) for (k, own), to in pairs.items() if k == i]
+        b = min((float(np.mean(d)) for own, to in mine for c, d in to.items() if c != own), default=None)
+        want += [0.0 if own not in to or b is None else (b - np.mean(to[own])) / max(b, np.mean(to[own]))
+                 for own, to in mine] or [0.0]
+    r = one.first()
+    assert r["n_points"] == len(want) and math.isclose(r["silhouette"], float(np.mean(want)), abs_tol=2e-6)
