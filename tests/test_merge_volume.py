@@ -123,3 +123,27 @@ def test_quarterly_rows_move_once_for_both_sums(spark):
     assert found.count() >= 5 and sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning(customer" in plan and "Exchange hashpartitioning(fiscal_year" not in plan
+
+
+def test_aggregation_sums_where_rows_meet_their_product(spark):
+    """Attributes that several products share, master rows that come twice and missing keys give the groups of the plain form."""
+    merged = _merged(spark)
+    merged._products = merged._products.union(spark.createDataFrame(
+        [("q", "g2", "n", "b", "cat", "s"), ("r", "g9", None, None, None, None), ("q", "g9", None, None, None, None),
+         ("r", "g7", "n", None, "cat", "s"), ("r", "g7", "n", None, "cat", "s"), ("r", "g6", "n", None, "cat", "s"), (None, "g8", "n", "b", "cat", "s"),
+         ("p", None, "n", "b", "cat", "s")], merged._products.schema))
+    more = [("200001", "1", "r", *[3.0] * 15), (None, "2", "p", *[1.0] * 15), ("200001", "1", "q", *[None] * 15),
+            ("200001", "1", None, *[2.5] * 15), ("200001", "1", "p", *[1e22] * 15)]
+    merged._report = merged._report.union(spark.createDataFrame(more, merged._report.schema))
+    merged._matched = M.merge_products(M.merge_customers(merged._report, merged._customers)[0], merged._products)[0]
+    plain = M.assigned_aggregation(M.fill_channel_team(merged._matched))
+    found = merged.aggregated
+    assert found.columns == plain.columns
+    rows = sorted(map(repr, found.collect()))
+    assert len(rows) == 11 and rows == sorted(map(repr, plain.collect()))
+    # The facts move by customer and by product; both parts read one shuffle of them.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("== Final Plan =="):plan.index("== Initial Plan ==")]
+    by_product = [line for line in plan.splitlines() if "Exchange hashpartitioning(prod_id" in line and "giv_lc" in line
+                  or "Exchange hashpartitioning(prod_id" in line and "REPARTITION_BY_COL" in line]
+    assert "Union" in plan and len(by_product) == 2 and sum("ReusedExchange" in line for line in by_product) == 1
