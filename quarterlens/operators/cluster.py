@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from typing import Sequence
 
 import numpy as np
@@ -41,7 +43,7 @@ LINKAGE_PAIRS = [
 ]
 MICRO = 500  # weighted centroids that a table is summarised by
 SILHOUETTE_BLOCK = 4000      # rows of a block that need not be cut for more tasks
-SILHOUETTE_VALUES = 1 << 21  # numbers of a block
+SILHOUETTE_VALUES = 1 << 21  # numbers of a block, and sums that it takes from another
 SILHOUETTE_PAIRS = 1 << 17   # distances that a task holds at once
 SILHOUETTE_COLUMNS = 1024    # of them, in one row
 SILHOUETTE_CLOSE = 1e-6      # squared, against the squares of both rows: below it pairs are measured by differences
@@ -415,13 +417,19 @@ def _pair_distances(A: np.ndarray, B: np.ndarray, center: np.ndarray) -> np.ndar
     return np.sqrt(d, out=d)
 
 
-def _block_sums(A, ida, la, B, idb, lb, same_block: bool):
+def _block_sums(A, ida, la, bad_a, B, idb, lb, bad_b, same_block: bool):
     """Sums and counts of the distances of two blocks, both sorted by label.
 
     Yields (ids, labels, to, sums, counts) per row and label of the other
     block; each pair of rows is measured once for both of its rows.  Within
     one block only A's side is given, and a row doesn't meet its own id.
+    ``bad_a`` and ``bad_b`` are the ids of rows with a missing or infinite
+    value: a row that meets one has no sums in this pair of blocks.
     """
+    spoiled_a = np.full(len(A), len(bad_b) > 0)
+    if same_block and len(bad_b):
+        own = pd.Series(ida).map(pd.Series(bad_b).value_counts()).fillna(0).to_numpy()
+        spoiled_a = len(bad_b) > own
     labels_a, starts_a = np.unique(la, return_index=True)
     labels_b, starts_b = np.unique(lb, return_index=True)
     back = np.zeros((len(labels_a), len(B)))
@@ -445,10 +453,12 @@ def _block_sums(A, ida, la, B, idb, lb, same_block: bool):
                 else:
                     back[first:first + len(cuts), to] += np.add.reduceat(d, cuts, axis=0)
                 total[part] += d.sum(axis=1)
+        total[spoiled_a] = np.nan
         yield ida, la, np.full(len(A), label, dtype=np.int64), total, count
     if not same_block:
         for k, (label, size) in enumerate(zip(labels_a, np.diff(np.r_[starts_a, len(la)]))):
-            yield idb, lb, np.full(len(B), label, dtype=np.int64), back[k], np.full(len(B), size, dtype=np.int64)
+            sums = back[k] if not len(bad_a) else np.full(len(B), np.nan)
+            yield idb, lb, np.full(len(B), label, dtype=np.int64), sums, np.full(len(B), size, dtype=np.int64)
 
 
 def silhouette(df: DataFrame, id_col: str, label_col: str, features: Sequence[str],
@@ -460,43 +470,49 @@ def silhouette(df: DataFrame, id_col: str, label_col: str, features: Sequence[st
     each task returns, per row of both blocks, the sum and count of distances
     to each label of the other one.  Tasks hold two blocks and
     SILHOUETTE_PAIRS distances at most; the shuffle carries n x (B + 1) rows
-    and n x B x k partial sums.  Rows without a label meet nobody and count as 0.
+    and n x B x k partial sums.  Rows without a label count as 0.
     """
-    n = df.count()
+    n, labels = df.agg(F.count(F.lit(1)), F.count_distinct(label_col)).first()
     if block is None:
-        largest = max(1, SILHOUETTE_VALUES // max(1, len(features)))
+        # Neither a block's numbers nor its sums, one per row and label, grow beyond bounds.
+        largest = min(SILHOUETTE_VALUES // max(1, len(features)),
+                      max(SILHOUETTE_VALUES // max(1, labels), math.isqrt(SILHOUETTE_VALUES)))
         # Blocks enough for every core, unless they come out small.
         spread = math.ceil(math.sqrt(6 * df.sparkSession.sparkContext.defaultParallelism))
-        nb = max(1, math.ceil(n / largest), min(spread, math.ceil(n / SILHOUETTE_BLOCK)))
+        nb = max(1, math.ceil(n / max(1, largest)), min(spread, math.ceil(n / SILHOUETTE_BLOCK)))
     else:
         nb = max(1, math.ceil(n / block))
     xs = [f"_x{i}" for i in range(len(features))]
     pts = df.select(F.col(id_col).alias("_id"), F.col(label_col).cast("long").alias("_label"),
                     *[F.col(f).cast("double").alias(x) for x, f in zip(xs, features)],
                     F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).cast("int").alias("_blk"))
-    met = pts.where(F.col("_label").isNotNull())
-    left = met.select(F.col("_blk").alias("_bi"), F.explode(F.sequence("_blk", F.lit(nb - 1))).alias("_bj"),
-                      "_id", "_label", *xs)
-    right = met.select(F.explode(F.sequence(F.lit(0), F.col("_blk"))).alias("_bi"), F.col("_blk").alias("_bj"),
-                       "_id", "_label", *xs)
+    usable = reduce(and_, (F.coalesce(F.abs(x) < F.lit(X.INF), F.lit(False)) for x in xs), F.lit(True))
+    met = pts.select("*", usable.alias("_usable")).where(F.col("_label").isNotNull() | ~F.col("_usable"))
+    met = met.select("_blk", "_id", F.col("_label").isNull().alias("_lost"), F.coalesce("_label", F.lit(0)).alias("_label"),
+                     "_usable", *xs)
+    cols = [c for c in met.columns if c != "_blk"]
+    left = met.select(F.col("_blk").alias("_bi"), F.explode(F.sequence("_blk", F.lit(nb - 1))).alias("_bj"), *cols)
+    right = met.select(F.explode(F.sequence(F.lit(0), F.col("_blk"))).alias("_bi"), F.col("_blk").alias("_bj"), *cols)
     schema = T.StructType([T.StructField("_id", df.schema[id_col].dataType),
                            T.StructField("_label", T.LongType()), T.StructField("_to", T.LongType()),
                            T.StructField("_sum", T.DoubleType()), T.StructField("_cnt", T.LongType())])
 
     def partial(key, lp, rp):
-        if lp.empty or rp.empty:
-            return pd.DataFrame({"_id": pd.Series(dtype=lp["_id"].dtype if not lp.empty else "int64"),
-                                 "_label": pd.Series(dtype="int64"), "_to": pd.Series(dtype="int64"),
-                                 "_sum": pd.Series(dtype="float64"), "_cnt": pd.Series(dtype="int64")})
         sides = []
         for side in (lp, rp):
+            bad = side["_id"][~side["_usable"]].to_numpy()
+            side = side[~side["_lost"]]
             labels = side["_label"].to_numpy()
             order = np.argsort(labels, kind="stable")
             # The rows lie one after the other, whatever pandas keeps.
             sides += [np.ascontiguousarray(side[xs].to_numpy(dtype=np.float64)[order]),
-                      side["_id"].to_numpy()[order], labels[order]]
+                      side["_id"].to_numpy()[order], labels[order], bad]
         with np.errstate(all="ignore"):
             parts = list(_block_sums(*sides, same_block=key[0] == key[1]))
+        if not parts:
+            return pd.DataFrame({"_id": pd.Series(dtype=lp["_id"].dtype if not lp.empty else "int64"),
+                                 "_label": pd.Series(dtype="int64"), "_to": pd.Series(dtype="int64"),
+                                 "_sum": pd.Series(dtype="float64"), "_cnt": pd.Series(dtype="int64")})
         ids, own, to, sums, counts = (np.concatenate(c) for c in zip(*parts))
         return pd.DataFrame({"_id": ids, "_label": own, "_to": to, "_sum": sums, "_cnt": counts})
 

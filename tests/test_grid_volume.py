@@ -99,8 +99,21 @@ def test_block_sums_serve_both_blocks(monkeypatch):
         return out
 
     close = lambda x, y: x.keys() == y.keys() and all(abs(x[k][0] - y[k][0]) < 1e-8 and x[k][1] == y[k][1] for k in x)
-    assert close(found(CL._block_sums(A, ida, la, A, ida, la, True)), want(A, ida, A, ida, la))
-    assert close(found(CL._block_sums(A, ida, la, B, idb, lb, False)), want(A, ida, B, idb, lb) | want(B, idb, A, ida, la))
+    none = ida[:0]
+    assert close(found(CL._block_sums(A, ida, la, none, A, ida, la, none, True)), want(A, ida, A, ida, la))
+    assert close(found(CL._block_sums(A, ida, la, none, B, idb, lb, none, False)),
+                 want(A, ida, B, idb, lb) | want(B, idb, A, ida, la))
+
+
+def test_silhouette_with_missing_values(spark):
+    """A missing value leaves all that meet it without sums, with a label or without; rows without a label alone do not."""
+    rows = [(1, 0, 0.0), (2, 0, 1.0), (3, 1, 5.0), (4, 1, 6.0)]
+    schema = "id long, label int, x double"
+    whole = CL.silhouette(spark.createDataFrame([*rows, (5, None, 2.0)], schema), "id", "label", ["x"]).first()
+    assert whole["n_points"] == 5 and whole["n_clusters"] == 2 and whole["silhouette"] > 0.6
+    for bad in ((5, 1, None), (5, None, None), (5, None, float("nan"))):
+        got = CL.silhouette(spark.createDataFrame([*rows, bad], schema), "id", "label", ["x"]).first()
+        assert (got["n_points"], got["n_clusters"], got["silhouette"]) == (5, 2, 0.0)
 
 
 def test_silhouette_measures_each_pair_once(spark):
